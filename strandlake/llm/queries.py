@@ -24,6 +24,20 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sstables(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.warc import read_archives, resolve_revisits, write_archives
+
+    records = resolve_revisits(read_archives(write_archives(_read(spark, sf_dir, "pages"), min_bytes=1000)))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.decontaminate import build_index, contaminated, find_contamination
+
+    found = find_contamination(build_index(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"), window=13)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
 def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.lengths import context_answers, length_histogram
 
@@ -39,9 +53,48 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sstable": op1_sstable,
+    "op2_warc": op2_warc,
+    "op3_decontamination": op3_decontamination,
     "op5_length_histogram": op5_length_histogram,
     "op8_packing": op8_packing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+        ), g AS (
+            SELECT *, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p
+        )
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM g
+    """,
+    "op3_decontamination": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+        ), bw AS (
+            SELECT item_id, least(len(w), 13) AS k, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i, w FROM b WHERE len(w) > 0
+        ), win AS (
+            SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM bw
+        ), size AS (
+            SELECT DISTINCT k FROM win
+        ), dw AS (
+            SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d JOIN size ON len(w) >= k
+        ), hit AS (
+            SELECT dw.doc_id, dw.i, dw.k, win.item_id FROM dw JOIN win ON win.k = dw.k AND win.g = array_to_string(dw.w[dw.i : dw.i + dw.k - 1], ' ')
+        ), pos AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id
+        ), its AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+        FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+    """,
+}
