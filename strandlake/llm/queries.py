@@ -51,12 +51,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.linededup import find_first_lines
+
+    return find_first_lines(_read(spark, sf_dir, "documents"), min_chars=20)
+
+
 QUERIES = {
     "op1_sstable": op1_sstable,
     "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
     "op5_length_histogram": op5_length_histogram,
     "op8_packing": op8_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -97,4 +104,23 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
     """,
+    "op10_line_dedup": """
+        WITH s AS (
+            SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL
+        ), l AS (
+            SELECT doc_id, n - 1 AS line_no, line FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM s) WHERE length(line) >= 20
+        ), f AS (
+            SELECT line, min({'d': doc_id, 'n': line_no}) AS first FROM l GROUP BY line
+        ), c AS (
+            SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM f
+        ), v AS (
+            SELECT DISTINCT line, first, hash(substring(line, 1, i - 1) || substring(line, i + 1)) AS v FROM c UNION ALL SELECT line, first, hash(line) FROM f
+        ), near AS (
+            SELECT a.line, min(b.first) AS first FROM v AS a JOIN v AS b ON a.v = b.v AND b.first < a.first WHERE levenshtein(a.line, b.line) = 1 GROUP BY a.line
+        ), best AS (
+            SELECT f.line, CASE WHEN near.first < f.first THEN near.first ELSE f.first END AS first, coalesce(near.first < f.first, false) AS is_near FROM f LEFT JOIN near USING (line)
+        )
+        SELECT doc_id, line_no::INTEGER AS line_no, first.d AS first_doc_id, first.n::INTEGER AS first_line_no, CASE WHEN is_near THEN 1 ELSE 0 END AS edits
+        FROM l JOIN best USING (line) WHERE first < {'d': doc_id, 'n': line_no}
+    """,
 }
