@@ -38,6 +38,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.outliers import quality_verdicts
+
+    verdicts = quality_verdicts(_read(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.lengths import context_answers, length_histogram
 
@@ -61,6 +68,7 @@ QUERIES = {
     "op1_sstable": op1_sstable,
     "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
+    "op4_robust_outliers": op4_robust_outliers,
     "op5_length_histogram": op5_length_histogram,
     "op8_packing": op8_packing,
     "op10_line_dedup": op10_line_dedup,
