@@ -58,6 +58,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.toxicity import held_out, learn_lexicon, score_toxicity
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    lexicon = learn_lexicon(docs, labels.filter(~held_out("doc_id")))
+    scores = score_toxicity(docs, lexicon)
+    return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.linededup import find_first_lines
 
@@ -71,6 +80,7 @@ QUERIES = {
     "op4_robust_outliers": op4_robust_outliers,
     "op5_length_histogram": op5_length_histogram,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 
