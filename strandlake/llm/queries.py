@@ -51,6 +51,12 @@ def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_answers(length_histogram(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.forest import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.8, ngram=5)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.packing import pack_documents
 
@@ -79,6 +85,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_robust_outliers": op4_robust_outliers,
     "op5_length_histogram": op5_length_histogram,
+    "op7_lsh_forest": op7_lsh_forest,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
