@@ -51,6 +51,14 @@ def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_answers(length_histogram(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
 
+def op6_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.trie_lm import held_out, score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    model = train(docs.filter(~held_out("doc_id")), order=3)
+    return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.forest import near_duplicates
 
@@ -85,6 +93,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_robust_outliers": op4_robust_outliers,
     "op5_length_histogram": op5_length_histogram,
+    "op6_trie_lm": op6_trie_lm,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
