@@ -74,6 +74,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def text_hash(column):
+    """64-bit hash of a text; null counts as empty.  With the identifier it names a row."""
+    return F.xxhash64(F.coalesce(column.cast("string"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows named in ``gone`` (``doc_id, text_hash``); all columns stay."""
+    names = small(stage(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "rows-gone"))
+    return docs.join(names, F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(F.col(text_col)) == F.col("__hash")), "left_anti")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that Python tasks can import it."""
     app = spark.sparkContext.applicationId

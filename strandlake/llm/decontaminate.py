@@ -24,26 +24,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import filesystem, ship, slices, stage
+from strandlake.llm.common import filesystem, ship, slices, stage, text_hash
 from strandlake.llm.words import LETTERS, split_words
 
-INDEX = "doc_ids array<long>, first array<long>, vocabulary binary, bounds binary, counts binary, postings binary"
-HITS = "doc_id long, n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<start:long,length:long>>"
+INDEX = "doc_ids array<long>, hashes array<long>, first array<long>, vocabulary binary, bounds binary, counts binary, postings binary"
+HITS = "doc_id long, text_hash long, n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<start:long,length:long>>"
 
 
 class Segment:
     """Words of some documents with their ascending positions, counted over the segment."""
 
-    def __init__(self, doc_ids, first: np.ndarray, vocabulary: pa.BinaryArray, counts: np.ndarray, postings: np.ndarray):
-        self.doc_ids, self.first, self.vocabulary, self.postings = doc_ids, first, vocabulary, postings
+    def __init__(self, doc_ids, hashes, first: np.ndarray, vocabulary: pa.BinaryArray, counts: np.ndarray, postings: np.ndarray):
+        self.doc_ids, self.hashes, self.first, self.vocabulary, self.postings = doc_ids, hashes, first, vocabulary, postings
         self.begin = np.concatenate([[0], np.cumsum(counts)])
 
     @classmethod
-    def of(cls, doc_ids, column: pa.Array) -> "Segment":
+    def of(cls, doc_ids, hashes, column: pa.Array) -> "Segment":
         words = split_words(column, LETTERS)
         keys = (words.codes.astype(np.int64) << 32) | np.arange(len(words.codes))
         keys.sort()
-        return cls(doc_ids, words.first, words.vocabulary, np.bincount(words.codes, minlength=len(words.vocabulary)), keys & 0xFFFFFFFF)
+        return cls(doc_ids, hashes, words.first, words.vocabulary, np.bincount(words.codes, minlength=len(words.vocabulary)), keys & 0xFFFFFFFF)
 
     def row(self) -> dict:
         import zstandard
@@ -55,6 +55,7 @@ class Segment:
         steps = np.diff(self.postings, prepend=0).astype("<i4")
         return {
             "doc_ids": self.doc_ids,
+            "hashes": self.hashes,
             "first": self.first,
             "vocabulary": squeeze(data.tobytes()),
             "bounds": squeeze(np.diff(bounds).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()),
@@ -71,7 +72,7 @@ class Segment:
         data = unzip(row["vocabulary"])
         bounds = np.concatenate([[0], np.cumsum(plain("bounds", "<u4"), dtype=np.int64)]).astype(np.int32)
         vocabulary = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
-        return cls(row["doc_ids"], np.asarray(row["first"], np.int64), vocabulary, plain("counts", "<u4").astype(np.int64), np.cumsum(plain("postings", "<i4"), dtype=np.int64))
+        return cls(row["doc_ids"], row["hashes"], np.asarray(row["first"], np.int64), vocabulary, plain("counts", "<u4").astype(np.int64), np.cumsum(plain("postings", "<i4"), dtype=np.int64))
 
     def positions(self, term: int) -> np.ndarray:
         return self.postings[self.begin[term] : self.begin[term + 1]]
@@ -126,12 +127,12 @@ class Segment:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the index of all documents and reads it again: one row a segment."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("vocabulary", "bounds", "counts", "postings"))])
+        kinds = pa.schema([("doc_ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("vocabulary", "bounds", "counts", "postings"))])
         for batch in slices(batches, "t"):
-            yield pa.RecordBatch.from_pylist([Segment.of(batch.column(0).to_pylist(), batch.column(1)).row()], kinds)
+            yield pa.RecordBatch.from_pylist([Segment.of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)).row()], kinds)
 
     return stage(rows.mapInArrow(index, INDEX), "positional-index")
 
@@ -154,7 +155,7 @@ def _windows(batch: pa.RecordBatch, window: int):
 def find_contamination(index: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Exact occurrences of benchmark windows in every indexed document.
 
-    Returns ``doc_id, n_words, n_hit`` (words inside an occurrence), ``n_items``, ``item_ids``
+    Returns ``doc_id, text_hash, n_words, n_hit`` (words inside an occurrence), ``n_items``, ``item_ids``
     (sorted as strings) and ``spans`` (maximal runs of hit words) for each document.
     """
     ship(index.sparkSession)
@@ -201,8 +202,8 @@ def _found(segment: Segment, blocks, window: int) -> pa.RecordBatch:
         begin, end = np.flatnonzero(own == 1), np.flatnonzero(own == -1)
         spans[d] = [{"start": s, "length": e - s} for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(segment.doc_ids, pa.int64()), pa.array(np.diff(segment.first)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))],
-        names=["doc_id", "n_words", "n_hit", "n_items", "item_ids", "spans"],
+        [pa.array(segment.doc_ids, pa.int64()), pa.array(segment.hashes, pa.int64()), pa.array(np.diff(segment.first)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))],
+        names=["doc_id", "text_hash", "n_words", "n_hit", "n_items", "item_ids", "spans"],
     )
 
 

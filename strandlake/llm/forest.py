@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import ship, slices, small, stage
+from strandlake.llm.common import ship, slices, small, stage, text_hash, without_rows
 from strandlake.llm.components import connected_components
 from strandlake.llm.words import mix, split_words
 
@@ -214,9 +214,9 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, trees: int = 20, depth: int = 6, target: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links`` of every row.
+    """``doc_id, class_id, n_links, class_key, text_hash, text_hash2`` of every row.
 
-    ``class_id`` is the least identifier of the class, ``n_links`` the number of other rows
+    ``class_id`` is the least identifier of the class, ``class_key`` a number of its own, ``n_links`` the number of other rows
     linked to the row, copies included.
     """
     ship(docs.sparkSession)
@@ -275,7 +275,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, tre
     best = classes.withColumnRenamed("node", "nid").join(links, "nid").join(nodes.select("nid", "h1", "h2", "least"), "nid")
     best = stage(best, "forest-classes")
     ids = stage(best.groupBy("component").agg(F.min("least").alias("class_least")), "forest-class-ids")
-    best = best.join(small(ids), "component").select("nid", "class_least", "links")
+    best = best.join(small(ids), "component").select("nid", "component", "class_least", "links")
     final = nodes.select("nid", "h1", "h2", "least", "n").join(best, "nid", "left")
-    final = stage(final.select("h1", "h2", F.coalesce("class_least", "least").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "forest-final")
-    return rows.select("doc_id", "h1", "h2").join(final, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
+    final = final.select("h1", "h2", F.coalesce("class_least", "least").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "nid").alias("class_key"))
+    out = rows.select("doc_id", "h1", "h2").join(stage(final, "forest-final"), ["h1", "h2"])
+    return out.select("doc_id", "class_id", "n_links", "class_key", F.col("h1").alias("text_hash"), F.col("h2").alias("text_hash2"))
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: that with the least identifier; all columns stay."""
+    found = stage(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "forest-rows")
+    names = found.groupBy("class_key", "doc_id", "text_hash", "text_hash2").agg(F.count("*").alias("c"))
+    # a missing identifier is the last choice
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash", "text_hash2")
+    best = stage(names.withColumn("rank", rank).groupBy("class_key").agg(F.min(F.struct("rank", "c")).alias("b")).select("class_key", F.col("b.rank.doc_id").alias("best_id"), F.col("b.rank.text_hash").alias("best_hash"), F.col("b.c").alias("best_c")), "forest-best")
+    gone = names.join(best, "class_key").filter(~(F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash"))))
+    kept = without_rows(docs, gone, id_col, text_col)
+    twice = best.filter("best_c > 1").select(F.col("best_id").alias("__id"), F.col("best_hash").alias("__hash"))
+    if twice.isEmpty():
+        return kept
+    twice = small(stage(twice, "forest-twice"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(F.col(text_col)) == F.col("__hash"))
+    number = F.row_number().over(Window.partitionBy(F.col(id_col), text_hash(F.col(text_col))).orderBy(F.lit(1)))
+    again = kept.join(twice, same, "left_semi").withColumn("__n", number).filter("__n = 1").select(*docs.columns)
+    return kept.join(twice, same, "left_anti").unionByName(again)

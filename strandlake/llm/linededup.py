@@ -14,8 +14,8 @@ an insertion).  (4) The earliest first place of each key is joined back - every
 reduced to its minimum, so no pairs are made - and (5) the edit distance is verified.
 
 Special cases: null texts have no lines; empty tables give empty results; a null identifier
-comes first; repeated rows (equal identifier) count as one document of that identifier for
-the order, each line number once; other columns stay as they are, whatever their names.
+comes first; rows with one identifier are one place in the order, so they never drop each
+other's line of the same number; ties and repeated rows are treated alike; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import small, stage
+from strandlake.llm.common import small, stage, text_hash
 
 
 def _hashes(line: Column) -> list[Column]:
@@ -31,8 +31,8 @@ def _hashes(line: Column) -> list[Column]:
 
 
 def split_lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line_no`` (from 0), ``line`` of all lines long enough to be compared."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+    """``doc_id, text_hash, line_no`` (from 0), ``line`` of all lines long enough to be compared."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
     return rows.filter(F.length("line") >= min_chars)
 
 
@@ -51,14 +51,14 @@ def _open_quarters(line: Column, n: Column) -> Column:
 
 
 def find_first_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The lines to drop: ``doc_id, line_no, first_doc_id, first_line_no, edits``.
+    """The lines to drop: ``doc_id, text_hash, line_no, first_doc_id, first_line_no, edits``.
 
     ``first_*`` is the earliest line within the bound, ``edits`` 0 or 1.
     """
     spark = docs.sparkSession
     lines = split_lines(docs, min_chars, id_col, text_col)
     place = F.struct("doc_id", "line_no")
-    hashed = lines.select("doc_id", "line_no", *_hashes(F.col("line")))
+    hashed = lines.select("doc_id", "text_hash", "line_no", *_hashes(F.col("line")))
     firsts = stage(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines-first")
 
     # (2) keys of open quarters at which two different lines meet
@@ -95,17 +95,16 @@ def find_first_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id
     known = firsts.join(small(near), ["h1", "h2"], "left").filter("n > 1 or near is not null")
     known = stage(known.select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("first"), (F.col("near") < F.col("first")).alias("is_near"), F.col("first").alias("own")), "lines-known")
     found = hashed.join(small(known), ["h1", "h2"]).filter(F.col("first") < place)
-    out = found.select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.when(F.coalesce("is_near", F.lit(False)), 1).otherwise(0).alias("edits"))
-    return out
+    return found.select("doc_id", "text_hash", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.when(F.coalesce("is_near", F.lit(False)), 1).otherwise(0).alias("edits"))
 
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` without the lines in ``dropped`` (``doc_id, line_no``); all columns stay.
+    """``docs`` without the lines in ``dropped`` (``doc_id, text_hash, line_no``); all columns stay.
 
     Texts that lose no line are untouched; a text that loses all becomes empty.
     """
-    gone = dropped.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    gone = dropped.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
+    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(F.col(text_col)) == F.col("__hash")), "left")
     lines = f"array(named_struct('x', split(`{text_col}`, '\n', -1), 'gone', __gone))"  # bound once, not per line
     kept = F.expr(f"transform({lines}, s -> array_join(transform(array_except(sequence(0, size(s.x) - 1), s.gone), i -> s.x[i]), '\n'))[0]")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)

@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import small, stage
+from strandlake.llm.common import small, stage, text_hash
 from strandlake.llm.textstats import with_text_stats
 
 FLOORS = (0.10, 0.05, 0.15, 0.08)
@@ -166,12 +166,12 @@ def robust_distances(rows: DataFrame, core: float = 0.5, steps: int = 6, toleran
 def quality_verdicts(docs: DataFrame, cut: float = 0.9999, core: float = 0.5, min_group: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Statistics and verdict of every row.
 
-    ``doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines,
+    ``doc_id, text_hash, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines,
     n_repeat_words, base_failed, distance2, kept``.  ``base_failed``: fewer than 10 words, or
     more than a fifth of them in repeated windows; such rows are no part of the estimates.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    rows = with_text_stats(rows, "text", ["doc_id", "lang", "source"])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = with_text_stats(rows, "text", ["doc_id", "text_hash", "lang", "source"])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = stage(rows.select("*", failed.alias("base_failed"), *[v.cast("double").alias(x) for v, x in zip(_vector(), X, strict=True)]), "text-stats")
 
@@ -192,4 +192,4 @@ def quality_verdicts(docs: DataFrame, cut: float = 0.9999, core: float = 0.5, mi
     joined = stage(joined.drop("gl", "gs").withColumn("fit", ~F.col("base_failed")), "mcd-rows")
     out = robust_distances(joined, core)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= chi2_quantile(cut, P), F.lit(True))
-    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
+    return out.select("doc_id", "text_hash", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))

@@ -62,7 +62,7 @@ def op6_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.forest import near_duplicates
 
-    return near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.8, ngram=5)
+    return near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.8, ngram=5).select("doc_id", "class_id", "n_links")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.linededup import find_first_lines
 
-    return find_first_lines(_read(spark, sf_dir, "documents"), min_chars=20)
+    return find_first_lines(_read(spark, sf_dir, "documents"), min_chars=20).drop("text_hash")
 
 
 QUERIES = {
