@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of rows of a narrow table that may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
