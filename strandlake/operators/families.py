@@ -47,7 +47,7 @@ def top_k_mean(array: Column, k: int) -> Column:
     if k == 0:
         return F.lit(0.0)
     top = F.slice(F.sort_array(F.transform(array, F.abs), asc=False), 1, k)
-    return F.when(~F.exists(array, lambda x: x.isNull()), F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top))
+    return F.when(~F.exists(array, lambda x: x.isNull()), F.try_divide(F.aggregate(top, F.lit(0.0), lambda a, x: a + x), F.size(top)))
 
 
 def signed_extreme(array: Column, names: list[str] | None = None) -> Column:
@@ -57,7 +57,7 @@ def signed_extreme(array: Column, names: list[str] | None = None) -> Column:
     idx = -best["r"]
     fields = [best["v"].alias("value"), idx.alias("idx")]
     if names:
-        fields.append(F.element_at(F.array(*[F.lit(n) for n in names]), idx + 1).alias("track"))
+        fields.append(F.when(best.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in names]), idx + 1)).alias("track"))
     return F.struct(*fields)
 
 

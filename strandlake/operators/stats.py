@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,6 @@ def welch(moments: DataFrame) -> DataFrame:
 
 def with_p_values(df: DataFrame, t: str = "t", freedom: str = "df", tests: int | None = None) -> DataFrame:
     """Two-sided p of Student's t; with ``tests`` also ``significant`` at 0.05 / tests."""
-    import pandas as pd
-
     from strandlake.functions.special import t_two_sided
 
     @F.pandas_udf("double")
@@ -83,8 +82,8 @@ def spearman(df: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
         return ties.select(c, (run - (F.col("k") - 1) / 2.0).alias(f"r{c}"))
 
     both = rows.join(small(ranks("x")), "x").join(small(ranks("y")), "y")
-    m = both.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
-    return m.select("n", F.when((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("c")).alias("rho"))
+    m = both.agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
+    return m.select("n", F.when((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0), F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).alias("rho"))
 
 
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -19,8 +19,8 @@ GENE_MODEL = [
     ("chr1", "exon", 1000, 1200, "+", "e1", "rna-T1", "T1"), ("chr1", "exon", 1400, 1600, "+", "e2", "rna-T1", "T1"), ("chr1", "exon", 1800, 2000, "+", "e3", "rna-T1", "T1"),
     ("chr1", "CDS", 1100, 1200, "+", "c1", "rna-T1", "T1"), ("chr1", "CDS", 1400, 1600, "+", "c1", "rna-T1", "T1"), ("chr1", "CDS", 1800, 1900, "+", "c1", "rna-T1", "T1"),
     ("chr1", "gene", 1195, 2600, "-", "gene-B", None, None), ("chr1", "mRNA", 1195, 2600, "-", "rna-T2", "gene-B", "T2"),
-    ("chr1", "exon", 1195, 1300, "-", "f1", "rna-T2", "T2"), ("chr1", "exon", 2400, 2600, "-", "f2", "rna-T2", "T2"),
-    ("chr1", "CDS", 1250, 1300, "-", "d1", "rna-T2", "T2"), ("chr1", "CDS", 2400, 2500, "-", "d1", "rna-T2", "T2"),
+    ("chr1", "exon", 1195, 1399, "-", "f1", "rna-T2", "T2"), ("chr1", "exon", 2400, 2600, "-", "f2", "rna-T2", "T2"),
+    ("chr1", "CDS", 1250, 1399, "-", "d1", "rna-T2", "T2"), ("chr1", "CDS", 2400, 2500, "-", "d1", "rna-T2", "T2"),
     ("chr2", "lncRNA", 500, 900, "+", "rna-L1", "gene-L", "L1"), ("chr2", "exon", 500, 600, "+", "g1", "rna-L1", "L1"),
 ]
 
