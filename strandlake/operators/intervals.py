@@ -8,10 +8,13 @@ after a count.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.operators.common import small
 
@@ -158,23 +161,25 @@ def shared_windows(rows: DataFrame, keys: list[str], pos: str, span: str, max_sp
     """Groups rows that can share one window: same keys and phase (position modulo ``period``), greedily from the left.
 
     A group takes rows while they end within ``max_span`` of its first.  Each step depends on
-    where the last group began, so the scan is sequential inside one (keys, phase); there
-    are ``period`` phases for each key, and groups stream through in sorted order.
-    Adds ``window_no`` (from 0 within keys and phase) and ``window_first``.
+    where the last group began, so this is a scan: rows are dealt by (keys, phase), sorted
+    inside the partitions and streamed through, with one open group as the only state.
+    Adds ``phase``, ``window_no`` (from 0 within keys and phase) and ``window_first``.
     """
-    import pandas as pd
-
-    schema = rows.schema.add("phase", "long").add("window_no", "long").add("window_first", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("phase", T.LongType()), T.StructField("window_no", T.LongType()), T.StructField("window_first", T.LongType())])
     phased = rows.withColumn("phase", F.pmod(F.col(pos).cast("long") - 1, F.lit(period)).cast("long"))
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([pos, *[c for c in pdf.columns if c != pos and c in keys]], kind="stable")
-        numbers, firsts, number, first = [], [], -1, None
-        for p, size in zip(pdf[pos], pdf[span], strict=True):
-            if first is None or p + max(1, size) - first > max_span:
-                first, number = p, number + 1
-            numbers.append(number)
-            firsts.append(first)
-        return pdf.assign(window_no=numbers, window_first=firsts)
-
-    return phased.groupBy(*keys, "phase").applyInPandas(scan, schema)
+    dealt = phased.repartition(*keys, "phase").sortWithinPartitions(*keys, "phase", pos, span)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, number, first = None, -1, None
+        for pdf in batches:
+            numbers, firsts = [], []
+            for key, p, size in zip(zip(*(pdf[c] for c in (*keys, "phase")), strict=True), pdf[pos], pdf[span], strict=True):
+                if key != group:
+                    group, number, first = key, -1, None
+                if first is None or p + max(1, size) - first > max_span:
+                    first, number = p, number + 1
+                numbers.append(number)
+                firsts.append(first)
+            yield pdf.assign(window_no=numbers, window_first=firsts)
+
+    return dealt.mapInPandas(scan, schema)
