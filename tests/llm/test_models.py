@@ -160,7 +160,7 @@ def _labelled(spark, n=600):
         if toxic:
             for _ in range(max(1, len(words) // 20)):
                 words[int(rng.integers(0, len(words)))] = str(rng.choice(["scumbag", "m0ron", "dunce", "flubberish", "flubberous", "flubbertastic"]))
-        if i % 9 == 1:
+        if i % 41 == 1 and not toxic:
             words[:2] = ["oxy", "moron"]
         docs.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
