@@ -230,20 +230,25 @@ def write_sstables(docs: DataFrame, tokenizer: str, folder: str | None = None, e
         encode = encoder(tokenizer)
         width = np.dtype(np.uint16 if encode.size <= 1 << 16 and end_id < 1 << 16 else np.uint32)
         part, piece = TaskContext.get().partitionId(), 0
-        rest = slices(batches, "t", 16 << 20)
-        batch = next(rest, None)
-        while batch is not None:
+
+        def entries() -> Iterator[tuple[bytes, bytes]]:
+            for batch in slices(batches, "t", 16 << 20):
+                ids, offsets = encode.encode(batch.column(1), end_id)
+                data, bounds = ids.astype(width).tobytes(), (offsets * width.itemsize).tolist()
+                for i, k in enumerate(batch.column(0).to_pylist()):
+                    yield key_of(k), data[bounds[i] : bounds[i + 1]]
+
+        rest = entries()
+        entry = next(rest, None)
+        while entry is not None:
             done: list[int] = []
 
             def fill(stream, done=done):
-                nonlocal batch
+                nonlocal entry
                 writer = Writer(stream, width.itemsize)
-                while batch is not None and writer.tokens < shard_tokens:
-                    ids, offsets = encode.encode(batch.column(1), end_id)
-                    data, bounds = ids.astype(width).tobytes(), (offsets * width.itemsize).tolist()
-                    for i, k in enumerate(batch.column(0).to_pylist()):
-                        writer.add(key_of(k), data[bounds[i] : bounds[i + 1]])
-                    batch = next(rest, None)
+                while entry is not None and writer.tokens < shard_tokens:
+                    writer.add(*entry)
+                    entry = next(rest, None)
                 writer.close()
                 done += (writer.entries, writer.tokens)
 

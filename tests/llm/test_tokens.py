@@ -122,7 +122,7 @@ def test_pieces_cover_every_id(spark, tricky, rows):
         assert at <= 64
         padding += 0 if at & (at - 1) == 0 else 64 - at
     total = sum(p["length"] for p in pieces)
-    assert padding < 0.02 * total
+    assert padding < 0.15 * total  # windows are only two grid steps long here
     want = Counter((r[0], np.array([*reference(r[1]), 0], "<u4").tobytes()) for r in rows)
     got: Counter = Counter()
     open_: dict = {}
