@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import ship, slices
+from strandlake.llm.common import ship, slices, stage
 
 #: Lengths that share a block of the two-level sums.
-BLOCK = 1024
+BLOCK = 128
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -48,8 +48,9 @@ def context_answers(histogram: DataFrame) -> DataFrame:
     ``docs_longer`` and ``tokens_longer`` beyond (suffix sums), ``kept_tokens`` and
     ``lost_tokens`` when every document is cut at L, and ``quantile``, the share of documents
     up to L.  Sums run in two levels, so no task holds more than the blocks or one block.
+    The histogram is read twice and so written first.
     """
-    rows = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
+    rows = stage(histogram, "length-histogram").select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
