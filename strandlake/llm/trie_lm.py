@@ -36,6 +36,8 @@ from strandlake.llm.words import split_words
 #: Hash of the end of a text; no word is empty.
 END = 0
 HASH_BITS = 63
+#: Bytes of text that a task works on at a time.
+SLICE = 4 << 20
 
 _maps: dict[str, list[np.ndarray]] = {}
 
@@ -149,11 +151,15 @@ def _nodes(model: Model, ids: np.ndarray, first: np.ndarray, level: int) -> Iter
 
 
 def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(8-bit codes, 256 levels): bins of equal population on the log scale, their geometric means."""
+    """(8-bit codes, 256 levels): bins over the distinct values on the log scale, their geometric means.
+
+    Bins share the distinct values, not the rows: the many equal small counts need few codes.
+    """
     if not len(values):
         return np.zeros(0, np.uint8), np.ones(256)
     log = np.log(values)
-    edges = np.quantile(log[:: max(1, len(log) // 200_000)], np.linspace(0, 1, 257)[1:-1])
+    distinct = np.unique(np.round(np.concatenate([log[:: max(1, len(log) // 500_000)], [log.min(), log.max()]]), 4))
+    edges = (distinct[1:] + distinct[:-1]) / 2 if len(distinct) <= 256 else np.quantile(distinct, np.linspace(0, 1, 257)[1:-1])
     codes = np.searchsorted(edges, log, "right").astype(np.uint8)
     size = np.bincount(codes, minlength=256)
     mean = np.bincount(codes, log, minlength=256) / np.maximum(size, 1)
@@ -162,7 +168,7 @@ def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _vocabulary(rows: DataFrame, folder: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE):
             hashes, codes, first, n = _tokens(batch.column(0))
             many = np.bincount(codes, minlength=len(hashes))
             many[-1] -= len(n)  # the end before a text is no token
@@ -190,7 +196,7 @@ def _level(rows: DataFrame, model: Model, level: int, shards: int, folder: str)
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE):
             hashes, codes, first, _ = _tokens(batch.column(0))
             ids = model.lookup_words(hashes)[0][codes]
             start = np.zeros(len(ids), bool)
@@ -246,8 +252,10 @@ def _write_shard(shard: int, got: list[tuple], bits: int, words: int, folder: st
     many = np.concatenate([plain(c, 4) for _, _, c in got]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, many = keys[order], many[order]
+    del order
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     keys, count = keys[heads], np.add.reduceat(many, heads)
+    del heads, many
     local, word = keys >> bits, keys & ((1 << bits) - 1)
     once, twice = int((count == 1).sum()), int((count == 2).sum())
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.1
@@ -262,7 +270,7 @@ def _write_shard(shard: int, got: list[tuple], bits: int, words: int, folder: st
     return pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n": [len(keys)]})
 
 
-def train(docs: DataFrame, order: int = 3, shard_tokens: int = 4 << 20, text_col: str = "text") -> Model:
+def train(docs: DataFrame, order: int = 3, shard_tokens: int = 2 << 20, text_col: str = "text") -> Model:
     """Counts all n-grams of ``docs`` up to ``order`` and writes the trie to the shared folder.
 
     ``shard_tokens``: training tokens for each shard of a level, which bounds a task's memory.
@@ -301,7 +309,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE):
             hashes, codes, first, n = _tokens(batch.column(1))
             word_ids, word_counts = model.lookup_words(hashes)
             ids, many = word_ids[codes], word_counts[codes]
