@@ -9,9 +9,15 @@ the chi-squared quantile ``cut`` are rejected.
 
 The vector: log of the mean word length (ten words of five characters added, so that short texts
 scatter no more than long ones), square root of the share of symbols, share of
-repeated lines, share of words in repeated windows.  ``FLOORS`` are added to the scatter:
-spreads below them are of no account, which also keeps it regular where a statistic is
-constant.
+repeated lines, share of words in repeated windows.  Most documents have no symbols and no
+repeats at all, so the scatter of a core can vanish.  Its diagonal is therefore raised to the
+square of a floor at least: the spread of the rows of the group that differ from its median
+(1.4826 times the median of their distances from it), at most ``LIMITS / sqrt(cut)`` and at
+least ``LEAST`` of that, which is also the least that is added, so that the scatter stays
+regular.  Where the core of a group has no repeats or symbols, a document goes by one statistic
+alone beyond ``LIMITS`` (30 % repeated lines, 2 % symbols), or, where that is less, beyond 7.2
+times the median of the rows of the group that have any (but not below a tenth of the limit):
+with a median of 2 %, over 14.4 % of the words in repeated windows.
 
 Everything is DataFrame functions.  Distances are ranked by histograms of fixed resolution
 (``BINS`` a unit of log distance), which combine before the shuffle: no group, however large,
@@ -35,8 +41,14 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import small, stage, text_hash
 from strandlake.llm.textstats import with_text_stats
 
-FLOORS = (0.10, 0.05, 0.15, 0.08)
-P = len(FLOORS)
+#: Distances from the centre that reject alone in a group whose core has no spread: a mean word half as long again,
+#: 2 % symbols, 30 % repeated lines, 40 % words in repeated windows (the base rule ends at 20 %: below, the group's own spread decides).
+LIMITS = (math.log(1.5), math.sqrt(0.02), 0.30, 0.40)
+#: Least floor as a share of the greatest; keeps the scatter regular where a statistic is constant.
+LEAST = 0.1
+#: Quantile of chi-squared beyond which documents are rejected.
+CUT = 0.9999
+P = len(LIMITS)
 BINS = 200
 X = [f"x{i}" for i in range(P)]
 
@@ -96,7 +108,13 @@ def _distance() -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _moments(rows: DataFrame, factor: float) -> DataFrame:
+def _raised(cells: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
+    """A scatter matrix with its diagonal raised to the squared floors (f*), and by the square of the least floor at least."""
+    least = [(LEAST * x) ** 2 / chi2_quantile(CUT, P) for x in LIMITS]
+    return {(i, j): F.greatest(c + least[i], F.col(f"f{i}") * F.col(f"f{i}")) if i == j else c for (i, j), c in cells.items()}
+
+
+def _moments(rows: DataFrame, floors: DataFrame, factor: float) -> DataFrame:
     """Centre and factor of each (g, start) from the rows given; ``factor`` makes the scatter consistent."""
     sums = rows.groupBy("g", "start").agg(
         F.count("*").alias("k"),
@@ -104,8 +122,9 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
         *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)],
     )
     mean = {i: F.col(f"s_{X[i]}") / F.col("k") for i in range(P)}
-    cells = {(i, j): factor * (F.col(f"s_{i}_{j}") / F.col("k") - mean[i] * mean[j]) + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)}
-    return _with_det(sums.select("g", "start", *[mean[i].alias(f"m{i}") for i in range(P)], *_scatter(cells)))
+    sums = sums.join(small(floors), "g")
+    cells = {(i, j): factor * (F.col(f"s_{i}_{j}") / F.col("k") - mean[i] * mean[j]) for i in range(P) for j in range(i + 1)}
+    return _with_det(sums.select("g", "start", *[mean[i].alias(f"m{i}") for i in range(P)], *_scatter(_raised(cells))))
 
 
 def _with_det(fit: DataFrame) -> DataFrame:
@@ -120,19 +139,28 @@ def _medians(long: DataFrame, step: float = 1e-3) -> DataFrame:
     return bins.filter(2 * F.col("below") >= F.col("n")).groupBy("g", "dim").agg((F.min("bin") * step).alias("med"))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """Two starts for each group: medians with median absolute deviations, and medians with the floors alone."""
+def _floors() -> list[Column]:
+    """Floors f* of a group from the spread d* of its rows off the median (null if there are none)."""
+    most = [x / math.sqrt(chi2_quantile(CUT, P)) for x in LIMITS]
+    return [F.least(F.greatest(F.coalesce(1.4826 * F.col(f"d{i}"), F.lit(0.0)), F.lit(LEAST * most[i])), F.lit(most[i])).alias(f"f{i}") for i in range(P)]
+
+
+def _starts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two starts for each group - medians with median absolute deviations, and medians with the floors alone - and the floors."""
     long = rows.select("g", F.posexplode(F.array(*X)).alias("dim", "v"))
     med = stage(_medians(long), "mcd-medians")
     away = long.join(small(med), ["g", "dim"]).select("g", "dim", F.abs(F.col("v") - F.col("med")).alias("v"))
     mad = _medians(away).withColumnRenamed("med", "mad")
-    both = med.join(mad, ["g", "dim"]).groupBy("g").agg(*[F.max(F.when(F.col("dim") == i, F.col("med"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("dim") == i, F.col("mad"))).alias(f"a{i}") for i in range(P)])
-    cells = {(i, j): (F.col("start") * (1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)) for i in range(P) for j in range(i + 1)}
-    both = both.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    return _with_det(both.select("g", "start", *[f"m{i}" for i in range(P)], *_scatter(cells)))
+    off = _medians(away.filter(F.col("v") > 1e-3)).withColumnRenamed("med", "off")
+    both = med.join(mad, ["g", "dim"]).join(off, ["g", "dim"], "left")
+    both = both.groupBy("g").agg(*[F.max(F.when(F.col("dim") == i, F.col(c))).alias(f"{n}{i}") for n, c in (("m", "med"), ("a", "mad"), ("d", "off")) for i in range(P)])
+    both = stage(both.select("*", *_floors()), "mcd-floors")
+    cells = {(i, j): (F.col("start") * (1.4826 * F.col(f"a{i}")) ** 2 if i == j else F.lit(0.0)) for i in range(P) for j in range(i + 1)}
+    starts = both.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    return _with_det(starts.select("g", "start", *[f"m{i}" for i in range(P)], *_scatter(_raised(cells)))), both.select("g", *[f"f{i}" for i in range(P)])
 
 
-def _concentrate(rows: DataFrame, fit: DataFrame, core: float) -> DataFrame:
+def _concentrate(rows: DataFrame, fit: DataFrame, floors: DataFrame, core: float) -> DataFrame:
     """One concentration step: moments of the share ``core`` with the least distances."""
     far = rows.join(small(fit), "g").withColumn("bin", F.floor(F.log1p(_distance() * 100) * BINS)).select("g", "start", "bin", *X)
     bins = far.groupBy("g", "start", "bin").agg(F.count("*").alias("c"))
@@ -140,15 +168,16 @@ def _concentrate(rows: DataFrame, fit: DataFrame, core: float) -> DataFrame:
     bins = bins.withColumn("before", F.sum("c").over(group.orderBy("bin")) - F.col("c")).withColumn("n", F.sum("c").over(group))
     edge = bins.filter(F.col("before") < F.ceil(F.col("n") * core)).groupBy("g", "start").agg(F.max("bin").alias("edge"))
     edge = stage(edge, "mcd-edge")
-    return _moments(far.join(small(edge), ["g", "start"]).filter("bin <= edge"), core / chi2_cdf(chi2_quantile(core, P), P + 2))
+    return _moments(far.join(small(edge), ["g", "start"]).filter("bin <= edge"), floors, core / chi2_cdf(chi2_quantile(core, P), P + 2))
 
 
 def robust_distances(rows: DataFrame, core: float = 0.5, steps: int = 6, tolerance: float = 1e-4) -> DataFrame:
     """``rows`` (with ``g`` and the vector, staged) plus ``distance2`` by the estimates of its group ``g``; null where ``g`` is."""
     fitted = rows.filter(F.col("g").isNotNull() & F.col("fit")).select("g", *X)
-    fit = stage(_starts(fitted), "mcd-fit")
+    fit, floors = _starts(fitted)
+    fit = stage(fit, "mcd-fit")
     for _ in range(steps):
-        new = stage(_concentrate(fitted, fit, core), "mcd-fit")
+        new = stage(_concentrate(fitted, fit, floors, core), "mcd-fit")
         old = fit.select("g", "start", F.col("log_det").alias("was"))
         moved = new.join(old, ["g", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
         fit = new
@@ -158,12 +187,12 @@ def robust_distances(rows: DataFrame, core: float = 0.5, steps: int = 6, toleran
     best = stage(best, "mcd-best")
     near = 0.975
     inside = fitted.join(small(best), "g").filter(_distance() <= chi2_quantile(near, P)).select("g", "start", *X)
-    last = stage(_moments(inside, near / chi2_cdf(chi2_quantile(near, P), P + 2)), "mcd-last")
+    last = stage(_moments(inside, floors, near / chi2_cdf(chi2_quantile(near, P), P + 2)), "mcd-last")
     cols = [F.col(c) for c in rows.columns]
     return rows.join(small(last.drop("log_det", "start")), "g", "left").select(*cols, _distance().alias("distance2"))
 
 
-def quality_verdicts(docs: DataFrame, cut: float = 0.9999, core: float = 0.5, min_group: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality_verdicts(docs: DataFrame, cut: float = CUT, core: float = 0.5, min_group: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Statistics and verdict of every row.
 
     ``doc_id, text_hash, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines,

@@ -127,6 +127,27 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert again == got
 
 
+def test_repeats_far_beyond_those_of_the_group_go(spark):
+    """Repeated lines and repeated windows reject alone, although most of the group has none; small shares stay."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for i in range(400):
+        words = [str(n).translate(str.maketrans("0123456789", "abcdefghij")) for n in rng.integers(10_000, 1_000_000, 500)]
+        kind = i % 20
+        if kind == 3:  # words in repeated windows: 16 % or 2 %
+            n = 40 if i < 40 else 5
+            words[300 : 300 + n] = words[100 : 100 + n]
+        lines = [" ".join(words[4 * k : 4 * k + 4]) for k in range(125)]
+        for k in range({0: 55, 1: 45, 2: 5}[kind] if i < 40 and kind < 2 or kind == 2 else 0):  # 44 %, 36 % or 4 % repeated lines
+            lines[2 * k + 2] = lines[0]  # between lines of their own: no window of five words repeats
+        rows.append((i, "\n".join(lines), "en", "s"))
+        want[i] = not (i < 40 and kind in (0, 1, 3))
+    got = quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.n_dup_lines for r in got} >= {0, 5, 45, 55} and {r.n_repeat_words for r in got} == {0, 10, 80}
+    assert {r.doc_id: r.kept for r in got} == want
+
+
 def test_minimum_determinant_matches_numpy(spark):
     """Distances of a clean group equal those of a plain reweighted estimate around the same core."""
     rng = np.random.default_rng(5)
