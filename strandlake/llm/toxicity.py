@@ -2,8 +2,9 @@
 
 Texts are folded first: case, accents, look-alike letters of other scripts and digits that
 stand for letters become one spelling; all else separates words.  The lexicon - whole words
-and word beginnings - is learned from labelled rows: patterns that are frequent in toxic
-rows, weighted by their log odds against the others.  Phrases of a pattern with the word
+and word beginnings - is learned from labelled rows: patterns that are significantly more frequent
+in toxic rows (log-likelihood ratio of the exact counts), weighted by their log odds against the
+others; neither candidates nor lexicon nor exceptions are capped.  Phrases of a pattern with the word
 before it that labelled rows show to be harmless become exceptions; matches inside them do
 not count.  The matched weight, plain and normalised by length, goes through a logistic curve.
 
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import ship, slices, small, stage
+from strandlake.llm.outliers import chi2_quantile
 
 #: Letters of other scripts that look like a Latin letter.
 LOOK_ALIKES = {
@@ -86,7 +88,7 @@ def patterns_of(folded: str) -> set[str]:
 
 @dataclass
 class Lexicon:
-    """Weighted patterns, exception phrases and the curve; small by construction."""
+    """Weighted patterns, exception phrases and the curve; as large as the significant vocabulary."""
 
     weights: dict[str, float]
     exceptions: list[str] = field(default_factory=list)
@@ -150,12 +152,19 @@ def _counts(rows: DataFrame, patterns) -> DataFrame:
     return rows.select("y", "t").mapInArrow(count, "p string, c0 long, c1 long").groupBy("p").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", min_share: float = 0.005, min_weight: float = 2.0, max_candidates: int = 50_000, max_patterns: int = 2_000, sample_rows: int = 20_000) -> Lexicon:
+def _likelihood_ratio(n0: int, n1: int) -> Column:
+    """Log-likelihood ratio (chi-squared with one degree) of a pattern's rows ``c0``, ``c1`` among ``n0``, ``n1``."""
+    c0, c1, n = F.col("c0"), F.col("c1"), n0 + n1
+    cells = [(c0, (c0 + c1) * (n0 / n)), (c1, (c0 + c1) * (n1 / n)), (n0 - c0, (n - c0 - c1) * (n0 / n)), (n1 - c1, (n - c0 - c1) * (n1 / n))]
+    return 2 * sum((F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
+
+
+def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", min_rows: int = 3, min_weight: float = 2.0, significance: float = 1e-5, sample_rows: int = 20_000) -> Lexicon:
     """Learns patterns, exceptions and curve from the rows of ``labels`` (already without held-out rows).
 
-    ``min_share``: least share of toxic rows with a pattern (and 3 rows at least);
-    ``max_candidates``, ``max_patterns``: sizes of the candidate list and of the lexicon, most
-    frequent and most telling first.
+    ``min_rows``: least number of toxic rows with a pattern, and of other rows with an exception,
+    however large the input; ``min_weight``: least log odds; ``significance``: level of the
+    log-likelihood ratio test (without other rows, five toxic rows are enough if a tenth are toxic).
     """
     ship(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
@@ -171,16 +180,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     prior = (n1 + 0.5) / (n0 + n1 + 1)
     if not n0 or not n1:
         return Lexicon({}, prior=prior)
-    least = max(3, math.ceil(min_share * n1))
-    frequent = _counts(rows.filter("y = 1"), lambda: patterns_of).filter(F.col("c1") >= least).orderBy(F.desc("c1"), "p").limit(max_candidates)
-    candidates = {r.p for r in frequent.select("p").collect()}
-    odds = {}
-    for r in _counts(rows, lambda: lambda t: patterns_of(t) & candidates).filter(F.col("c1") >= least).collect():
-        odds[r.p] = (math.log((r.c1 + 0.5) / (n1 + 1)) - math.log((r.c0 + 0.5) / (n0 + 1)), r.c1)
+    telling = _counts(rows, lambda: patterns_of).filter(F.col("c1") >= min_rows)
+    weight = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
+    telling = telling.withColumn("w", weight).filter((F.col("w") >= min_weight) & (_likelihood_ratio(n0, n1) >= chi2_quantile(1 - significance, 1)))
     weights: dict[str, float] = {}
-    for p, (w, c1) in sorted(odds.items(), key=lambda x: (-x[1][0] * math.sqrt(x[1][1]), x[0])):
-        if w >= min_weight and len(weights) < max_patterns and not any(q in p for q in weights):
-            weights[p] = w
+    for r in sorted(telling.collect(), key=lambda r: (-r.w * math.sqrt(r.c1), r.p)):
+        if not any(r.p[:k] in weights for k in range(2, len(r.p) + 1)):  # a blank leads every pattern, so one inside another is its beginning
+            weights[r.p] = r.w
     lexicon = Lexicon(weights, prior=prior)
     if not weights:
         return lexicon
@@ -198,8 +204,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
         return find
 
-    harmless = _counts(rows, phrases).filter(F.col("c0") >= max(3, math.ceil(0.0005 * n0))).filter((F.col("c1") + 0.5) / (n1 + 1) < (F.col("c0") + 0.5) / (n0 + 1))
-    lexicon.exceptions = [r.p for r in harmless.orderBy(F.desc("c0"), "p").limit(max_patterns).collect()]
+    harmless = _counts(rows, phrases).filter(F.col("c0") >= min_rows).filter((F.col("c1") + 0.5) / (n1 + 1) < (F.col("c0") + 0.5) / (n0 + 1))
+    lexicon.exceptions = sorted(r.p for r in harmless.select("p").collect())
     lexicon.curve = _fit(rows, lexicon, sample_rows)
     return lexicon
 

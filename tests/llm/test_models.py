@@ -182,6 +182,23 @@ def test_held_out_toxicity(spark, tricky, rows):
     assert score_toxicity(tricky, lexicon).count() == len(rows)
 
 
+def test_rare_telling_words_are_all_learned(spark):
+    """2,160 words, each in 5 of 1,200 toxic rows (0.4 %) and in no other: none is below a bar or beyond a cap."""
+    rng = np.random.default_rng(4)
+    slurs = [str(10_000 + k)[1:].translate(str.maketrans("0123456789", "bcdfghjkmn")) + "zqx" for k in range(2_160)]
+    docs, labels = [], []
+    for i in range(12_000):
+        words = [f"w{x}" for x in rng.integers(0, 400, 10)]
+        if i < 1_200:
+            words += [slurs[(9 * i + k) % 2_160] for k in range(9)]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i < 1_200)))
+    lexicon = learn_lexicon(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    auto = lexicon.automaton()
+    assert all(Lexicon.matches(auto, fold(s)) for s in slurs)
+    assert len(lexicon.weights) == 2_160  # common words stay out
+
+
 def test_toxicity_without_labels(spark, tricky, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     lexicon = learn_lexicon(tricky, none)
