@@ -2,7 +2,8 @@
 
 A line (``\\n``-separated) of at least ``min_chars`` code points is dropped if an earlier line,
 in the order of (identifier, line number), equals it or is one insertion, deletion or
-substitution away.  Shorter lines are never compared and always stay.
+substitution away.  Shorter lines always stay, unless ``equal_chars`` is given: then those of
+at least so many code points that are not blank are dropped if an earlier line equals them.
 
 All steps are DataFrame functions.  (1) Equal lines meet by a 128-bit hash; their first place
 is a map-side combined minimum.  (2) Two lines within the bound agree in all but one quarter,
@@ -30,10 +31,14 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def split_lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, line_no`` (from 0), ``line`` of all lines long enough to be compared."""
+def split_lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text", equal_chars: int | None = None) -> DataFrame:
+    """``doc_id, text_hash, line_no`` (from 0), ``line`` of all lines long enough to be compared.
+
+    With ``equal_chars`` also the lines of so many code points with something other than white space.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
-    return rows.filter(F.length("line") >= min_chars)
+    long = F.length("line") >= min_chars
+    return rows.filter(long if equal_chars is None else long | ((F.length("line") >= equal_chars) & F.col("line").rlike(r"\S")))
 
 
 def _open_quarters(line: Column, n: Column) -> Column:
@@ -50,7 +55,7 @@ def _open_quarters(line: Column, n: Column) -> Column:
     return F.array(*[part(n - role, role, t) for role in (0, 1) for t in range(4)])
 
 
-def find_first_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_first_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", equal_chars: int | None = None) -> DataFrame:
     """The lines to drop: ``doc_id, text_hash, line_no, first_doc_id, first_line_no, edits``.
 
     ``first_*`` is the earliest line within the bound, ``edits`` 0 or 1.
@@ -58,7 +63,8 @@ def find_first_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id
     spark = docs.sparkSession
     lines = split_lines(docs, min_chars, id_col, text_col)
     place = F.struct("doc_id", "line_no")
-    hashed = lines.select("doc_id", "text_hash", "line_no", *_hashes(F.col("line")))
+    every = lines if equal_chars is None else split_lines(docs, min_chars, id_col, text_col, equal_chars)
+    hashed = every.select("doc_id", "text_hash", "line_no", *_hashes(F.col("line")))
     firsts = stage(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines-first")
 
     # (2) keys of open quarters at which two different lines meet

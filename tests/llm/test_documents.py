@@ -202,6 +202,14 @@ def test_lines_within_one_edit(spark, tricky, rows):
     assert awkward == brute_lines([(r[0], r[1], None) for r in rows if len(r[1] or "") < 20_000 or "\n" in r[1]])
 
 
+def test_short_lines_equal_to_an_earlier_one(spark):
+    """With ``equal_chars`` short lines are compared for equality, and only for that; blank ones stay."""
+    docs = spark.createDataFrame([(1, "短い行です\nyes\n\n  \nfirst line of twenty chars"), (2, "yes\n短い行です\nyez\n\n  \nfirst line of twenty charz")], "doc_id long, text string")
+    got = {(r.doc_id, r.line_no, r.first_doc_id, r.first_line_no, r.edits) for r in find_first_lines(docs, equal_chars=1).collect()}
+    assert got == {(2, 0, 1, 1, 0), (2, 1, 1, 0, 0), (2, 5, 1, 4, 1)}
+    assert {(r.doc_id, r.line_no) for r in find_first_lines(docs).collect()} == {(2, 5)}
+
+
 def test_lines_are_cut(spark, tricky, rows, empty):
     df = spark.createDataFrame([(1, "first line of twenty chars\nkeep", 9, "x"), (2, "a\nfirst line of twenty charz\nb", 9, "y"), (3, "first line of twenty chars", 9, "z"), (4, None, None, None)], "doc_id long, text string, n_chars long, __gone2 string")
     got = {r.doc_id: (r.text, r.n_chars) for r in drop_lines(df, find_first_lines(df)).collect()}
