@@ -34,6 +34,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,7 +147,7 @@ def _floors() -> list[Column]:
 
 
 def _starts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two starts for each group - medians with median absolute deviations, and medians with the floors alone - and the floors."""
+    """Three starts for each group - medians with median absolute deviations, medians with the floors alone, means with the whole scatter - and the floors."""
     long = rows.select("g", F.posexplode(F.array(*X)).alias("dim", "v"))
     med = stage(_medians(long), "mcd-medians")
     away = long.join(small(med), ["g", "dim"]).select("g", "dim", F.abs(F.col("v") - F.col("med")).alias("v"))
@@ -157,7 +158,9 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = stage(both.select("*", *_floors()), "mcd-floors")
     cells = {(i, j): (F.col("start") * (1.4826 * F.col(f"a{i}")) ** 2 if i == j else F.lit(0.0)) for i in range(P) for j in range(i + 1)}
     starts = both.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    return _with_det(starts.select("g", "start", *[f"m{i}" for i in range(P)], *_scatter(_raised(cells)))), both.select("g", *[f"f{i}" for i in range(P)])
+    starts = _with_det(starts.select("g", "start", *[f"m{i}" for i in range(P)], *_scatter(_raised(cells))))
+    floors = both.select("g", *[f"f{i}" for i in range(P)])
+    return starts.unionByName(_moments(rows.withColumn("start", F.lit(2)), floors, 1.0)), floors
 
 
 def _concentrate(rows: DataFrame, fit: DataFrame, floors: DataFrame, core: float) -> DataFrame:
@@ -171,18 +174,27 @@ def _concentrate(rows: DataFrame, fit: DataFrame, floors: DataFrame, core: float
     return _moments(far.join(small(edge), ["g", "start"]).filter("bin <= edge"), floors, core / chi2_cdf(chi2_quantile(core, P), P + 2))
 
 
-def robust_distances(rows: DataFrame, core: float = 0.5, steps: int = 6, tolerance: float = 1e-4) -> DataFrame:
-    """``rows`` (with ``g`` and the vector, staged) plus ``distance2`` by the estimates of its group ``g``; null where ``g`` is."""
+def robust_distances(rows: DataFrame, core: float = 0.5, tolerance: float = 1e-4, bound: int = 100) -> DataFrame:
+    """``rows`` (with ``g`` and the vector, staged) plus ``distance2`` by the estimates of its group ``g``; null where ``g`` is.
+
+    Steps go on for each start of each group until its determinant falls by ``tolerance`` (of its log) no more;
+    if one still falls after ``bound`` steps, that is an error.
+    """
     fitted = rows.filter(F.col("g").isNotNull() & F.col("fit")).select("g", *X)
-    fit, floors = _starts(fitted)
-    fit = stage(fit, "mcd-fit")
-    for _ in range(steps):
+    starts, floors = _starts(fitted)
+    fit = stage(_concentrate(fitted, stage(starts, "mcd-fit"), floors, core), "mcd-fit")
+    settled = []
+    for _ in range(bound):
         new = stage(_concentrate(fitted, fit, floors, core), "mcd-fit")
-        old = fit.select("g", "start", F.col("log_det").alias("was"))
-        moved = new.join(old, ["g", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
-        fit = new
-        if moved is None or moved <= tolerance:
+        falls = new.join(fit.select("g", "start", F.col("log_det").alias("was")), ["g", "start"]).filter(F.col("log_det") < F.col("was") - tolerance)
+        falls = stage(falls.select("g", "start"), "mcd-falls")
+        settled.append(fit.join(small(falls), ["g", "start"], "left_anti"))
+        if falls.isEmpty():
             break
+        fit = stage(new.join(small(falls), ["g", "start"], "left_semi"), "mcd-fit")
+    else:
+        raise RuntimeError("concentration steps did not settle")
+    fit = stage(reduce(DataFrame.unionByName, settled), "mcd-settled")
     best = fit.groupBy("g").agg(F.min_by(F.struct(*[c for c in fit.columns if c != "g"]), F.struct("log_det", "start")).alias("b")).select("g", "b.*")
     best = stage(best, "mcd-best")
     near = 0.975

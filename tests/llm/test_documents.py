@@ -1,6 +1,7 @@
 """WARC, decontamination, quality rules, line dedup, near duplicates: brute force on awkward rows."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from strandlake.llm.components import connected_components
 from strandlake.llm.decontaminate import build_index, contaminated, find_contamination, find_near
 from strandlake.llm.forest import near_duplicates, one_of_each_class, prefix_length
 from strandlake.llm.linededup import drop_lines, find_first_lines
-from strandlake.llm.outliers import chi2_cdf, chi2_quantile, quality_verdicts
+from strandlake.llm.outliers import chi2_cdf, chi2_quantile, quality_verdicts, robust_distances
 from strandlake.llm.warc import read_archives, resolve_revisits, write_archives
 
 
@@ -148,6 +149,27 @@ def test_repeats_far_beyond_those_of_the_group_go(spark):
     assert {r.doc_id: r.kept for r in got} == want
 
 
+def test_concentration_goes_on_until_settled(spark):
+    """The centre of a skewed group is that of the steps carried on to the end; steps that the bound cuts off are an error."""
+    x = np.round(np.random.default_rng(8).exponential(1.0, 6000) ** 2, 6)
+
+    def end(centre):
+        for _ in range(500):
+            centre = x[np.argsort(np.abs(x - centre))[:3000]].mean()
+        half = x[np.argsort(np.abs(x - centre))[:3000]]
+        return half.var(), centre
+
+    best = min(end(np.median(x)), end(x.mean()))[1]
+    rows = spark.createDataFrame([("a", True, float(v), 0.0, 0.0, 0.0) for v in x], "g string, fit boolean, x0 double, x1 double, x2 double, x3 double")
+    with pytest.raises(RuntimeError, match="settle"):
+        robust_distances(rows, bound=1)
+    got = {r.x0: r.distance2 for r in robust_distances(rows).collect()}
+    factor = 0.5 / chi2_cdf(chi2_quantile(0.5, 4), 6)
+    scale = math.sqrt(factor * x[np.argsort(np.abs(x - best))[:3000]].var())
+    inside = x[np.abs(x - best) <= scale * math.sqrt(chi2_quantile(0.975, 4))]
+    assert min(got, key=got.get) == pytest.approx(inside.mean(), rel=0.02)
+
+
 def test_minimum_determinant_matches_numpy(spark):
     """Distances of a clean group equal those of a plain reweighted estimate around the same core."""
     rng = np.random.default_rng(5)
