@@ -37,7 +37,7 @@ from strandlake.llm.words import mix, split_words
 CHUNK = 768
 #: Signature agreement from which a row needs no leader of its own, and from which it is tied to one.
 LEADER, TIE = 0.6, 0.3
-#: With more leaders than this a row without a match is tied to the first (which only widens the class).
+#: With this many leaders a further row without a match is also tied to the first (which only widens the class).
 LEADERS = 512
 
 
@@ -102,8 +102,8 @@ class _Run:
                     self.sigs = np.concatenate([self.sigs, np.empty_like(self.sigs)])
                 self.sigs[n] = sig
                 self.ids.append(nid)
-            elif not ties:
-                ties = [self.ids[0]]
+            elif self.ids[0] not in ties:  # its like may be tied to other leaders: the first one joins them
+                ties.append(self.ids[0])
         return [t for t in ties if t != nid]
 
 

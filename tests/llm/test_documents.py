@@ -293,6 +293,21 @@ def test_chain_and_large_group(spark):
     assert got == brute_classes(rows)
 
 
+def test_rows_beyond_the_leaders_meet(monkeypatch):
+    """With the leaders full, rows that are like each other but weakly like different leaders share a class."""
+    import strandlake.llm.forest as forest
+
+    monkeypatch.setattr(forest, "LEADERS", 3)
+    run, width = forest._Run(1, 120), 120
+    base = np.arange(3 * width, dtype=np.uint16).reshape(3, width)
+    for n in range(3):
+        assert run.add(n, base[n]) == []
+    a = np.full(width, 999, np.uint16)
+    b = a.copy()
+    a[:48], b[72:] = base[1][:48], base[2][72:]  # 0.4 like leader 1, 0.4 like leader 2
+    assert run.add(10, a) == [1, 0] and run.add(11, b) == [2, 0]
+
+
 def test_blocks_of_a_split_class(spark, monkeypatch):
     import strandlake.llm.forest as forest
 
