@@ -1,4 +1,4 @@
-"""Operator 7: near-duplicate documents by a MinHash LSH forest with exact verification.
+"""Operator 7: near-duplicate documents by a MinHash LSH with exact verification.
 
 Documents are sets of ``ngram``-word shingles (words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a text
 with fewer words but one at least is one shingle).  Two documents are linked if their texts
@@ -6,9 +6,9 @@ are equal or the Jaccard similarity of their sets is ``threshold`` or more; clas
 connected components of links.
 
 1. Equal texts become one node.  A node's signature is ``trees`` labels of ``depth`` MinHash
-   values.  2. Each tree is a sorted trie of labels: matched prefixes start at the full depth and
-   are shortened until two documents at the threshold share one in some tree with
-   probability ``target``.  3. Rows of shared prefixes are sorted by range, so a prefix that very
+   values.  2. Fixed-length bands stand in for the forest's tries: of each label the longest prefix
+   is compared with which two documents at the threshold share one in some tree with probability
+   ``target`` (a formula, one length for all); the values after it only enter signatures.  3. Rows of shared prefixes are sorted by range, so a prefix that very
    many share spans several tasks; a scan ties each row to leaders with a similar signature,
    which makes stars instead of pairs.  4. Components of those ties are the candidate classes,
    cut into blocks of bounded size.  5. Inside a block all pairs are compared exactly, as one
