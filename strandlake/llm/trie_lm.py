@@ -158,7 +158,7 @@ def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(values):
         return np.zeros(0, np.uint8), np.ones(256)
     log = np.log(values)
-    distinct = np.unique(np.round(np.concatenate([log[:: max(1, len(log) // 500_000)], [log.min(), log.max()]]), 4))
+    distinct = np.unique(np.concatenate([np.unique(np.round(log[at : at + 500_000], 4)) for at in range(0, len(log), 500_000)]))
     edges = (distinct[1:] + distinct[:-1]) / 2 if len(distinct) <= 256 else np.quantile(distinct, np.linspace(0, 1, 257)[1:-1])
     codes = np.searchsorted(edges, log, "right").astype(np.uint8)
     size = np.bincount(codes, minlength=256)

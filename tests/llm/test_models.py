@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from strandlake.llm.elias_fano import EliasFano, map_arrays, write_arrays
 from strandlake.llm.toxicity import Lexicon, fold, learn_lexicon, score_toxicity
-from strandlake.llm.trie_lm import held_out, score, train
+from strandlake.llm.trie_lm import _book, held_out, score, train
 
 
 @settings(max_examples=200, deadline=None)
@@ -96,6 +96,14 @@ def test_language_model(spark, tricky, rows):
         assert r.doc_id not in long or abs(r.score / r.n_tokens - long[r.doc_id]) < 0.3
 
 
+def test_code_book_covers_every_value():
+    """Rare values of a large shard have codes of their own, wherever they lie."""
+    values = np.full(1_500_000, 0.5)
+    values[1:200:2] = np.linspace(0.001, 0.4, 100)
+    codes, levels = _book(values)
+    assert levels[codes] == pytest.approx(values, rel=1e-3)
+
+
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a b", "c c a b a", "a"])], "doc_id long, text string")
     model = train(docs, order=2)
