@@ -27,6 +27,17 @@ def t_two_sided(t: float, df: float) -> float:
     return beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
+def t_quantile(share: float, df: float) -> float:
+    """The value that Student's t stays below with probability ``share`` (0.5 or more), by bisection."""
+    tail, low, high = 2 * (1 - share), 0.0, 1.0
+    while t_two_sided(high, df) > tail:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_two_sided(mid, df) > tail else (low, mid)
+    return (low + high) / 2
+
+
 def ks_two_sided(d: float, n1: int, n0: int) -> float:
     """Asymptotic p value of the two-sample Kolmogorov-Smirnov statistic."""
     if d <= 0:

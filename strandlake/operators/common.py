@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.storage import is_small
+
 #: Largest number of rows of a dimension that may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 250_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most ``rows`` rows; beyond it the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it is small in rows and bytes (``storage.is_small``); beyond that the join shuffles."""
+    return F.broadcast(df) if is_small(df, rows, of=of) else df
 
 
 def clean(x: Column) -> Column:

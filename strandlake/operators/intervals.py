@@ -1,18 +1,20 @@
 """Interval joins and gene-region annotation.
 
-A point is joined to the intervals that hold it through bins: an interval is listed in every
-bin that it touches, a point lies in one, so the join is an equi join on (key, bin) with
-the limits as a residual, and needs no deduplication.  Small interval tables are broadcast
+A point is joined to the intervals that hold it through bins of several widths: an interval
+is listed in the bins of its own width that it touches (two at most), a point in one of each
+width in use, so the join is an equi join on (key, level, bin) with the limits as a residual,
+and needs no deduplication.  Small interval tables are broadcast
 after a count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,7 @@ FLAGS = [
     *[f"{r}{x}" for r in OTHER_RNA for x in ("", "_promoter", "_exon")], "other",
 ]
 PROMOTER_LENGTHS = {"mRNA": 2000, "lncRNA": 2000, "snoRNA": 500, "snRNA": 500, "telomerase_RNA": 1500, "antisense_RNA": 1500}
+#: Attributes that are read from feature files.
 ATTRIBUTES = ["ID", "Parent", "Dbxref", "Name", "description", "gbkey", "gene", "gene_biotype", "product", "tag", "transcript_id"]
 
 
@@ -34,13 +37,27 @@ def bin_width(intervals: DataFrame, start: str, end: str) -> int:
     return max(1, int(got or 1))
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, position: str, start: str, end: str, how: str = "inner", width: int | None = None) -> DataFrame:
-    """Points with the closed intervals of the same ``key`` that hold them."""
+#: Bins grow by this factor from level to level.
+LEVEL = 16
+
+
+def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, position: str, start: str, end: str, width: int | None = None) -> DataFrame:
+    """Points with the closed intervals of the same ``key`` that hold them.
+
+    An interval lies in bins of the first level that is as wide as it is long, so it is listed
+    twice at most, however long; a point is listed once for each level that is in use.
+    """
     width = width or bin_width(intervals, start, end)
-    by_bin = intervals.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))).withColumnRenamed(key, "__key")
-    binned = points.withColumn("__pbin", F.floor(F.col(position) / width))
-    inside = (F.col(key) == F.col("__key")) & (F.col("__pbin") == F.col("__bin")) & F.col(position).between(F.col(start), F.col(end))
-    return binned.join(small(by_bin), inside, how).drop("__bin", "__pbin", "__key")
+    length = F.greatest(F.col(end) - F.col(start), F.lit(1))
+    level = F.greatest(F.lit(0), F.ceil(F.log(length / F.lit(float(width))) / math.log(LEVEL))).cast("int")
+    size = lambda lv: F.lit(float(width)) * F.pow(F.lit(float(LEVEL)), lv)
+    listed = intervals.withColumn("__level", level)
+    used = sorted(r[0] for r in listed.filter(F.col("__level").isNotNull()).select("__level").distinct().collect())  # 16 at most
+    bins = F.sequence(F.floor(F.col(start) / size(F.col("__level"))), F.floor(F.col(end) / size(F.col("__level"))))
+    by_bin = listed.withColumn("__bin", F.explode(F.when(F.col(start) <= F.col(end), bins))).withColumnRenamed(key, "__key")
+    binned = points.withColumn("__plevel", F.explode(F.array(*[F.lit(u) for u in used]).cast("array<int>"))).withColumn("__pbin", F.floor(F.col(position) / size(F.col("__plevel"))))
+    inside = (F.col(key) == F.col("__key")) & (F.col("__plevel") == F.col("__level")) & (F.col("__pbin") == F.col("__bin")) & F.col(position).between(F.col(start), F.col(end))
+    return binned.join(small(by_bin), inside).drop("__level", "__bin", "__plevel", "__pbin", "__key")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, start: str, end: str, width: int) -> DataFrame:
@@ -87,10 +104,11 @@ def annotate_regions(variants: DataFrame, gff: DataFrame, promoter_table: DataFr
 
     Each overlapping mRNA transcript is judged by itself - coding, UTR or intron, limits by
     strand from the whole transcript - and flags are the maximum over transcripts.  A variant
-    with no overlap at all has ``other``.
+    with no overlap at all has ``other``.  The flags depend on the place alone, so distinct
+    places are judged and joined back; a null place has ``other``.
     """
-    rows = variants.withColumn("__v", F.monotonically_increasing_id())
-    points = rows.select("__v", F.col(chrom).cast("string").alias("__c"), F.col(pos).cast("long").alias("__p"))
+    places = variants.select(F.col(chrom).cast("string").alias("__c"), F.col(pos).cast("long").alias("__p")).dropna().distinct()
+    points = places.withColumn("__v", F.struct("__c", "__p"))
     features = gff.select(F.col("Chromosome").alias("__c"), "Feature", "Start", "End", "Strand", "ID", "Parent", "transcript_id")
     hits = points_in_intervals(points, features, "__c", "__p", "Start", "End", width=width)
     is_ = lambda f: F.col("Feature") == f
@@ -131,11 +149,15 @@ def annotate_regions(variants: DataFrame, gff: DataFrame, promoter_table: DataFr
         F.sort_array(F.collect_set("transcript_id")).alias("promoter_transcript_set"),
         F.lit(True).alias("__promoted"),
     )
-    out = rows.join(whole.withColumn("__hit", F.lit(True)), "__v", "left").join(by_transcript, "__v", "left").join(promoted, "__v", "left")
+    judged_places = points.select("__v").join(whole.withColumn("__hit", F.lit(True)), "__v", "left").join(by_transcript, "__v", "left").join(promoted, "__v", "left")
+    kept = variants.select(*[F.col(c).alias(f"__in_{i}") for i, c in enumerate(variants.columns)], F.col(chrom).cast("string").alias("__vc"), F.col(pos).cast("long").alias("__vp"))
+    here = (F.col("__vc") == F.col("__v.__c")) & (F.col("__vp") == F.col("__v.__p"))
+    out = kept.join(judged_places, here, "left")
+    own = [F.col(f"__in_{i}").alias(c) for i, c in enumerate(variants.columns)]
     other = (F.col("__hit").isNull() & F.col("__promoted").isNull()).cast("int").alias("other")
     flags = [F.coalesce(F.col(f), F.lit(0)).alias(f) for f in FLAGS[:-1]]
     empty = F.array().cast("array<string>")
-    out = out.select(*variants.columns, *flags, other, F.coalesce("transcript_set", empty).alias("transcript_set"), F.coalesce("promoter_transcript_set", empty).alias("promoter_transcript_set"))
+    out = out.select(*own, *flags, other, F.coalesce("transcript_set", empty).alias("transcript_set"), F.coalesce("promoter_transcript_set", empty).alias("promoter_transcript_set"))
     region = F.array_join(F.array_compact(F.array(*[F.when(F.col(f) == 1, F.lit(f)) for f in FLAGS])), ",")
     return out.withColumn("region", region).withColumn("region_class", region_class())
 
@@ -157,15 +179,19 @@ def most_severe(variants: DataFrame, severity: list[str], key: str, start: str,
     return places.groupBy(key, "position").agg(F.min_by(term, F.struct(F.when(rank > 0, rank).otherwise(1 << 20), F.col(term))).alias(term))
 
 
-def shared_windows(rows: DataFrame, keys: list[str], pos: str, span: str, max_span: int, period: int = 128) -> DataFrame:
+def shared_windows(rows: DataFrame, keys: list[str], pos: str, span: str, max_span: int, period: int = 128, context: int | None = None) -> DataFrame:
     """Groups rows that can share one window: same keys and phase (position modulo ``period``), greedily from the left.
 
     A group takes rows while they end within ``max_span`` of its first.  Each step depends on
     where the last group began, so this is a scan: rows are dealt by (keys, phase), sorted
     inside the partitions and streamed through, with one open group as the only state.
-    Adds ``phase``, ``window_no`` (from 0 within keys and phase) and ``window_first``.
+    Adds ``phase``, ``window_no`` (from 0 within keys and phase) and ``window_first``.  With
+    ``context`` also ``window_start``, 0-based: a window of so many letters is centred on the
+    first row and moved right by whole periods, as many as half the group's extent rounds to
+    (halves to even), never before 0.
     """
-    schema = T.StructType([*rows.schema.fields, T.StructField("phase", T.LongType()), T.StructField("window_no", T.LongType()), T.StructField("window_first", T.LongType())])
+    added = [T.StructField("phase", T.LongType()), T.StructField("window_no", T.LongType()), T.StructField("window_first", T.LongType())]
+    schema = T.StructType([*rows.schema.fields, *added])
     phased = rows.withColumn("phase", F.pmod(F.col(pos).cast("long") - 1, F.lit(period)).cast("long"))
     dealt = phased.repartition(*keys, "phase").sortWithinPartitions(*keys, "phase", pos, span)
 
@@ -182,4 +208,9 @@ def shared_windows(rows: DataFrame, keys: list[str], pos: str, span: str, max_sp
                 firsts.append(first)
             yield pdf.assign(window_no=numbers, window_first=firsts)
 
-    return dealt.mapInPandas(scan, schema)
+    out = dealt.mapInPandas(scan, schema)
+    if context is None:
+        return out
+    last = F.max(pos).over(Window.partitionBy(*keys, "phase", "window_no"))  # a group is bounded by max_span
+    shift = F.bround((last - F.col("window_first")) / 2.0 / period) * period
+    return out.withColumn("window_start", F.greatest(F.lit(0), F.col("window_first") - 1 + shift - context // 2).cast("long"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.common import small
 from strandlake.operators.families import to_long
+from strandlake.operators.running import exact_quantiles
 
 
 def reference_moments(df: DataFrame, group: str, array: str, is_reference: Column, min_rows: int = 10, floor: float = 1e-8) -> DataFrame:
@@ -79,6 +80,7 @@ def scale_by_reference_sd(df: DataFrame, array: str, is_reference: Column, floor
 def mad_moments(df: DataFrame, array: str, is_reference: Column, floor: float = 1e-6) -> DataFrame:
     """``idx, med, mad`` of the reference rows (exact medians; a deviation below ``floor`` counts as 1)."""
     long = to_long(df.filter(is_reference).select(array), [], array)
-    med = long.groupBy("idx").agg(F.median("value").alias("med"))
-    away = long.join(small(med), "idx").groupBy("idx", "med").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    return away.select("idx", "med", F.when(F.col("mad") >= floor, F.col("mad")).otherwise(1.0).alias("mad"))
+    med = exact_quantiles(long, ["idx"], "value", [0.5]).select("idx", F.col("q")[0].alias("med"))
+    distance = long.join(small(med), "idx").select("idx", F.abs(F.col("value") - F.col("med")).alias("away"))
+    away = exact_quantiles(distance, ["idx"], "away", [0.5]).select("idx", F.col("q")[0].alias("mad"))
+    return med.join(away, "idx").select("idx", "med", F.when(F.col("mad") >= floor, F.col("mad")).otherwise(1.0).alias("mad"))

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.common import all_of, small
+from strandlake.storage import stage
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key (null keys are keys): the first by ``order``."""
+    """One row for each key (null keys are keys): the first by ``order``.
+
+    The optimiser turns the filter on the row number into a group limit before the shuffle, so
+    a task sends one row for each of its keys at most, however hot a key is (a test holds the plan to that).
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
@@ -50,6 +55,57 @@ def common_keys(left: DataFrame, right: DataFrame, wanted: list[str]) -> list[st
     return [k for k in wanted if k in left.columns and k in right.columns]
 
 
+def join_on_common(left: DataFrame, right: DataFrame, wanted: list[str], how: str = "left") -> DataFrame:
+    """Join on those of the ``wanted`` keys that both sides have; an error if there is none."""
+    keys = common_keys(left, right, wanted)
+    if not keys:
+        raise ValueError(f"none of {wanted} is in both tables")
+    return left.join(right, keys, how)
+
+
+def suffixed_join(left: DataFrame, right: DataFrame, keys: list[str], suffix: str, fill: dict[str, Column] | None = None, how: str = "left") -> DataFrame:
+    """Join in which columns on both sides are kept side by side, the right one named with ``suffix``; ``fill`` gives columns a default."""
+    both = {c for c in right.columns if c in left.columns and c not in keys}
+    out = left.join(right.select(*keys, *[F.col(c).alias(c + suffix) if c in both else F.col(c) for c in right.columns if c not in keys]), keys, how)
+    return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in (fill or {}).items()})
+
+
+def optional_join(left: DataFrame, load, keys: list[str], column: str, default: Column) -> DataFrame:
+    """Left join to the first row a key of a table that may be missing or lack the columns: then ``column`` is ``default`` everywhere.
+
+    ``load`` is called without arguments; only an analysis error (no such path or column) counts as missing.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        table = load().select(*keys, column)
+    except AnalysisException:
+        return left.withColumn(column, default)
+    return left_lookup(left, table, keys, {column: default}, [F.col(column)])
+
+
+def column_difference(left: DataFrame, right: DataFrame) -> tuple[list[str], list[str]]:
+    """Columns on the left only and on the right only, sorted."""
+    a, b = set(left.columns), set(right.columns)
+    return sorted(a - b), sorted(b - a)
+
+
+def in_input_order(df: DataFrame, row: str = "_row") -> DataFrame:
+    """Rows sorted by the number they were given before the work, without that column."""
+    return df.orderBy(row).drop(row)
+
+
+def sort_typed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Sorted by several columns; text columns that hold whole numbers compare as numbers, others as text after them."""
+    keys = []
+    for c in columns:
+        if df.schema[c].dataType.simpleString() == "string":
+            keys += [F.col(c).try_cast("long").asc_nulls_last(), F.col(c).asc_nulls_last()]
+        else:
+            keys.append(F.col(c).asc_nulls_last())
+    return df.orderBy(*keys)
+
+
 def coalescing_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join in which columns on both sides are merged: the left value, else the right one."""
     both = [c for c in right.columns if c in left.columns and c not in keys]
@@ -84,16 +140,19 @@ def table_diff(left: DataFrame, right: DataFrame, keys: list[str], columns: list
 def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
     """Rows numbered from 0 in the given order, without gathering them in one task.
 
-    Rows are range-partitioned and numbered inside each partition; the partitions' sizes
-    give the offsets.
+    Rows are range-partitioned, sorted and written once with their place in their partition;
+    everything after reads that table, so counts and rows can never come from two different
+    partitionings.  Rows equal in ``order`` are told apart by a hash of all columns, which also
+    spreads a value that very many share.
     """
-    from strandlake.operators.common import small as hinted
-
-    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    inside = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"))
-    offsets = sizes.withColumn("__o", F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).drop("__c")
-    return inside.join(hinted(offsets), "__p").withColumn(name, F.col("__o") + F.col("__n") - 1).drop("__p", "__n", "__o")
+    tie = [F.xxhash64(*df.columns)]
+    ranged = df.repartitionByRange(*order, *tie).sortWithinPartitions(*order, *tie)
+    rows = stage(ranged.withColumn("__i", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__i", 33), F.col("__i").bitwiseAND((1 << 33) - 1)
+    sizes = rows.select(part.alias("__p")).groupBy("__p").agg(F.count("*").alias("__c"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = sizes.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
+    return rows.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn(name, F.col("__o") + place).drop("__p", "__i", "__o")
 
 
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:

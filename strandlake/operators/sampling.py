@@ -1,4 +1,4 @@
-"""Deterministic sampling by hash order: the same rows whatever the partitioning."""
+"""Deterministic sampling by hash order: the same rows whatever the partitioning, and in any engine that has MD5."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _mark(key: str, seed: int):
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def by_hash(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows in the order of a hash of their key."""
-    return df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).orderBy("__h", key).limit(n).drop("__h")
+    return df.withColumn("__h", _mark(key, seed)).orderBy("__h", key).limit(n).drop("__h")
 
 
 def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
@@ -16,7 +20,7 @@ def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: int = 4
 
     A salted first cut keeps ``n`` rows of each part of a stratum, so a hot stratum is never sorted in one task.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    h = _mark(key, seed)
     rows = df.withColumn("__h", h).withColumn("__salt", F.pmod(F.hash(key), F.lit(64)))
     first = Window.partitionBy(*strata, "__salt").orderBy("__h", key)
     second = Window.partitionBy(*strata).orderBy("__h", key)

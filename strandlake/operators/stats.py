@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.common import small
+from strandlake.operators.common import clean, small
+from strandlake.operators.running import exact_quantiles, running_sums
 
 
 def class_moments(df: DataFrame, keys: list[str], value: str, positive: Column) -> DataFrame:
@@ -41,7 +42,9 @@ def with_p_values(df: DataFrame, t: str = "t", freedom: str = "df", tests: int |
 
     @F.pandas_udf("double")
     def p(t: pd.Series, f: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else t_two_sided(a, b) for a, b in zip(t, f, strict=True)], dtype="float64")
+        pairs = pd.DataFrame({"t": t, "f": f}).drop_duplicates()
+        known = {(a, b): t_two_sided(a, b) for a, b in pairs.itertuples(index=False) if not (pd.isna(a) or pd.isna(b)) and b > 0}
+        return pd.Series([known.get(x) for x in zip(t, f, strict=True)], dtype="float64")
 
     out = df.withColumn("p_value", p(F.col(t).cast("double"), F.col(freedom).cast("double")))
     return out.withColumn("significant", F.col("p_value") < 0.05 / tests) if tests else out
@@ -56,15 +59,13 @@ def tie_table(df: DataFrame, keys: list[str], value: str, positive: Column) -> D
 def rank_statistics(df: DataFrame, keys: list[str], value: str, positive: Column, least: int = 1) -> DataFrame:
     """``n1, n0, auc, auc_any`` (direction-free), ``rank_biserial`` and ``ks`` for each key; null under ``least`` rows of a class.
 
-    Running sums go over distinct values, not rows, and ties get average ranks.
+    Running sums go over distinct values, not rows, in two levels; ties get average ranks.
     """
-    ties = tie_table(df, keys, value, positive)
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    run = ties.select(*keys, "n", "n1", (F.col("n") - F.col("n1")).alias("n0"), F.sum("n").over(upto).alias("c"), F.sum("n1").over(upto).alias("c1"), F.sum("n").over(w).alias("t"), F.sum("n1").over(w).alias("t1"))
-    rank = F.col("c") - (F.col("n") - 1) / 2.0
-    gap = F.abs(F.try_divide(F.col("c1").cast("double"), F.col("t1")) - F.try_divide((F.col("c") - F.col("c1")).cast("double"), F.col("t") - F.col("t1")))
-    agg = [F.max("t1").alias("n1"), (F.max("t") - F.max("t1")).alias("n0"), F.sum(rank * F.col("n1")).alias("r1"), F.max(gap).alias("ks")]
+    run = running_sums(tie_table(df, keys, value, positive), keys, "value", ["n", "n1"])
+    c, c1, t, t1 = (F.col(x) for x in ("upto_n", "upto_n1", "all_n", "all_n1"))
+    rank = c - (F.col("n") - 1) / 2.0
+    gap = F.abs(F.try_divide(c1.cast("double"), t1) - F.try_divide((c - c1).cast("double"), t - t1))
+    agg = [F.max(t1).alias("n1"), (F.max(t) - F.max(t1)).alias("n0"), F.sum(rank * F.col("n1")).alias("r1"), F.max(gap).alias("ks")]
     g = run.groupBy(*keys).agg(*agg) if keys else run.agg(*agg)
     u = F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0, (F.col("n1") * F.col("n0")).cast("double"))
     enough = (F.col("n1") >= least) & (F.col("n0") >= least)
@@ -77,11 +78,10 @@ def spearman(df: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
     rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna()
 
     def ranks(c: str) -> DataFrame:
-        ties = rows.groupBy(c).agg(F.count("*").alias("k"))
-        run = F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))  # over distinct values
-        return ties.select(c, (run - (F.col("k") - 1) / 2.0).alias(f"r{c}"))
+        run = running_sums(rows.groupBy(c).agg(F.count("*").alias("k")), [], c, ["k"])
+        return run.select(c, (F.col("upto_k") - (F.col("k") - 1) / 2.0).alias(f"r{c}"))
 
-    both = rows.join(small(ranks("x")), "x").join(small(ranks("y")), "y")
+    both = rows.join(ranks("x"), "x").join(ranks("y"), "y")
     m = both.agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
     return m.select("n", F.when((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0), F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).alias("rho"))
 
@@ -98,16 +98,32 @@ def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
-    """Interpolated percentiles of a whole column; the aggregate holds one count for each distinct value."""
-    got = df.agg(F.percentile(value, F.array(*[F.lit(float(s)) for s in shares])).alias("q")).first()[0]
-    return list(got) if got is not None else []
+    """Interpolated percentiles of a whole column, from running counts; only the percentiles come to the driver."""
+    got = exact_quantiles(df, [], value, shares).first()
+    return list(got.q) if got.n else []
 
 
-def quantile_bins(df: DataFrame, value: str, labels: list[str], name: str = "bin") -> DataFrame:
-    """Equal-share bins, closed above, the least value in the first; repeated edges merge and the first labels are used."""
+def percent_rank_bins(df: DataFrame, value: str, labels: list[str], name: str = "bin") -> DataFrame:
+    """Bins by average percent rank, cut at equal shares: ties share a bin whatever the number of distinct values."""
+    x = clean(F.col(value).cast("double"))
+    counts = df.select(x.alias("__x")).filter("__x is not null").groupBy("__x").agg(F.count("*").alias("k"))
+    run = running_sums(counts, [], "__x", ["k"])
+    share = (F.col("upto_k") - (F.col("k") - 1) / 2.0) / F.col("all_k")
+    place = F.least(F.ceil(share * len(labels)), F.lit(len(labels))).cast("int")
+    named = run.select("__x", F.element_at(F.array(*[F.lit(x) for x in labels]), place).alias(name))
+    return df.join(named, x == F.col("__x"), "left").drop("__x")
+
+
+def quantile_bins(df: DataFrame, value: str, labels: list[str], name: str = "bin", fallback: bool = False) -> DataFrame:
+    """Equal-share bins, closed above, the least value in the first; repeated edges merge and the first labels are used.
+
+    With ``fallback`` a column whose edges repeat is cut by percent rank instead.
+    """
     k = len(labels)
     edges = exact_percentiles(df, value, [i / k for i in range(k + 1)])
     kept = sorted(set(edges))
+    if fallback and len(kept) < k + 1:
+        return percent_rank_bins(df, value, labels, name)
     tests = [(F.col(value) <= e, labels[i]) for i, e in enumerate(kept[1:] or kept)]
     out = F.lit(None).cast("string")
     for condition, label in reversed(tests):
@@ -115,8 +131,16 @@ def quantile_bins(df: DataFrame, value: str, labels: list[str], name: str = "bin
     return df.withColumn(name, F.when(F.col(value).isNotNull(), out))
 
 
+def ordinal(value: Column, levels: list[str]) -> Column:
+    """Place of a value among ordered levels, from 0; null for others."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in levels]), value), F.lit(0).cast("long")) - 1
+
+
 def clip_percentiles(df: DataFrame, value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    a, z = exact_percentiles(df, value, [low, high])
+    got = exact_percentiles(df, value, [low, high])
+    if not got:
+        return df.limit(0)
+    a, z = got
     return df.filter(F.col(value).between(a, z))
 
 
@@ -136,20 +160,32 @@ def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, hi
 def gaussian_density(df: DataFrame, value: str, points: int = 500, cells: int | None = None) -> DataFrame:
     """``x, density`` on an even grid from the least to the greatest value, Scott's bandwidth.
 
-    Samples are first counted by distinct value; the grid is a fixed number of rows, so the
-    product is linear in the data.
+    Samples are counted by distinct value, and each value reaches only those grid points where
+    its kernel is not zero in double precision (38.6 bandwidths), so the result is exact.  With
+    ``cells`` values are first rounded to so many even cells, which bounds the work for columns
+    with very many distinct values at an error of half a cell in the place of a sample.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
+    rows = df.select(clean(F.col(value).cast("double")).alias("v")).filter("v is not null")
+    if cells:
+        low, high = rows.agg(F.min("v"), F.max("v")).first()
+        if low is not None and low < high:
+            step = (high - low) / cells
+            rows = rows.select((F.lit(low) + F.round((F.col("v") - low) / step) * step).alias("v"))
+    counted = rows.groupBy("v").agg(F.count("*").alias("k"))
     n, low, high, m1, m2 = counted.agg(F.sum("k"), F.min("v"), F.max("v"), F.sum(F.col("v") * F.col("k")), F.sum(F.col("v") * F.col("v") * F.col("k"))).first()
     if not n or n < 2 or low == high:
         return counted.select(F.col("v").alias("x"), F.lit(0.0).alias("density")).limit(0)
     sd = math.sqrt(max(0.0, (m2 - m1 * m1 / n) / (n - 1)))
     h = sd * n ** (-1 / 5)
     step = (high - low) / (points - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * step)
-    parts = counted.select("k", "v", F.posexplode(grid).alias("i", "x"))
+    reach = 38.6 * h
+    first = F.greatest(F.lit(0), F.ceil((F.col("v") - reach - low) / step)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((F.col("v") + reach - low) / step)).cast("int")
+    parts = counted.select("k", "v", F.explode(F.sequence(first, last)).alias("i")).withColumn("x", F.lit(low) + F.col("i") * step)
     weight = F.col("k") * F.exp(-0.5 * ((F.col("x") - F.col("v")) / h) ** 2)
-    return parts.groupBy("i", "x").agg((F.sum(weight) / (n * h * math.sqrt(2 * math.pi))).alias("density")).drop("i")
+    sums = parts.groupBy("i").agg(F.sum(weight).alias("w"))
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("i"), (F.lit(low) + F.col("id") * step).alias("x"))
+    return grid.join(F.broadcast(sums), "i", "left").select("x", (F.coalesce("w", F.lit(0.0)) / (n * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def frame_class(size: Column) -> Column:
@@ -192,7 +228,32 @@ def bootstrap_mean(df: DataFrame, unit: str, value: str, rounds: int = 200, seed
 
 def average_precision(df: DataFrame, value: str, positive: Column) -> DataFrame:
     """Area under precision and recall, ties taken together: ``n1, average_precision``."""
-    ties = tie_table(df, [], value, positive)
-    w = Window.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)  # over distinct values
-    run = ties.select("n1", F.sum("n").over(w).alias("c"), F.sum("n1").over(w).alias("c1"))
-    return run.agg(F.sum("n1").alias("n1"), F.try_divide(F.sum(F.col("n1") * F.col("c1") / F.col("c")), F.sum("n1").cast("double")).alias("average_precision"))
+    run = running_sums(tie_table(df, [], value, positive), [], "value", ["n", "n1"])
+    from_top = lambda c: F.col(f"all_{c}") - F.col(f"upto_{c}") + F.col(c)
+    return run.agg(F.coalesce(F.max("all_n1"), F.lit(None).cast("long")).alias("n1"), F.try_divide(F.sum(F.col("n1") * from_top("n1") / from_top("n")), F.max("all_n1").cast("double")).alias("average_precision"))
+
+
+def cohens_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``n, agreement, kappa`` of two columns of labels (missing left out)."""
+    cells = df.select(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("o"))
+    sides = cells.select("x", F.col("o").alias("p"), F.lit(0).cast("long").alias("q")).unionByName(cells.select(F.col("y").alias("x"), F.lit(0).cast("long").alias("p"), F.col("o").alias("q")))
+    chance = sides.groupBy("x").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).agg(F.sum(F.col("p").cast("double") * F.col("q")).alias("e"))
+    g = cells.agg(F.sum("o").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("o")).otherwise(0)).alias("same")).join(F.broadcast(chance))  # one row each
+    po, pe = F.try_divide(F.col("same").cast("double"), F.col("n")), F.try_divide(F.col("e"), F.col("n").cast("double") * F.col("n"))
+    return g.select("n", po.alias("agreement"), F.try_divide(po - pe, 1 - pe).alias("kappa"))
+
+
+def mean_interval(moments: DataFrame, share: float = 0.95) -> DataFrame:
+    """Adds ``low1, high1, low0, high0``: Student intervals of both means of ``class_moments`` (a few rows; null below two values)."""
+    from strandlake.functions.special import t_quantile
+
+    @F.pandas_udf("double")
+    def reach(n: pd.Series) -> pd.Series:
+        known = {f: t_quantile(0.5 + share / 2, f) for f in set((n[n > 1] - 1).tolist())}
+        return n.map(lambda k: known.get(k - 1))
+
+    out = moments
+    for side in "10":
+        width = reach(F.col(f"n{side}").cast("double")) * F.sqrt(F.try_divide(F.col(f"v{side}"), F.col(f"n{side}").cast("double")))
+        out = out.withColumns({f"low{side}": F.col(f"m{side}") - width, f"high{side}": F.col(f"m{side}") + width})
+    return out

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators.common import small
+from strandlake.operators.common import clean, small
 
 
 def members(values: Column, refs: Column | None = None) -> Column:
-    """Array of (idx, value, ref) of the values that are there."""
+    """Array of (idx, value, ref) of the values that are there (NaN is missing)."""
     ref = (lambda i: F.get(refs, i)) if refs is not None else (lambda i: F.lit(None).cast("double"))
-    made = F.transform(values, lambda x, i: F.struct(i.cast("int").alias("idx"), x.cast("double").alias("value"), ref(i).cast("double").alias("ref")))
+    made = F.transform(values, lambda x, i: F.struct(i.cast("int").alias("idx"), clean(x.cast("double")).alias("value"), ref(i).cast("double").alias("ref")))
     return F.filter(made, lambda s: s["value"].isNotNull())
 
 
@@ -47,7 +47,7 @@ def render(top: Column, names: list[str], digits: int = 3) -> Column:
 def parse_rendered(text: Column) -> Column:
     """The rendered form taken apart again: array of (name, value, ref)."""
     parts = F.when(text.isNull() | (text == "None"), F.array().cast("array<string>")).otherwise(F.split(text, "; "))
-    number = r"(-?[0-9.]+)"
+    number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
     return F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), F.expr("try_cast(null as double)").alias("none"), F.regexp_extract(p, f"={number}", 1).try_cast("double").alias("value"), F.regexp_extract(p, rf"\(ref={number}\)", 1).try_cast("double").alias("ref")).dropFields("none"))
 
 

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from strandlake.plans import relational, scores, statistics, strings  # noqa: F401
+    from strandlake.plans import relational, scores, statistics, strings, variants  # noqa: F401
 
 
 _load()

@@ -219,7 +219,7 @@ def cross_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def row_normalised_cross_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    sources = [f"src{i}" for i in range(20)]
+    sources = sorted(r[0] for r in d.select("source").dropna().distinct().collect())  # the rows of the table
     t = tb.cross_table(d, "source", "lang", sources, ["en", "de"])
     return tb.row_shares(t, "source", ["en", "de"], 5).select("source", F.round("en", 6).alias("en"), F.round("de", 6).alias("de"), "total")
 
@@ -288,7 +288,10 @@ def event_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""
+    WITH r AS (SELECT doc_id, lang, quality, row_number() OVER (PARTITION BY lang, quality ORDER BY md5('42:' || doc_id), doc_id) AS n FROM documents JOIN labels USING (doc_id))
+    SELECT doc_id, lang, quality FROM r WHERE n <= 3
+""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling operator: up to three documents of each language and quality, by hash order."""
     from strandlake.operators.sampling import stratified
@@ -297,7 +300,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified(d, ["lang", "quality"], "doc_id", 3)
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100")
 def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling operator: one hundred orders in hash order."""
     from strandlake.operators.sampling import by_hash
@@ -305,7 +308,20 @@ def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_hash(table(spark, sf_dir, "orders"), "o_orderkey", 100).select("o_orderkey")
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (
+        SELECT user_id, event_id + 1 AS pos, event_id % 128 AS phase, row_number() OVER (PARTITION BY user_id, event_id % 128 ORDER BY event_id) AS n FROM events
+    ), w AS (
+        SELECT user_id, pos, phase, n, 0::BIGINT AS window_no, pos AS window_first FROM e WHERE n = 1
+        UNION ALL
+        SELECT e.user_id, e.pos, e.phase, e.n, CASE WHEN e.pos + 1 - w.window_first > 2000 THEN w.window_no + 1 ELSE w.window_no END, CASE WHEN e.pos + 1 - w.window_first > 2000 THEN e.pos ELSE w.window_first END
+        FROM w JOIN e ON e.user_id = w.user_id AND e.phase = w.phase AND e.n = w.n + 1
+    ), s AS (
+        SELECT *, (max(pos) OVER (PARTITION BY user_id, phase, window_no) - window_first) / 2 / 128.0::DOUBLE AS half FROM w
+    )
+    SELECT user_id, pos, 1::INTEGER AS span, phase, window_no, window_first, greatest(0, window_first - 1 + round_even(half, 0)::BIGINT * 128 - 4096)::BIGINT AS window_start FROM s
+""")
 def shared_window_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that share a window, and where a window of 8,192 letters begins."""
     rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") + 1).alias("pos"), F.lit(1).alias("span"))
-    return iv.shared_windows(rows, ["user_id"], "pos", "span", 2000, 128)
+    return iv.shared_windows(rows, ["user_id"], "pos", "span", 2000, 128, context=8192)

@@ -133,7 +133,7 @@ def projected_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_orderkey, o_orderpriority, o_custkey FROM orders SEMI JOIN k USING (o_orderkey)
 """)
 def late_materialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return late_columns(spark, f"{sf_dir}/orders.parquet", ["o_orderkey"], ["o_orderstatus", "o_totalprice"], lambda d: d.filter("o_orderstatus = 'F' and o_totalprice > 200000").select("o_orderkey"), ["o_orderpriority", "o_custkey"])
+    return late_columns(spark, f"{sf_dir}/orders.parquet", ["o_orderkey"], ["o_orderstatus", "o_totalprice"], (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 200000), ["o_orderpriority", "o_custkey"])
 
 
 _EMB = "e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS idx, unnest(embedding)::DOUBLE AS v FROM embeddings)"
@@ -220,13 +220,13 @@ def distinct_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {_EMB}, w AS (SELECT vec_id, idx, v FROM e WHERE idx < 21)
-    SELECT vec_id, round(greatest(max(v), 0), 6) AS gain, CASE WHEN max(v) > 0 THEN arg_max(idx, v) - 10 END::INTEGER AS gain_pos, round(greatest(max(-v), 0), 6) AS loss, CASE WHEN min(v) < 0 THEN arg_min(idx, v) - 10 END::INTEGER AS loss_pos
+    WITH {_EMB}, w AS (SELECT vec_id, idx, v FROM e)
+    SELECT vec_id, round(greatest(max(v), 0), 6) AS gain, CASE WHEN max(v) > 0 THEN arg_max(idx, v) - 32 END::INTEGER AS gain_pos, round(greatest(max(-v), 0), 6) AS loss, CASE WHEN min(v) < 0 THEN arg_min(idx, v) - 32 END::INTEGER AS loss_pos
     FROM w GROUP BY vec_id
 """)
 def window_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.transform(F.slice("embedding", 1, 21), lambda x: x.cast("double"))
-    s = topk.window_extremes(values, -10)
+    values = F.transform("embedding", lambda x: x.cast("double"))
+    s = topk.window_extremes(values, -32)
     return table(spark, sf_dir, "embeddings").select("vec_id", s.alias("s")).select("vec_id", F.round("s.gain", 6).alias("gain"), "s.gain_pos", F.round("s.loss", 6).alias("loss"), "s.loss_pos")
 
 
@@ -276,12 +276,17 @@ def rule_mechanism_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rl.assign(table(spark, sf_dir, "lineitem"), RULES).groupBy(F.col("NT_Mechanism").alias("mechanism"), "l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query("""
-    SELECT * FROM (VALUES ('DEEP_DISCOUNT', true, ''), ('SMALL_ORDER', true, ''), ('TINY_ORDER', false, 'SMALL_ORDER'), ('COSTLY', true, '')) AS t(mechanism, can_be_assigned, pre_empted_by)
+@query(f"""
+    WITH {_RULES_SQL}, f AS (
+        SELECT unnest(['DEEP_DISCOUNT', 'SMALL_ORDER', 'TINY_ORDER', 'COSTLY']) AS mechanism, unnest([a, b, c, d]) AS fired, unnest([a, b AND NOT a, c AND NOT a AND NOT b, d AND NOT a AND NOT b AND NOT c]) AS assigned FROM r
+    )
+    SELECT mechanism, count(*) FILTER (WHERE fired) AS n_fired, count(*) FILTER (WHERE assigned) AS n_assigned, mechanism <> 'TINY_ORDER' AS can_be_assigned FROM f GROUP BY mechanism
 """)
 def rule_pre_emption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = {(x["mechanism"], x["can_be_assigned"], x["pre_empted_by"]) for x in rl.rule_table(RULES)}
-    return spark.createDataFrame(sorted(rows), "mechanism string, can_be_assigned boolean, pre_empted_by string")
+    """Rows on which each rule fires and is assigned; a rule that an earlier one pre-empts is never assigned."""
+    out = rl.assign(table(spark, sf_dir, "lineitem"), RULES)
+    counts = [F.struct(F.lit(r.name).alias("mechanism"), F.count_if(F.array_contains(F.split("NT_All_Mechanisms", "; "), f"{r.name}(P{r.tier})")).alias("n_fired"), F.count_if(F.col("NT_Mechanism") == r.name).alias("n_assigned"), F.lit(r.name not in rl.pre_empted(RULES)).alias("can_be_assigned")) for r in RULES]
+    return out.agg(F.array(*counts).alias("x")).select(F.inline("x"))
 
 
 @query(f"""
@@ -294,16 +299,6 @@ def rule_assignment_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame
     return rl.assign_by_confidence(table(spark, sf_dir, "lineitem"), RULES, confidence).select("l_orderkey", "l_linenumber", "mechanism")
 
 
-@query("""
-    WITH a AS (SELECT 'DEEP_DISCOUNT' AS mechanism, 'l_discount' AS feature UNION ALL SELECT 'SMALL_ORDER', 'l_quantity')
-    SELECT * FROM (VALUES
-        ('DEEP_DISCOUNT', 'l_discount', 'Both'), ('DEEP_DISCOUNT', 'l_tax', 'Both'), ('DEEP_DISCOUNT', 'l_quantity', 'Both'), ('SMALL_ORDER', 'l_quantity', 'Both'),
-        ('TINY_ORDER', 'l_quantity', 'snp'), ('COSTLY', 'l_extendedprice', 'snp'), ('COSTLY', 'l_missing', 'snp')) AS t(mechanism, feature, variant_type)
-""")
-def rule_table_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rl.merged_rule_table({"snp": RULES, "indel": RULES[:2]}, spark).select("mechanism", "feature", "variant_type")
-
-
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice >= 80000 THEN 'High' WHEN l_extendedprice >= 40000 THEN 'Moderate' WHEN l_extendedprice >= 10000 THEN 'Low' ELSE 'Minimal' END AS label FROM lineitem")
 def threshold_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rl.ladder(F.col("l_extendedprice"), [(80000, "High"), (40000, "Moderate"), (10000, "Low")], "Minimal").alias("label"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import vectors as vec
 from strandlake.operators import stats as st
 from strandlake.operators import tables as tb
+from strandlake.operators.running import exact_quantiles
 from strandlake.plans.catalog import query, table
 
 _CLASSED = "s AS (SELECT n_chars::DOUBLE AS x, quality = 1 AS pos, lang FROM documents JOIN labels USING (doc_id))"
@@ -160,7 +161,8 @@ def coverage_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, median(l_extendedprice) AS median FROM lineitem GROUP BY l_returnflag")
 def class_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("median"))
+    q = exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.5])
+    return q.select("l_returnflag", F.col("q")[0].alias("median"))
 
 
 @query(f"""
@@ -190,12 +192,13 @@ def embedding_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH e AS (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS a, unnest(embedding[9:16])::DOUBLE AS b FROM embeddings),
+    WITH e AS (SELECT vec_id, unnest(embedding[1:len(embedding) // 2])::DOUBLE AS a, unnest(embedding[len(embedding) // 2 + 1:])::DOUBLE AS b FROM embeddings),
     s AS (SELECT vec_id, exp(a) / sum(exp(a)) OVER (PARTITION BY vec_id) AS p, exp(b) / sum(exp(b)) OVER (PARTITION BY vec_id) AS q FROM e)
     SELECT vec_id, round(sum(p * ln(p / q)), 6) AS kl, round(max(p), 6) AS top FROM s GROUP BY vec_id
 """)
 def softmax_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", vec.softmax(F.slice("embedding", 1, 8)).alias("p"), vec.softmax(F.slice("embedding", 9, 8)).alias("q"))
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", vec.softmax(F.slice("embedding", F.lit(1), half)).alias("p"), vec.softmax(F.slice("embedding", half + 1, half)).alias("q"))
     return _rounded(e.select("vec_id", vec.kl_divergence(F.col("p"), F.col("q")).alias("kl"), F.array_max("p").alias("top")))
 
 

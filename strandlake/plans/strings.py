@@ -11,7 +11,7 @@ from strandlake.operators import intervals as iv
 from strandlake.operators.tables import combined_rationale
 from strandlake.plans.catalog import query, table
 from strandlake.sources import tabular as tab
-from strandlake.sources.documents import html_tables, svg_elements
+from strandlake.sources.documents import html_tables, svg_elements, table_with_header
 
 #: A small made-up gene model: two overlapping coding transcripts on either strand and a lncRNA.
 GENE_MODEL = [
@@ -82,10 +82,17 @@ def region_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.annotate_regions(v, gff, iv.promoters(gff), width=500).select("o_orderkey", "region", "region_class")
 
 
-@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, CASE WHEN (props->>'$.k')::BIGINT >= 50 THEN 'high' ELSE 'low' END AS level FROM events")
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, CASE WHEN (props->>'$.k')::BIGINT >= 50 THEN 'high' ELSE 'low' END AS level FROM events WHERE event_id % 7 <> 0")
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").alias("doc"))
-    return e.select("event_id", "doc.k", F.when(F.col("doc.k") >= 50, "high").otherwise("low").alias("level"))
+    """Events written as lines - some of them blank or broken - and read back."""
+    from strandlake.storage import new_folder
+
+    whole = F.to_json(F.struct("event_id", F.from_json("props", "k long").alias("props")))
+    line = F.when(F.col("event_id") % 7 != 0, whole).when(F.col("event_id") % 14 == 0, F.lit("  ")).otherwise(F.left(whole, F.lit(9)))
+    path = new_folder(spark, "lines")
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    doc = tab.read_json_lines(spark, path, "event_id long, props struct<k: long>").filter("doc.event_id is not null")
+    return doc.select("doc.event_id", "doc.props.k", F.when(F.col("doc.props.k") >= 50, "high").otherwise("low").alias("level"))
 
 
 @query("""
@@ -150,14 +157,26 @@ def hgvs_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT * FROM (VALUES ('g.5_7del', 4::BIGINT, 'TACG', 'T'), ('g.5dup', 5, 'A', 'AA'), ('g.4_5insGG', 4, 'T', 'TGG'), ('g.5_6delinsTT', 5, 'AC', 'TT'),
-        ('g.5insN[226]', NULL, NULL, NULL), ('g.900del', NULL, NULL, NULL), ('g.5_7delACT', NULL, NULL, NULL)) AS t(hgvs, pos, ref, alt)
+    WITH c AS (
+        SELECT o_orderkey, o_orderkey % 900 + 2 AS s, o_orderkey % 900 + 2 + o_custkey % 6 AS e, o_orderkey % 6 AS kind, repeat('ACGT', 500) AS g FROM orders
+    ), l AS (
+        SELECT *, substr(g, s::INTEGER, (e - s + 1)::INTEGER) AS region, substr(g, (s - 1)::INTEGER, 1) AS before FROM c
+    )
+    SELECT o_orderkey, CASE kind WHEN 0 THEN s - 1 WHEN 1 THEN e WHEN 2 THEN s WHEN 3 THEN s END AS pos,
+           CASE kind WHEN 0 THEN before || region WHEN 1 THEN right(region, 1) WHEN 2 THEN left(region, 1) WHEN 3 THEN region END AS ref,
+           CASE kind WHEN 0 THEN before WHEN 1 THEN right(region, 1) || region WHEN 2 THEN left(region, 1) || 'GG' WHEN 3 THEN 'TT' END AS alt
+    FROM l
 """)
 def hgvs_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notations on a literal contig; the SQL states the known answers, since look-ahead has no SQL here."""
-    rows = [("g.5_7del",), ("g.5dup",), ("g.4_5insGG",), ("g.5_6delinsTT",), ("g.5insN[226]",), ("g.900del",), ("g.5_7delACT",)]
-    df = spark.createDataFrame(rows, "hgvs string").withColumn("v", tx.anchored_indel(tx.hgvs_indel(F.col("hgvs")), F.lit("ACGTACGTACGTACGT"), 8))
-    return df.select("hgvs", "v.pos", "v.ref", "v.alt")
+    """Deletions, duplications, insertions, replacements, unreadable lengths and wrong letters on a periodic contig, one for each order."""
+    s = (F.col("o_orderkey") % 900 + 2).cast("string")
+    e = (F.col("o_orderkey") % 900 + 2 + F.col("o_custkey") % 6).cast("string")
+    span = F.concat(F.lit("NC_1:g."), s, F.lit("_"), e)
+    point = F.concat(F.lit("NC_1:g."), s, F.lit("_"), (F.col("o_orderkey") % 900 + 3).cast("string"))
+    kind = F.col("o_orderkey") % 6
+    hgvs = F.when(kind == 0, F.concat(span, F.lit("del"))).when(kind == 1, F.concat(span, F.lit("dup"))).when(kind == 2, F.concat(point, F.lit("insGG"))).when(kind == 3, F.concat(span, F.lit("delinsTT"))).when(kind == 4, F.concat(point, F.lit("insN[226]"))).otherwise(F.concat(span, F.lit("delAAAAAAAAA")))
+    v = tx.anchored_indel(tx.hgvs_indel(hgvs), F.lit("ACGT" * 500), 8)
+    return table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v")).select("o_orderkey", "v.pos", "v.ref", "v.alt")
 
 
 @query("SELECT c_custkey, 'chr' || c_custkey AS with_prefix, c_custkey::VARCHAR AS bare, CASE WHEN c_nationkey % 2 = 0 THEN 'Pathogenic' ELSE 'Benign' END AS label FROM customer")
@@ -183,7 +202,7 @@ def keys_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, 'Language: ' || lang || E'\\nText: ' || left(trim(text), 1500) AS prompt FROM documents WHERE trim(text) <> ''
+    SELECT doc_id, 'Language: ' || lang || E'\\nText: ' || left(trim(text), 1500) || CASE WHEN length(trim(text)) > 1500 THEN '... [truncated]' ELSE '' END AS prompt FROM documents WHERE trim(text) <> ''
 """)
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter(F.trim("text") != "")
@@ -240,10 +259,18 @@ def track_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("p_partkey", tab.track_group(F.col("assay"), F.col("experiment_target"), marks).alias("grp"), tab.track_description(F.col("file_id"), F.col("tissue"), F.col("biosample_type"), F.col("assay"), F.col("experiment_target")).alias("description"))
 
 
-@query()
+@query("""
+    SELECT r_regionkey AS page_id, (row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey))::INTEGER AS row_no, ['Gene', 'Key'] AS header, [n_name, n_nationkey::VARCHAR] AS cells
+    FROM nation JOIN region ON n_regionkey = r_regionkey
+""")
 def html_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of all tables in the pages."""
-    return html_tables(table(spark, sf_dir, "pages"), "page_id", "html")
+    """Pages with a table of the nations of each region, behind another table: written as markup and read back."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    row = F.concat(F.lit("<tr><td>"), "n_name", F.lit("</td><td> "), F.col("n_nationkey").cast("string"), F.lit("\n</td></tr>"))
+    rows = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("x")))), lambda s: s["x"]), "").alias("rows"))
+    page = F.concat(F.lit("<p>x</p><table><tr><th>other</th></tr></table><table><tr><th>Gene</th><th>Key</th></tr>"), "rows", F.lit("</table>"))
+    pages = r.join(rows, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_regionkey").alias("page_id"), page.alias("html"))
+    return table_with_header(html_tables(pages, "page_id", "html"), "page_id", ["gene", "phenotype"]).select("page_id", "row_no", "header", "cells")
 
 
 @query("SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY o) - 1)::INTEGER AS position, nullif(regexp_extract(x, '\\bhref=\"([^\"]*)\"', 1), '') AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\b[^>]*>')) AS x, generate_subscripts(regexp_extract_all(html, '<a\\b[^>]*>'), 1) AS o FROM pages)")

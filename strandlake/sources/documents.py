@@ -87,18 +87,19 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFram
 def fetch_spans(spans: DataFrame, contigs: DataFrame, chunk: int = 1 << 16, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
     """``spans`` with ``letters`` of the 0-based half-open span; null off the contig or if all are N.
 
-    Names match with and without ``chr``.  A span is joined to the chunks it touches.
+    Names match with and without ``chr``.  Each distinct span is joined to the chunks it touches, and
+    back by its place, so repeated spans cost nothing; empty spans have no letters.
     """
     bare = lambda c: F.regexp_replace(c, "^chr", "")
-    rows = spans.withColumn("__s", F.monotonically_increasing_id())
-    parts = rows.select("__s", bare(F.col(chrom)).alias("__c"), F.col(start).alias("__a"), F.col(end).alias("__z"), F.explode(F.sequence(F.floor(F.col(start) / chunk), F.floor((F.col(end) - 1) / chunk))).alias("__k"))
+    places = spans.select(F.col(chrom).alias("__n"), F.col(start).alias("__a"), F.col(end).alias("__z")).filter("__a < __z").distinct()
+    parts = places.select("__n", bare(F.col("__n")).alias("__c"), "__a", "__z", F.explode(F.sequence(F.floor(F.col("__a") / chunk), F.floor((F.col("__z") - 1) / chunk))).alias("__k"))
     pieces = parts.join(contigs.select(bare(F.col("chrom")).alias("__c"), F.col("chunk_idx").cast("long").alias("__k"), "seq"), ["__c", "__k"])
     low = F.greatest(F.col("__a") - F.col("__k") * chunk, F.lit(0))
     cut = F.substring("seq", (low + 1).cast("int"), (F.least(F.col("__z") - F.col("__k") * chunk, F.lit(chunk)) - low).cast("int"))
-    joined = pieces.select("__s", "__k", cut.alias("x")).groupBy("__s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "x"))), lambda p: p["x"]), "").alias("letters"))
-    out = rows.join(joined, "__s", "left")
+    joined = pieces.select("__n", "__a", "__z", "__k", cut.alias("x")).groupBy("__n", "__a", "__z").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "x"))), lambda p: p["x"]), "").alias("letters"))
+    out = spans.join(joined, (F.col(chrom) == F.col("__n")) & (F.col(start) == F.col("__a")) & (F.col(end) == F.col("__z")), "left").drop("__n", "__a", "__z")
     whole = (F.length("letters") == F.col(end) - F.col(start)) & ~F.upper("letters").rlike("^N+$") & (F.col(start) >= 0)
-    return out.withColumn("letters", F.when(whole, F.col("letters"))).drop("__s")
+    return out.withColumn("letters", F.when(whole, F.col("letters")))
 
 
 def first_source(*sources: Column) -> Column:

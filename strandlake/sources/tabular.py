@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GFF_SCHEMA = "Chromosome string, Source string, Feature string, Start long, End long, Score string, Strand string, Frame string, Attributes string"
+#: Stars by review status.
 GOLD_STARS = {
     "criteria provided, single submitter": 1,
     "criteria provided, multiple submitters, no conflicts": 2,
@@ -24,29 +25,60 @@ def read_projected(spark: SparkSession, path: str, prefixes: list[str], keys: li
     return df.select(*[c for c in df.columns if c in keys or c.startswith(tuple(prefixes))])
 
 
-def late_columns(spark: SparkSession, path: str, keys: list[str], slim: list[str], keep: Callable[[DataFrame], DataFrame], wide: list[str]) -> DataFrame:
-    """Filters on a slim projection first and reads the wide columns of the surviving keys only."""
-    survivors = keep(spark.read.parquet(path).select(*keys, *slim))
-    return survivors.join(spark.read.parquet(path).select(*keys, *wide), keys)
+def late_columns(spark: SparkSession, path: str, keys: list[str], slim: list[str], keep: Column, wide: list[str], batch: int | None = None) -> DataFrame:
+    """Filters on a slim projection first and reads the wide columns of the surviving rows only.
+
+    Rows are told apart by their file and their number in it, which Parquet scans give, so
+    repeated (or null) keys neither multiply nor lose rows.  With ``batch`` the wide columns
+    are read so many at a time, which bounds the width of a scan.
+    """
+    row = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    out = spark.read.parquet(path).select(*dict.fromkeys([*keys, *slim]), *row).filter(keep).select(*keys, "__file", "__row")
+    step = batch or max(1, len(wide))
+    for i in range(0, len(wide), step):
+        out = out.join(spark.read.parquet(path).select(*wide[i : i + step], *row), ["__file", "__row"])
+    return out.drop("__file", "__row")
+
+
+def sample_scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The rows of one row group: those whose file and block come first, for a look at a large table.
+
+    The feature is the look itself; nothing computed from it may stand for the table.
+    """
+    block = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    rows = spark.read.parquet(path).select(*(columns or ["*"]), *block)
+    first = rows.agg(F.min(F.struct("__file", "__block")).alias("f")).first().f
+    return rows.filter((F.col("__file") == (first and first[0])) & (F.col("__block") == (first and first[1]))).drop("__file", "__block")
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True, keep: Column | None = None) -> DataFrame:
+    """Tab-separated text with a stated schema, filtered while it is read; gzip is not splittable, so convert large files to Parquet once."""
+    rows = spark.read.csv(path, sep="\t", header=header, schema=schema, mode="PERMISSIVE")
+    return rows if keep is None else rows.filter(keep)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """Tab-separated text with a stated schema; gzip is not splittable, so convert large files to Parquet once."""
-    return spark.read.csv(path, sep="\t", header=header, schema=schema, mode="PERMISSIVE")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, block, place``: the lines of text files with the start of their block and their number in it.
+
+    The number is a scan's own, taken before any shuffle.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    first = lines.groupBy("file", "block").agg(F.min("n").alias("least"))
+    return lines.join(F.broadcast(first), ["file", "block"]).select("value", "file", "block", (F.col("n") - F.col("least")).alias("place"))  # one row a block
 
 
 def read_after_banner(spark: SparkSession, path: str, banner: int, sep: str = "\t") -> DataFrame:
     """A single text file with ``banner`` lines before its header line; all columns are text.
 
-    The header is found by line number of that one file; rows shorter or longer than it are padded or cut.
+    Lines go by their number, so a data row that equals a banner line stays; rows shorter or
+    longer than the header are padded or cut.
     """
-    lines = spark.read.option("wholetext", "false").text(path)
-    head = [r.value for r in lines.limit(banner + 1).collect()]
+    lines = numbered_lines(spark, path)
+    top = (F.col("block") == 0) & (F.col("place") <= banner)
+    head = [r.value for r in lines.filter(top).orderBy("place").collect()]
     names = head[banner].lstrip("#").split(sep) if len(head) > banner else []
-    skip = spark.createDataFrame([(x,) for x in set(head)], "value string") if head else None
-    rows = lines if skip is None else lines.join(F.broadcast(skip), "value", "left_anti")
     parts = F.split("value", sep, -1)
-    return rows.select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return lines.filter(~top).select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
@@ -54,9 +86,9 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """``doc`` (null if malformed) and ``line`` of every non-blank line."""
-    rows = spark.read.text(path).withColumnRenamed("value", "line").filter(F.trim("line") != "")
-    return rows.select(F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("doc"), "line")
+    """``doc`` (null if malformed), ``line`` and ``block, line_no`` (from 1, within the block of the file) of every non-blank line."""
+    rows = numbered_lines(spark, path).withColumnRenamed("value", "line").filter(F.trim("line") != "")
+    return rows.select(F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("doc"), "line", "block", (F.col("place") + 1).alias("line_no"))
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
@@ -102,10 +134,17 @@ def saturation_variants(spark: SparkSession, chrom: str, start: int, end: int, s
     return places.filter(F.col("ref").isin(*"ACGT")).withColumn("alt", F.explode(bases)).filter("ref <> alt")
 
 
-def select_tracks(metadata: DataFrame, key_marks: list[str], order: str = "idx") -> DataFrame:
-    """The meaningful tracks of a dictionary (first row of a file counts), in model order."""
+def select_tracks(metadata: DataFrame | None, key_marks: list[str], order: str = "idx", tracks: DataFrame | None = None) -> DataFrame:
+    """The meaningful tracks of a dictionary (first row of a file counts), in model order.
+
+    Without metadata (None, or not one row) all ``tracks`` stay.
+    """
     from strandlake.operators.relational import keep_first
 
+    if metadata is None or (tracks is not None and metadata.isEmpty()):
+        if tracks is None:
+            raise ValueError("neither metadata nor tracks")
+        return tracks
     one = keep_first(metadata, ["file_id"], [F.col(order).asc()])
     c = lambda n: F.coalesce(F.col(n), F.lit(""))
     mark = F.lit(False)
@@ -116,6 +155,15 @@ def select_tracks(metadata: DataFrame, key_marks: list[str], order: str = "idx")
     return one.filter(keep)
 
 
+def with_track_metadata(long: DataFrame, metadata: DataFrame, key: str = "file_id") -> DataFrame:
+    """Rows of a long table with the metadata of their track (the first row of a file counts); tracks without metadata stay."""
+    from strandlake.operators.common import small
+    from strandlake.operators.relational import keep_first
+
+    rest = [c for c in metadata.columns if c not in long.columns]
+    return long.join(small(keep_first(metadata, [key], [F.col(c) for c in rest]).select(key, *rest)), key, "left")
+
+
 def track_group(assay: Column, target: Column, key_marks: list[str]) -> Column:
     """Histone mark, else the first assay family in the name; null for none."""
     out = F.when(assay.contains("ChIP") & target.isin(*key_marks), target)

@@ -297,7 +297,7 @@ def test_names_and_formats(spark):
     assert one(df, tx.exact_format(F.lit(0.125), 2)) == "0.12"
     assert one(df, tx.short_name(F.lit("  a   b "))) == "a b" and one(df, tx.short_name(F.lit("nan"))) is None
     assert one(df, tx.matches_species(F.lit("the Sheepdog"), ["sheep"])) is False and one(df, tx.matches_species(F.lit("a  Ovis   ARIES x"), ["ovis aries"])) is True
-    assert one(df, tx.prompt("a {x} b {y}", {"x": F.lit("q" * 2000), "y": F.lit(None)})) == f"a {'q' * 1500} b Not available"
+    assert one(df, tx.prompt("a {x} b {y}", {"x": F.lit("q" * 2000), "y": F.lit(None)})) == f"a {'q' * 1500}... [truncated] b Not available"
 
 
 def test_vectors(spark):
