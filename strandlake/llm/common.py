@@ -1,4 +1,4 @@
-"""Shared folder, staged tables, code shipping and file access for the operators."""
+"""Broadcasts, staged tables, code shipping and file access for the operators."""
 
 from __future__ import annotations
 
@@ -17,61 +17,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.storage import drop_folder, is_small, new_folder, shared_root, stage
+
 #: Largest number of rows of a narrow table that may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 250_000
 
-_own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local session gets a folder of its own (removed at exit);
-    on a cluster a missing setting is an error, since a machine-local folder would lose files.
-    """
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = context.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="strandlake-")
-        atexit.register(shutil.rmtree, _own_dirs[app], True)
-    return f"file://{_own_dirs[app]}"
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path (not yet created) below the shared folder."""
-    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it (or the staged table ``of`` that it projects) is small in rows and bytes."""
+    return F.broadcast(df) if is_small(df, rows, of=of) else df
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this library made, through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["Scratch", "drop_folder", "filesystem", "is_small", "new_folder", "shared_root", "ship", "slices", "small", "stage", "text_bytes", "text_hash", "text_offsets", "without_rows", "write_once"]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it again.
+class Scratch:
+    """Stages tables and deletes them again, but for those that results still read."""
 
-    This cuts the lineage: a lost executor costs only the tasks that read the table.
-    The attribute ``staged_at`` of the result holds the path.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
 
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        self.paths.append(out.staged_at)
+        return out
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    def drop(self, *kept: DataFrame) -> None:
+        keep = {k.staged_at for k in kept}
+        for path in self.paths:
+            if path not in keep:
+                drop_folder(self.spark, path)
+        self.paths = []
 
 
 def text_hash(column):

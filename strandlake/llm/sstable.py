@@ -219,8 +219,8 @@ def write_sstables(docs: DataFrame, tokenizer: str, folder: str | None = None, e
     spark = docs.sparkSession
     ship(spark)
     target = folder or new_folder(spark, "sstables")
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.repartitionByRange("k").sortWithinPartitions("k", "t")
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").drop("h")  # the hash spreads an identifier that very many rows share
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

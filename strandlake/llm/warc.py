@@ -20,6 +20,7 @@ import hashlib
 import io
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -93,8 +94,12 @@ def find_originals(headers: DataFrame, min_bytes: int = 1000) -> DataFrame:
     return top.select("digest", F.col("m.page_id").alias("original"), F.col("m.u").alias("original_url"), F.col("m.c").alias("copies"))
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """Writes deduplicated archives; returns the staged manifest ``path, n_records``."""
+def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | None = None) -> DataFrame:
+    """Writes deduplicated archives; returns the staged manifest ``path, n_records``.
+
+    ``date`` is the record date of all fresh headers; the time of the call if not given.
+    """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     spark = pages.sparkSession
     ship(spark)
     target = folder or new_folder(spark, "warc")
