@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from strandlake.llm.lengths import at_limits, context_answers, length_histogram, length_quantile
-from strandlake.llm.packing import best_cuts, pack_documents
+from strandlake.llm.packing import Cutter, best_cuts, pack_documents
 from strandlake.llm.sstable import key_of, lookup, read_sstables, write_sstables
 from strandlake.llm.tokens import Encoder
 
@@ -162,6 +162,70 @@ def test_cuts_are_optimal(steps):
     assert abs(price(cuts) - best[place[-1]]) < 1e-9
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.floats(0, 5)), min_size=1, max_size=60), st.integers(1, 7), st.floats(0, 40))
+def test_stream_of_cut_points_equals_one_program(steps, batch, sequence_cost):
+    """Settled windows leave batch by batch; the total is that of the program over all points at once."""
+    at = np.cumsum([s for s, _ in steps])
+    cost = np.array([c for _, c in steps])
+    length = 16
+
+    def price(cuts):
+        pay, before = 0.0, 0
+        for c in cuts:
+            n = c - before
+            assert 0 < n <= length
+            pay += sequence_cost + (0 if n & (n - 1) == 0 else length - n) + cost[np.searchsorted(at, c)]
+            before = c
+        return pay
+
+    whole = best_cuts(at, cost, length, sequence_cost).tolist()
+    cutter, cuts = Cutter(length, sequence_cost), []
+    for i in range(0, len(at), batch):
+        cutter.extend(at[i : i + batch], cost[i : i + batch])
+        cuts += cutter.settled()
+    cuts += cutter.finish()
+    assert cuts[-1] == at[-1] and abs(price(cuts) - price(whole)) < 1e-6
+
+
+@pytest.mark.parametrize("slice_bytes", [1, 4000, 16 << 20])
+def test_sequences_are_full(spark, slice_bytes):
+    """At least 98 % of the sequences' room is used, however small the batches; no batch ends a sequence early."""
+    rng = np.random.default_rng(3)
+    words = [f"w{x}" for x in range(3000)]
+    rows = [(i, " ".join(str(w) + ("." if rng.random() < 0.08 else "") for w in rng.choice(words, int(rng.integers(1, 700))))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        pieces = pack_documents(docs, public_tokenizers.path(FILES[1]), slice_bytes=slice_bytes).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    total = sum(r.length for r in pieces)
+    assert total == sum(r.doc_tokens for r in pieces if r.start == 0)
+    assert -(-total // 1024) >= 0.98 * len({r.sequence_id for r in pieces})
+
+
+def test_a_text_longer_than_a_batch(spark):
+    """Texts of 20 MB and more pass every reader of batches whole: encoded, stored, packed and archived."""
+    import hashlib
+
+    text = " ".join(f"w{i % 5000}" for i in range(3_600_000))
+    docs = spark.createDataFrame([(1, "before"), (2, text), (3, "behind")], "doc_id long, text string")
+    assert len(text) > 16 << 20
+    tokenizer = public_tokenizers.path(FILES[1])
+    pieces = sorted((r.doc_id, r.start, r.length, r.doc_tokens) for r in pack_documents(docs, tokenizer).drop("ids").collect())
+    long = [p for p in pieces if p[0] == 2]
+    assert sum(p[2] for p in long) == long[0][3] and [p[1] for p in long] == np.cumsum([0, *(p[2] for p in long[:-1])]).tolist()
+    stored = {r.doc_id: r.n_tokens for r in read_sstables(write_sstables(docs, public_tokenizers.path(FILES[0]))).drop("ids").collect()}
+    assert stored.keys() == {1, 2, 3} and stored[2] > 3_600_000
+    from strandlake.llm.warc import read_archives, resolve_revisits, write_archives
+
+    pages = spark.createDataFrame([(1, "u", text, "x", "y"), (2, "u", text, "x", "y"), (3, "u", "", "x", "y")], "page_id long, url string, html string, digest string, first string")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in resolve_revisits(read_archives(write_archives(pages))).collect()}
+    assert got[1] == (len(text), hashlib.sha1(text.encode()).hexdigest(), "revisit", 2) and got[2][2:] == ("response", None) and got[3][0] == 0
+
+
 def test_queries_agree_on_small_table(spark, small_documents):
     from strandlake.llm.queries import QUERIES
 
