@@ -84,7 +84,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.linededup import find_first_lines
 
-    return find_first_lines(_read(spark, sf_dir, "documents"), min_chars=20).drop("text_hash")
+    return find_first_lines(_read(spark, sf_dir, "documents"), min_chars=20, equal_chars=1).drop("text_hash")
 
 
 QUERIES = {
@@ -142,13 +142,13 @@ ORACLE_SQL: dict[str, str] = {
         WITH s AS (
             SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL
         ), l AS (
-            SELECT doc_id, n - 1 AS line_no, line FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM s) WHERE length(line) >= 20
+            SELECT doc_id, n - 1 AS line_no, line FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM s) WHERE regexp_matches(line, '[^\\x09-\\x0D\\x20]')
         ), f AS (
             SELECT line, min({'d': doc_id, 'n': line_no}) AS first FROM l GROUP BY line
         ), c AS (
-            SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM f
+            SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM f WHERE length(line) >= 20
         ), v AS (
-            SELECT DISTINCT line, first, hash(substring(line, 1, i - 1) || substring(line, i + 1)) AS v FROM c UNION ALL SELECT line, first, hash(line) FROM f
+            SELECT DISTINCT line, first, hash(substring(line, 1, i - 1) || substring(line, i + 1)) AS v FROM c UNION ALL SELECT line, first, hash(line) FROM f WHERE length(line) >= 20
         ), near AS (
             SELECT a.line, min(b.first) AS first FROM v AS a JOIN v AS b ON a.v = b.v AND b.first < a.first WHERE levenshtein(a.line, b.line) = 1 GROUP BY a.line
         ), best AS (
