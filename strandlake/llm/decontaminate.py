@@ -1,10 +1,13 @@
 """Operator 3: benchmark decontamination with a positional inverted index.
 
 The index is split by document: each segment (about 8 MB of text) holds, for every word of
-its documents, the ascending positions.  Test phrases are searched in every segment, from
-their rarest word on: positions of the next rarer word, adjusted by its offset in the
-phrase, are intersected until none is left.  Nothing is shuffled, and memory is bounded by
-a segment and a block of test items.
+its documents, the ascending positions.  The test items are prepared once, in files of about
+``BLOCK`` bytes of text: distinct words, items as word numbers, and the windows listed by their
+rarest word among the items.  A worker maps those files once.  In a segment only the windows
+whose rarest word occurs there are looked at, and of these only those with all words there are
+searched, from the word that is rarest in the segment on: positions of the next rarer word,
+adjusted by its offset in the phrase, are intersected until none is left.  Nothing is
+shuffled, and memory is bounded by a segment and the mapped pages of the items.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.  A window is ``window``
 consecutive words of an item; a shorter item with a word is one window.
@@ -16,6 +19,7 @@ the empty string; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import filesystem, ship, slices, stage, text_hash
+from strandlake.llm.common import new_folder, ship, slices, stage, text_bytes, text_hash, write_once
+from strandlake.llm.elias_fano import open_arrays, write_arrays
 from strandlake.llm.words import LETTERS, split_words
 
 INDEX = "doc_ids array<long>, hashes array<long>, first array<long>, vocabulary binary, bounds binary, counts binary, postings binary"
@@ -49,8 +54,6 @@ class Segment:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        from strandlake.llm.common import text_bytes
-
         data, bounds = text_bytes(self.vocabulary)
         steps = np.diff(self.postings, prepend=0).astype("<i4")
         return {
@@ -137,19 +140,64 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stage(rows.mapInArrow(index, INDEX), "positional-index")
 
 
-def _items(folder: str, block: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The test items of a staged table, in blocks of a bounded number of bytes."""
-    import pyarrow.dataset as ds
+#: Bytes of item text in one file.
+BLOCK = 16 << 20
+
+_blocks: dict[str, "Block"] = {}
+
+
+class Block:
+    """Prepared test items: ``first`` and ``codes`` are the items' words as numbers in ``vocabulary``; ``listed[head[w]:head[w + 1]]`` are places where windows begin whose rarest word is w."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        data, bounds, self.codes, self.first, self.head, self.listed, names = arrays
+        self.vocabulary = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        self.names = json.loads(names.tobytes())
+
+    @staticmethod
+    def arrays(batch: pa.RecordBatch, window: int) -> list[np.ndarray]:
+        words = split_words(batch.column(1), LETTERS)
+        codes, first, size = words.codes.astype(np.int64), words.first, len(words.vocabulary)
+        n = words.lengths()
+        count = np.where(n >= window, n - window + 1, np.minimum(n, 1))
+        begin = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        length = np.repeat(np.minimum(n, window), count)
+        seen = np.bincount(codes, minlength=size)
+        rank = np.empty(size, np.int64)
+        rank[np.argsort(seen, kind="stable")] = np.arange(size)  # a rarer word has a lower rank
+        least = np.full(len(begin), size, np.int64)
+        for k in range(window):
+            inside = length > k
+            least[inside] = np.minimum(least[inside], rank[codes[begin[inside] + k]])
+        word = np.argsort(rank, kind="stable")[least] if len(least) else least
+        order = np.argsort(word, kind="stable")
+        data, bounds = text_bytes(words.vocabulary)
+        names = np.frombuffer(json.dumps([x or "" for x in batch.column(0).to_pylist()]).encode(), np.uint8)
+        head = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=size))])
+        return [data, bounds.astype(np.int32), codes.astype(np.uint32), first.astype(np.int64), head, begin[order], names]
+
+    @classmethod
+    def open(cls, uri: str) -> "Block":
+        if uri not in _blocks:
+            if len(_blocks) > 64:
+                _blocks.clear()
+            _blocks[uri] = cls(open_arrays(uri))
+        return _blocks[uri]
+
 
-    files, path = filesystem(folder)
-    table = ds.dataset(path, filesystem=files, format="parquet", exclude_invalid_files=False)
-    yield from slices((b for b in table.to_batches(columns=["item", "text"], batch_size=4096)), "text", block)
+def prepare_items(benchmark: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+    """Writes the items' files to the shared folder, each word split once; returns their URIs (one for about ``BLOCK`` bytes)."""
+    spark = benchmark.sparkSession
+    ship(spark)
+    folder = new_folder(spark, "benchmark-blocks")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BLOCK):
+            path = write_once(folder, "items", lambda out, b=batch: write_arrays(out, Block.arrays(b, window)))
+            yield pa.RecordBatch.from_pydict({"path": [path], "n": [batch.num_rows]})
 
-def _windows(batch: pa.RecordBatch, window: int):
-    """(distinct words, their numbers in all items, first, item names) of a block."""
-    words = split_words(batch.column(1), LETTERS)
-    return words, [x or "" for x in batch.column(0).to_pylist()]
+    return [r.path for r in rows.mapInArrow(write, "path string, n long").collect()]
 
 
 def find_contamination(index: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -159,15 +207,13 @@ def find_contamination(index: DataFrame, benchmark: DataFrame, window: int = 13,
     (sorted as strings) and ``spans`` (maximal runs of hit words) for each document.
     """
     ship(index.sparkSession)
-    items = stage(benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")), "benchmark-items").staged_at
+    paths = prepare_items(benchmark, window, id_col, text_col)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [_windows(b, window) for _, b in zip(range(2), _items(items), strict=False)]
-        kept = blocks if len(blocks) < 2 else None
         for batch in batches:
             for i in range(batch.num_rows):
                 segment = Segment.from_row({name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)})
-                yield _found(segment, kept if kept is not None else (_windows(b, window) for b in _items(items)), window)
+                yield _found(segment, map(Block.open, paths), window)
 
     return index.mapInArrow(search, HITS)
 
@@ -176,21 +222,24 @@ def _found(segment: Segment, blocks, window: int) -> pa.RecordBatch:
     n = int(segment.first[-1])
     edge = np.zeros(n + 1, np.int64)
     hits: dict[int, set[str]] = {}
-    for words, names in blocks:
-        terms = segment.codes(words.vocabulary)[words.codes] if len(words.codes) else np.zeros(0, np.int64)
-        for i, name in enumerate(names):
-            a, z = int(words.first[i]), int(words.first[i + 1])
-            size = min(window, z - a)
-            if not size:
-                continue
-            there = np.concatenate([[0], np.cumsum(terms[a:z] >= 0)])
-            for s in np.flatnonzero(there[size:] - there[:-size] == size):
-                found = segment.phrase(terms[a + s : a + s + size])
-                if len(found):
-                    np.add.at(edge, found, 1)
-                    np.add.at(edge, found + size, -1)
-                    for d in np.unique(segment.doc_of(found)).tolist():
-                        hits.setdefault(d, set()).add(name)
+    for block in blocks:
+        terms = segment.codes(block.vocabulary)  # of each word of the items, -1 where the segment lacks it
+        present = np.flatnonzero(terms >= 0)
+        many = block.head[present + 1] - block.head[present]
+        at = block.listed[np.repeat(block.head[present] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())] if len(present) else present
+        item = np.searchsorted(block.first, at, "right") - 1
+        size = np.minimum(window, block.first[item + 1] - at)
+        whole = np.ones(len(at), bool)
+        for k in range(window):
+            inside = np.flatnonzero(whole & (size > k))
+            whole[inside] = terms[block.codes[at[inside] + k]] >= 0
+        for s, i, m in zip(at[whole].tolist(), item[whole].tolist(), size[whole].tolist(), strict=True):
+            found = segment.phrase(terms[block.codes[s : s + m]])
+            if len(found):
+                np.add.at(edge, found, 1)
+                np.add.at(edge, found + m, -1)
+                for d in np.unique(segment.doc_of(found)).tolist():
+                    hits.setdefault(d, set()).add(block.names[i])
     inside = np.cumsum(edge)[:n] > 0
     total = np.concatenate([[0], np.cumsum(inside)])
     n_hit = np.diff(total[segment.first])

@@ -117,11 +117,9 @@ def write_arrays(stream, arrays: list[np.ndarray]) -> None:
         stream.write(raw + b"\0" * (-len(raw) % 8))
 
 
-def map_arrays(path: str) -> list[np.ndarray]:
-    """The arrays of a file, memory-mapped."""
+def _split(data: np.ndarray) -> list[np.ndarray]:
     import json
 
-    data = np.memmap(path, np.uint8, "r")
     size = int.from_bytes(data[:8].tobytes(), "little")
     at, out = 8 + size, []
     for kind, n in json.loads(data[8 : 8 + size].tobytes()):
@@ -129,3 +127,19 @@ def map_arrays(path: str) -> list[np.ndarray]:
         out.append(data[at : at + width].view(kind))
         at += width + (-width % 8)
     return out
+
+
+def map_arrays(path: str) -> list[np.ndarray]:
+    """The arrays of a file, memory-mapped."""
+    return _split(np.memmap(path, np.uint8, "r"))
+
+
+def open_arrays(uri: str) -> list[np.ndarray]:
+    """The arrays of a file in the shared folder: mapped, or read into memory where the store cannot be mapped; nothing is copied to a disk."""
+    from strandlake.llm.common import filesystem
+
+    files, path = filesystem(uri)
+    if files.type_name == "local":
+        return map_arrays(path)
+    with files.open_input_stream(path) as source:
+        return _split(np.frombuffer(source.read(), np.uint8))
