@@ -39,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import small, stage, text_hash
+from strandlake.llm.common import Scratch, drop_folder, small, stage, text_hash
 from strandlake.llm.textstats import with_text_stats
 
 #: Distances from the centre that reject alone in a group whose core has no spread: a mean word half as long again,
@@ -115,13 +115,17 @@ def _raised(cells: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Colum
     return {(i, j): F.greatest(c + least[i], F.col(f"f{i}") * F.col(f"f{i}")) if i == j else c for (i, j), c in cells.items()}
 
 
-def _moments(rows: DataFrame, floors: DataFrame, factor: float) -> DataFrame:
-    """Centre and factor of each (g, start) from the rows given; ``factor`` makes the scatter consistent."""
-    sums = rows.groupBy("g", "start").agg(
-        F.count("*").alias("k"),
-        *[F.sum(x).alias(f"s_{x}") for x in X],
-        *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)],
-    )
+#: Count, sums and products from which moments follow.
+SUMS = ["k", *[f"s_{x}" for x in X], *[f"s_{i}_{j}" for i in range(P) for j in range(i + 1)]]
+
+
+def _sums() -> list[Column]:
+    products = [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)]
+    return [F.count("*").alias("k"), *[F.sum(x).alias(f"s_{x}") for x in X], *products]
+
+
+def _moments(sums: DataFrame, floors: DataFrame, factor: float) -> DataFrame:
+    """Centre and factor of each (g, start) from its ``SUMS``; ``factor`` makes the scatter consistent."""
     mean = {i: F.col(f"s_{X[i]}") / F.col("k") for i in range(P)}
     sums = sums.join(small(floors), "g")
     cells = {(i, j): factor * (F.col(f"s_{i}_{j}") / F.col("k") - mean[i] * mean[j]) for i in range(P) for j in range(i + 1)}
@@ -146,32 +150,38 @@ def _floors() -> list[Column]:
     return [F.least(F.greatest(F.coalesce(1.4826 * F.col(f"d{i}"), F.lit(0.0)), F.lit(LEAST * most[i])), F.lit(most[i])).alias(f"f{i}") for i in range(P)]
 
 
-def _starts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _starts(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Three starts for each group - medians with median absolute deviations, medians with the floors alone, means with the whole scatter - and the floors."""
     long = rows.select("g", F.posexplode(F.array(*X)).alias("dim", "v"))
-    med = stage(_medians(long), "mcd-medians")
+    med = scratch.stage(_medians(long), "mcd-medians")
     away = long.join(small(med), ["g", "dim"]).select("g", "dim", F.abs(F.col("v") - F.col("med")).alias("v"))
-    mad = _medians(away).withColumnRenamed("med", "mad")
-    off = _medians(away.filter(F.col("v") > 1e-3)).withColumnRenamed("med", "off")
-    both = med.join(mad, ["g", "dim"]).join(off, ["g", "dim"], "left")
-    both = both.groupBy("g").agg(*[F.max(F.when(F.col("dim") == i, F.col(c))).alias(f"{n}{i}") for n, c in (("m", "med"), ("a", "mad"), ("d", "off")) for i in range(P)])
-    both = stage(both.select("*", *_floors()), "mcd-floors")
+    # both medians of the distances, of all rows and of those off the median, from one histogram
+    bins = away.groupBy("g", "dim", F.round(F.col("v") / 1e-3).cast("long").alias("bin")).agg(F.count("*").alias("c"), F.count_if(F.col("v") > 1e-3).alias("e"))
+    order = Window.partitionBy("g", "dim")
+    for c in ("c", "e"):
+        bins = bins.withColumn(f"{c}_below", F.sum(c).over(order.orderBy("bin"))).withColumn(f"{c}_all", F.sum(c).over(order))
+    middle = lambda c: F.min(F.when((F.col(c) > 0) & (2 * F.col(f"{c}_below") >= F.col(f"{c}_all")), F.col("bin"))) * 1e-3
+    spread = bins.groupBy("g", "dim").agg(middle("c").alias("mad"), middle("e").alias("off"))
+    both = med.join(spread, ["g", "dim"]).groupBy("g").agg(*[F.max(F.when(F.col("dim") == i, F.col(c))).alias(f"{n}{i}") for n, c in (("m", "med"), ("a", "mad"), ("d", "off")) for i in range(P)])
+    both = scratch.stage(both.select("*", *_floors()), "mcd-floors")
     cells = {(i, j): (F.col("start") * (1.4826 * F.col(f"a{i}")) ** 2 if i == j else F.lit(0.0)) for i in range(P) for j in range(i + 1)}
     starts = both.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     starts = _with_det(starts.select("g", "start", *[f"m{i}" for i in range(P)], *_scatter(_raised(cells))))
-    floors = both.select("g", *[f"f{i}" for i in range(P)])
-    return starts.unionByName(_moments(rows.withColumn("start", F.lit(2)), floors, 1.0)), floors
+    floors = scratch.stage(both.select("g", *[f"f{i}" for i in range(P)]), "mcd-floors")
+    return starts.unionByName(_moments(rows.withColumn("start", F.lit(2)).groupBy("g", "start").agg(*_sums()), floors, 1.0)), floors
 
 
 def _concentrate(rows: DataFrame, fit: DataFrame, floors: DataFrame, core: float) -> DataFrame:
-    """One concentration step: moments of the share ``core`` with the least distances."""
-    far = rows.join(small(fit), "g").withColumn("bin", F.floor(F.log1p(_distance() * 100) * BINS)).select("g", "start", "bin", *X)
-    bins = far.groupBy("g", "start", "bin").agg(F.count("*").alias("c"))
+    """One concentration step: moments of the share ``core`` with the least distances.
+
+    One pass: sums by bin of distance, of which the least whole bins that hold the share are added up.
+    """
+    far = rows.join(small(fit), "g").withColumn("bin", F.floor(F.log1p(_distance() * 100) * BINS))
+    bins = far.groupBy("g", "start", "bin").agg(*_sums())
     group = Window.partitionBy("g", "start")
-    bins = bins.withColumn("before", F.sum("c").over(group.orderBy("bin")) - F.col("c")).withColumn("n", F.sum("c").over(group))
-    edge = bins.filter(F.col("before") < F.ceil(F.col("n") * core)).groupBy("g", "start").agg(F.max("bin").alias("edge"))
-    edge = stage(edge, "mcd-edge")
-    return _moments(far.join(small(edge), ["g", "start"]).filter("bin <= edge"), floors, core / chi2_cdf(chi2_quantile(core, P), P + 2))
+    bins = bins.withColumn("before", F.sum("k").over(group.orderBy("bin")) - F.col("k")).withColumn("n", F.sum("k").over(group))
+    sums = bins.filter(F.col("before") < F.ceil(F.col("n") * core)).groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return _moments(sums, floors, core / chi2_cdf(chi2_quantile(core, P), P + 2))
 
 
 def robust_distances(rows: DataFrame, core: float = 0.5, tolerance: float = 1e-4, bound: int = 100) -> DataFrame:
@@ -180,28 +190,32 @@ def robust_distances(rows: DataFrame, core: float = 0.5, tolerance: float = 1e-4
     Steps go on for each start of each group until its determinant falls by ``tolerance`` (of its log) no more;
     if one still falls after ``bound`` steps, that is an error.
     """
+    scratch = Scratch(rows.sparkSession)
     fitted = rows.filter(F.col("g").isNotNull() & F.col("fit")).select("g", *X)
-    starts, floors = _starts(fitted)
-    fit = stage(_concentrate(fitted, stage(starts, "mcd-fit"), floors, core), "mcd-fit")
+    starts, floors = _starts(fitted, scratch)
+    fit = scratch.stage(starts, "mcd-fit")
+    fit = scratch.stage(_concentrate(fitted, fit, floors, core), "mcd-fit")
     settled = []
     for _ in range(bound):
-        new = stage(_concentrate(fitted, fit, floors, core), "mcd-fit")
-        falls = new.join(fit.select("g", "start", F.col("log_det").alias("was")), ["g", "start"]).filter(F.col("log_det") < F.col("was") - tolerance)
-        falls = stage(falls.select("g", "start"), "mcd-falls")
-        settled.append(fit.join(small(falls), ["g", "start"], "left_anti"))
-        if falls.isEmpty():
+        was = fit.select("g", "start", F.col("log_det").alias("was"))
+        new = _concentrate(fitted, fit, floors, core).join(small(was, of=fit), ["g", "start"])
+        new = scratch.stage(new.withColumn("falls", F.col("log_det") < F.col("was") - tolerance).drop("was"), "mcd-fit")
+        settled.append(new.filter(~F.col("falls")).drop("falls"))
+        fit = new.filter("falls").drop("falls")
+        if fit.isEmpty():
             break
-        fit = stage(new.join(small(falls), ["g", "start"], "left_semi"), "mcd-fit")
+        fit.staged_at, fit.staged_rows = new.staged_at, new.staged_rows  # a part of that table
     else:
         raise RuntimeError("concentration steps did not settle")
-    fit = stage(reduce(DataFrame.unionByName, settled), "mcd-settled")
+    fit = reduce(DataFrame.unionByName, settled)
     best = fit.groupBy("g").agg(F.min_by(F.struct(*[c for c in fit.columns if c != "g"]), F.struct("log_det", "start")).alias("b")).select("g", "b.*")
-    best = stage(best, "mcd-best")
+    best = scratch.stage(best, "mcd-best")
     near = 0.975
-    inside = fitted.join(small(best), "g").filter(_distance() <= chi2_quantile(near, P)).select("g", "start", *X)
-    last = stage(_moments(inside, floors, near / chi2_cdf(chi2_quantile(near, P), P + 2)), "mcd-last")
+    inside = fitted.join(small(best), "g").filter(_distance() <= chi2_quantile(near, P))
+    last = scratch.stage(_moments(inside.groupBy("g", "start").agg(*_sums()), floors, near / chi2_cdf(chi2_quantile(near, P), P + 2)).drop("log_det", "start"), "mcd-last")
+    scratch.drop(last)
     cols = [F.col(c) for c in rows.columns]
-    return rows.join(small(last.drop("log_det", "start")), "g", "left").select(*cols, _distance().alias("distance2"))
+    return rows.join(small(last), "g", "left").select(*cols, _distance().alias("distance2"))
 
 
 def quality_verdicts(docs: DataFrame, cut: float = CUT, core: float = 0.5, min_group: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -231,6 +245,8 @@ def quality_verdicts(docs: DataFrame, cut: float = CUT, core: float = 0.5, min_g
     groups = stage(groups, "mcd-groups")
     joined = rows.join(small(groups), F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left")
     joined = stage(joined.drop("gl", "gs").withColumn("fit", ~F.col("base_failed")), "mcd-rows")
+    for done in (rows, groups):
+        drop_folder(docs.sparkSession, done.staged_at)
     out = robust_distances(joined, core)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= chi2_quantile(cut, P), F.lit(True))
     return out.select("doc_id", "text_hash", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
