@@ -170,13 +170,49 @@ def test_concentration_goes_on_until_settled(spark):
     assert min(got, key=got.get) == pytest.approx(inside.mean(), rel=0.02)
 
 
+def numpy_mcd(x, floors, least, cut=0.975):
+    """Reweighted minimum covariance determinant: the same starts, plain sorted concentration steps."""
+    n, p = x.shape
+    h = math.ceil(n * 0.5)
+    raised = lambda s: s + np.diag(np.maximum(np.diag(s) + least, floors**2) - np.diag(s))
+    factor = lambda q: q / chi2_cdf(chi2_quantile(q, p), p + 2)
+    d2 = lambda m, s: np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(s), x - m)
+    mad = 1.4826 * np.median(np.abs(x - np.median(x, 0)), 0)
+    best = None
+    for m, s in [(np.median(x, 0), raised(np.zeros((p, p)))), (np.median(x, 0), raised(np.diag(mad**2))), (x.mean(0), raised(np.cov(x.T, bias=True)))]:
+        was = np.inf
+        for _ in range(200):
+            near = x[np.argsort(d2(m, s), kind="stable")[:h]]
+            m, s = near.mean(0), raised(factor(0.5) * np.cov(near.T, bias=True))
+            if np.linalg.slogdet(s)[1] >= was - 1e-9:
+                break
+            was = np.linalg.slogdet(s)[1]
+        if best is None or was < best[0]:
+            best = (was, m, s)
+    near = x[d2(*best[1:]) <= chi2_quantile(cut, p)]
+    return d2(near.mean(0), raised(factor(cut) * np.cov(near.T, bias=True)))
+
+
 def test_minimum_determinant_matches_numpy(spark):
-    """Distances of a clean group equal those of a plain reweighted estimate around the same core."""
+    """Distances equal those of a plain numpy estimate with sorted distances, for a contaminated group of correlated values."""
+    from strandlake.llm.outliers import CUT, LEAST, LIMITS
+
     rng = np.random.default_rng(5)
-    rows = [(i, " ".join("w" * int(n) for n in rng.integers(2, 9, 60)), "en", "s") for i in range(400)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    d = [r.distance2 for r in quality_verdicts(docs).collect()]
-    assert max(d) < chi2_quantile(0.9999, 4) and min(d) >= 0
+    mix = np.array([[0.3, 0, 0, 0], [0.05, 0.04, 0, 0], [0.02, 0.05, 0.09, 0], [0.03, 0.02, 0.04, 0.1]])
+    x = rng.normal(size=(3000, 4)) @ mix.T
+    x[:600] += [1.5, 0.2, 0.5, 0.6]
+    most = np.array([v / math.sqrt(chi2_quantile(CUT, 4)) for v in LIMITS])
+    off = np.array([np.median((d := np.abs(x[:, k] - np.median(x[:, k])))[d > 1e-3]) for k in range(4)])
+    floors = np.minimum(np.maximum(1.4826 * off, LEAST * most), most)
+    want = numpy_mcd(x, floors, (LEAST * most) ** 2 * chi2_quantile(CUT, 4) / chi2_quantile(CUT, 4))
+    rows = spark.createDataFrame([("g", True, i, *map(float, v)) for i, v in enumerate(x)], "g string, fit boolean, i int, x0 double, x1 double, x2 double, x3 double")
+    got = np.zeros(3000)
+    for r in robust_distances(rows).collect():
+        got[r.i] = r.distance2
+    assert np.abs(np.sqrt(got) - np.sqrt(want)).max() < 0.05 * np.sqrt(want).max()
+    assert np.corrcoef(np.argsort(np.argsort(got)), np.argsort(np.argsort(want)))[0, 1] > 0.999
+    cut = chi2_quantile(CUT, 4)
+    assert ((got > cut) == (want > cut)).mean() > 0.999 and (got[:600] > cut).mean() > 0.9
 
 
 def test_chi_squared():
@@ -201,11 +237,13 @@ def within_one(a, b):
     return 1 if (a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]) else None
 
 
-def brute_lines(rows, least=20):
-    lines = [((k is not None, k or 0, n), k, hash_, n, x) for k, text, hash_ in rows if text is not None for n, x in enumerate(text.split("\n")) if len(x) >= least]
+def brute_lines(rows, least=20, equal=False):
+    """With ``equal`` lines under ``least`` code points are compared too, for equality alone; blank ones never."""
+    lines = [((k is not None, k or 0, n), k, hash_, n, x) for k, text, hash_ in rows if text is not None for n, x in enumerate(text.split("\n")) if (len(x) >= least or equal) and re.search(r"[^\x20\x09-\x0D]", x)]
+    same = lambda a, b: a == b if min(len(a), len(b)) < least else within_one(a, b) is not None
     out = Counter()
     for place, k, h, n, x in lines:
-        best = min((p[0] for p in lines if p[0] < place and within_one(p[4], x) is not None), default=None)
+        best = min((p[0] for p in lines if p[0] < place and same(p[4], x)), default=None)
         if best is not None:
             edits = 0 if any(p[0] == best and p[4] == x for p in lines) else 1
             out[k, n, best[1] if best[0] else None, best[2], edits] += 1
@@ -232,6 +270,45 @@ def test_short_lines_equal_to_an_earlier_one(spark):
     assert {(r.doc_id, r.line_no) for r in find_first_lines(docs).collect()} == {(2, 5)}
 
 
+def brute_bound(lines, bound):
+    """(line number, earliest line within the bound, distance) by the plain edit distance."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    out = set()
+    for n, x in enumerate(lines):
+        for m, y in enumerate(lines[:n]):
+            if abs(len(x) - len(y)) <= bound and (d := distance(x, y)) <= bound:
+                out.add((n, m, d))
+                break
+    return out
+
+
+@pytest.mark.parametrize("bound", [0, 1, 2])
+def test_lines_within_any_bound(spark, bound):
+    rng = np.random.default_rng(21)
+    lines = []
+    for _ in range(14):
+        base = "".join(rng.choice(list("abc"), 11))
+        lines.append(base)
+        for _ in range(4):
+            x = list(base)
+            for _ in range(int(rng.integers(1, 4))):
+                k, how = int(rng.integers(0, len(x))), int(rng.integers(0, 3))
+                x[k : k + (how != 1)] = [] if how == 0 else ["d"]
+            lines.append("".join(x))
+    order = rng.permutation(len(lines))
+    lines = [lines[k] for k in order]
+    docs = spark.createDataFrame([(7, "\n".join(lines[:30])), (9, "\n".join(lines[30:]))], "doc_id long, text string")
+    got = {(r.line_no + (30 if r.doc_id == 9 else 0), r.first_line_no + (30 if r.first_doc_id == 9 else 0), r.edits) for r in find_first_lines(docs, min_chars=5, edits=bound).collect()}
+    assert got == brute_bound(lines, bound)
+
+
 def test_lines_are_cut(spark, tricky, rows, empty):
     df = spark.createDataFrame([(1, "first line of twenty chars\nkeep", 9, "x"), (2, "a\nfirst line of twenty charz\nb", 9, "y"), (3, "first line of twenty chars", 9, "z"), (4, None, None, None)], "doc_id long, text string, n_chars long, __gone2 string")
     got = {r.doc_id: (r.text, r.n_chars) for r in drop_lines(df, find_first_lines(df)).collect()}
@@ -293,19 +370,79 @@ def test_chain_and_large_group(spark):
     assert got == brute_classes(rows)
 
 
-def test_rows_beyond_the_leaders_meet(monkeypatch):
-    """With the leaders full, rows that are like each other but weakly like different leaders share a class."""
+def test_rows_behind_many_leaders_meet():
+    """Behind 2,000 unlike rows, two rows that agree in four fifths of their signature are tied to each other or to one leader."""
     import strandlake.llm.forest as forest
 
-    monkeypatch.setattr(forest, "LEADERS", 3)
-    run, width = forest._Run(1, 120), 120
-    base = np.arange(3 * width, dtype=np.uint16).reshape(3, width)
-    for n in range(3):
+    rng = np.random.default_rng(4)
+    run, width = forest._Run(b"k", 160), 160
+    base = rng.integers(0, 1 << 16, (2000, width)).astype(np.uint16)
+    for n in range(2000):
         assert run.add(n, base[n]) == []
-    a = np.full(width, 999, np.uint16)
-    b = a.copy()
-    a[:48], b[72:] = base[1][:48], base[2][72:]  # 0.4 like leader 1, 0.4 like leader 2
-    assert run.add(10, a) == [1, 0] and run.add(11, b) == [2, 0]
+    for far in (0, 40, 60, 64):  # the first agrees with leader 7 in 1, 0.75, ... of the places
+        a = base[7].copy()
+        a[:far] = rng.integers(0, 1 << 16, far)
+        b = a.copy()
+        b[-32:] = rng.integers(0, 1 << 16, 32)
+        x, y = set(run.add(5000 + far, a)) | {5000 + far}, set(run.add(6000 + far, b)) | {6000 + far}
+        assert x & y
+
+
+def test_lengths_reach_the_target_and_leave_crowded_prefixes():
+    import strandlake.llm.forest as forest
+
+    rng = np.random.default_rng(6)
+    crowded = np.concatenate([np.zeros((1, 20), np.int64), rng.integers(0, 8, (50, 20)), np.full((1, 20), 8), np.where(np.arange(20) < 15, 7, 0)[None, :]])
+    lengths = forest.shortened(crowded, 8, 0.8, 0.999)
+    assert (1 - np.prod(1 - 0.8**lengths, axis=1) >= 0.999 - 1e-12).all()
+    assert set(lengths[0]) <= {5, 6} and set(lengths[-2]) <= {5, 6}
+    assert (lengths[-1][:15] >= 7).all() and (lengths[-1][15:] <= 3).all()  # the five free trees are shortened further instead
+    one_longer = lengths[0].copy()
+    one_longer[np.argmin(one_longer)] += 1
+    assert 1 - np.prod(1 - 0.8**one_longer) < 0.999  # no further than needed
+
+
+def test_trie_scan_by_brute_force():
+    import strandlake.llm.forest as forest
+
+    rng = np.random.default_rng(9)
+    labels = rng.integers(0, 3, (400, 5)).astype(np.uint16)
+    trees = rng.integers(0, 2, 400)
+    order = np.lexsort([*labels.T[::-1], trees])
+    labels, trees = labels[order], trees[order]
+    matched, crowded = forest.scan_trie(trees, labels, 10)
+    for i in range(400):
+        sizes = [sum(trees[j] == trees[i] and (labels[j][:k] == labels[i][:k]).all() for j in range(400)) for k in range(1, 6)]
+        assert crowded[i] == max([k for k, n in enumerate(sizes, 1) if n > 10], default=0)
+        assert matched[i] >= max([k for k, n in enumerate(sizes, 1) if n > 1], default=0)
+
+
+@pytest.mark.parametrize("crowd", [2, 12])
+def test_crowded_prefixes_lose_no_link(spark, crowd):
+    """Pages with a common frame crowd the short prefixes; near copies among them are all found."""
+    rng = np.random.default_rng(12)
+    frame = [f"f{x}" for x in range(120)]
+    rows = []
+    for i in range(150):
+        own = [f"o{x}" for x in rng.integers(0, 10**6, 90)]
+        rows.append((i, " ".join(frame + own)))
+        if i % 5 == 0:
+            own[int(rng.integers(0, 90))] = "changed"
+            rows.append((1000 + i, " ".join(frame + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in near_duplicates(docs, crowd=crowd).collect())
+    assert got == brute_classes(rows)
+
+
+def test_whole_numbers_decide_at_the_threshold(spark):
+    """Sets of 100,000 shingles just below and just at 0.8, where 32-bit arithmetic would err."""
+    n = 100_000
+    base = [f"w{i}" for i in range(n + 4)]
+    other = lambda k: [*base[: n + 4 - k], *(f"x{i}" for i in range(k))]
+    # k changed words at the end change k shingles: common n - k, union n + k
+    at = n // 9  # (n - k) / (n + k) >= 0.8 up to k = n / 9
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other(at))), (3, " ".join(f"y{w}" for w in base)), (4, " ".join(f"y{w}" for w in other(at + 1)))], "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
 def test_blocks_of_a_split_class(spark, monkeypatch):
