@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line equals, or nearly equals, are cut out of the texts."""
-    return drop_lines(docs, find_first_lines(docs, min_chars=20))
+    """Lines that an earlier line equals, or (from 20 characters on) nearly equals, are cut out of the texts."""
+    return drop_lines(docs, find_first_lines(docs, min_chars=20, equal_chars=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
