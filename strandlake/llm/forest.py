@@ -161,20 +161,35 @@ class _Run:
 
 
 def _ties(rows: DataFrame, width: int) -> DataFrame:
-    """Ties ``a, b`` of the sorted rows ``key, nid, sig``; ``open`` rows name the leaders of a task's first and last run."""
+    """Ties ``a, b`` of the sorted rows ``key, nid, sig``: each node of a task and the least one it is tied to there, over all buckets.
+
+    Ties are joined inside the task, so a task returns a row for a node at most, however many
+    leaders it agrees with.  ``open`` rows (``key`` set, no ``b``) name a node of a task's first and last bucket,
+    which other tasks may hold too: all leaders of such a bucket are tied.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, first_key = None, None
-        a, b, at = [], [], []
-
-        def flush():
-            out = pa.RecordBatch.from_pydict({"key": pa.array(at, pa.binary()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-            a.clear(), b.clear(), at.clear()
-            return out
-
-        def close():  # the neighbouring tasks may hold more rows of these prefixes
-            for x in run.ids:
-                at.append(run.key), a.append(x), b.append(None)
+        parent: dict[int, int] = {}
+        at: list[bytes] = []
+        who: list[int] = []
+
+        def find(x: int) -> int:
+            root = x
+            while (up := parent.setdefault(root, root)) != root:
+                root = up
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        def join(x: int, y: int) -> None:
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+
+        def close() -> None:
+            for x in run.ids[1:]:
+                join(x, run.ids[0])
+            at.append(run.key), who.append(run.ids[0])
 
         for batch in batches:
             keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -186,11 +201,16 @@ def _ties(rows: DataFrame, width: int) -> DataFrame:
                     run = _Run(k, width)
                     first_key = k if first_key is None else first_key
                 for t in run.add(i, s):
-                    at.append(None), a.append(i), b.append(t)
-            yield flush()
+                    join(i, t)
         if run is not None:
             close()
-            yield flush()
+            tied = [(x, find(x)) for x in list(parent)]
+            tied = [(x, r) for x, r in tied if x != r]
+            a, b = zip(*tied, strict=True) if tied else ((), ())
+            for i in range(0, len(a), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(a[part]), pa.binary()), "a": pa.array(a[part], pa.int64()), "b": pa.array(b[part], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(at, pa.binary()), "a": pa.array(who, pa.int64()), "b": pa.nulls(len(at), pa.int64())})
 
     return rows.mapInArrow(scan, "key binary, a long, b long")
 
