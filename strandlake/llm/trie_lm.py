@@ -1,19 +1,29 @@
 """Operator 6: an n-gram language model in an Elias-Fano trie.
 
-Level 1 is the vocabulary: sorted 63-bit word hashes with exact counts, in range shards.  A
-node of level k is a pair (parent node of level k - 1, word).  Level k >= 2 is split by parent
-into shards; each is a file of compact, memory-mapped sequences: monotone pointers from the
-parents to their children, the children (parent's place and word) as one ascending
+Level 1 is the vocabulary: sorted 63-bit word hashes in ranges, with exact counts as the steps
+of a monotone sequence of running sums.  All longer n-grams lie in shards: contiguous ranges
+of the n-grams sorted by word numbers, cut by their first two words.  A shard is a trie of its
+own in one file of compact, memory-mapped sequences: for each level monotone pointers from
+the parents to their children, the children (parent's place and word) as one ascending
 sequence, 8-bit codes of the discounted probabilities and of the back-off weights.  A lookup
 takes the parent's range from the pointers and finds the word there by successor search.
 
 Smoothing is interpolated absolute discounting: p(w | h) = max(c - D, 0) / C + D T / C * p(w | h'),
-with D = n1 / (n1 + 2 n2) of the shard; level 1 is the add-one-half estimate, which gives unknown
-words their share.  All orders are normalised.
+with D = n1 / (n1 + 2 n2) of the level in the shard; level 1 is the add-one-half estimate, which
+gives unknown words their share.  Each context of two words or more lies in one shard; one word that
+very many n-grams begin with is dealt out over several shards, and its weight D T / C is summed
+over them, so all orders are normalised but for the 8-bit codes (2 % at most in the test).
+
+Nothing holds the whole model.  Training: texts become slices of word codes (files in the shared
+folder); their distinct words go to the ranges of level 1 and come back as numbers; their distinct
+n-grams, counted in the slice, go to the shards, which merge them as they come.  Scoring asks
+the same way: distinct words, then distinct n-grams of a slice, sorted, go to the range or shard that
+answers them, and the answers go back to the slice.  A task opens one range or shard at a
+time and only the pages that it needs; the driver holds the list of files, the shards' limits and
+the weights of dealt-out words (a few bytes for ``shard_tokens`` training tokens).
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased), then one end for each text; the end also
-stands before the first word as its context.  Counting covers every training row; it sums
-in each batch and shard before anything is shuffled, so the model grows with the corpus.
+stands before the first word as its context.  Counting covers every training row.
 
 Special cases: null texts are empty (one end); an empty training set gives every token the
 unknown share; repeated rows count each; other columns are ignored.
@@ -29,94 +39,208 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import filesystem, new_folder, ship, slices, stage, write_once
-from strandlake.llm.elias_fano import EliasFano, map_arrays, write_arrays
+from strandlake.llm.common import Scratch, drop_folder, new_folder, ship, slices, write_once
+from strandlake.llm.elias_fano import EliasFano, open_arrays, write_arrays
 from strandlake.llm.words import split_words
 
 #: Hash of the end of a text; no word is empty.
 END = 0
 HASH_BITS = 63
-#: Bytes of text that a task works on at a time.
-SLICE = 4 << 20
+#: Bytes of text in a slice.
+SLICE = 8 << 20
+#: N-grams that a shard gathers before it merges them.
+MERGE = 1 << 21
 
-_maps: dict[str, list[np.ndarray]] = {}
+_open_last: dict[str, list[np.ndarray]] = {}
 
 
 def _open(uri: str) -> list[np.ndarray]:
-    """A mapped file; one that lies in a remote store is fetched once into the worker's temp folder."""
-    if uri not in _maps:
-        files, path = filesystem(uri)
-        if files.type_name != "local":
-            import os
-            import tempfile
-
-            handle, local = tempfile.mkstemp()
-            with os.fdopen(handle, "wb") as out, files.open_input_stream(path) as source:
-                while block := source.read(1 << 20):
-                    out.write(block)
-            _maps[uri] = map_arrays(local)
-            os.unlink(local)
-        else:
-            _maps[uri] = map_arrays(path)
-    return _maps[uri]
+    """The arrays of a file; only the last two files stay open."""
+    if uri not in _open_last:
+        while len(_open_last) > 1:
+            _open_last.pop(next(iter(_open_last)))
+        _open_last[uri] = open_arrays(uri)
+    return _open_last[uri]
+
+
+def _squeeze(a: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte by byte of their places."""
+    import zstandard
+
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
+
+def _plain(raw: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _steps(a: np.ndarray) -> bytes:
+    """An ascending sequence of 63-bit numbers."""
+    return _squeeze(np.diff(a.astype(np.int64), prepend=0).astype("<u8"))
+
+
+def _sums(raw: bytes) -> np.ndarray:
+    return np.cumsum(_plain(raw, "<u8").astype(np.int64))
+
+
+def _unique(cols: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(distinct rows in ascending order, the number of each row's own, how often each occurs) of columns of numbers below 2**bits."""
+    if len(cols) * bits <= 63:
+        key = np.zeros(len(cols[0]), np.int64)
+        for c in cols:
+            key = (key << bits) | c
+        key, inverse, many = np.unique(key, return_inverse=True, return_counts=True)
+        return [(key >> (bits * (len(cols) - 1 - k))) & ((1 << bits) - 1) for k in range(len(cols))], inverse, many
+    order = np.lexsort(cols[::-1])
+    rows = [c[order] for c in cols]
+    heads = _heads(rows)
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(heads) - 1
+    at = np.flatnonzero(heads)
+    return [c[at] for c in rows], inverse, np.diff(np.append(at, len(order)))
+
+
+def _heads(rows: list[np.ndarray]) -> np.ndarray:
+    """Mask of sorted rows that differ from the one before."""
+    heads = np.zeros(len(rows[0]), bool)
+    heads[:1] = True
+    for c in rows:
+        heads[1:] |= c[1:] != c[:-1]
+    return heads
+
+
+def _gram_blob(cols: list[np.ndarray]) -> bytes:
+    parts = [_steps(cols[0]), *(_squeeze(c.astype("<u4")) for c in cols[1:])]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def _gram_cols(blob: bytes) -> list[np.ndarray]:
+    parts, at = [], 0
+    while at < len(blob):
+        size = int.from_bytes(blob[at : at + 4], "little")
+        parts.append(blob[at + 4 : at + 4 + size])
+        at += 4 + size
+    return [_sums(parts[0]), *(_plain(x, "<u4").astype(np.int64) for x in parts[1:])]
 
 
 @dataclass
 class Model:
-    """Where the levels lie, and the totals.  ``levels[k]`` has (uri, first node, nodes) of each shard."""
+    """Where the levels lie, and the totals.
+
+    ``words``: (uri, least hash, first number, words) of each range; ``bounds``: the least
+    first two words of each shard as one number; ``shards``: their files (empty: no n-gram);
+    ``dealt``: back-off weights of first words that several shards share; ``levels[k]`` names the shards;
+    ``ranges``: which of the ``range_count`` ranges of hashes have words.
+    """
 
     order: int
-    words: list[tuple[str, int, int, int]] = field(default_factory=list)  # uri, least hash, first id, number
+    words: list[tuple[str, int, int, int]] = field(default_factory=list)
     tokens: int = 0
     vocabulary: int = 0
-    levels: dict[int, list[tuple[str, int, int]]] = field(default_factory=dict)
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    shards: list[str] = field(default_factory=list)
+    dealt: dict[int, float] = field(default_factory=dict)
+    ranges: list[int] = field(default_factory=list)
+    range_count: int = 1
+
+    @property
+    def levels(self) -> dict[int, list[str]]:
+        return {k: self.shards for k in range(2, self.order + 1)}
+
+    @property
+    def unknown(self) -> int:
+        """The number of words outside the vocabulary."""
+        return self.vocabulary
+
+    @property
+    def nothing(self) -> int:
+        """The number that stands behind the end of a text; the greatest."""
+        return self.vocabulary + 1
+
+    @property
+    def bits(self) -> int:
+        return (self.vocabulary + 1).bit_length()
 
     def lookup_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids or -1, counts) of word hashes."""
+        """(ids or -1, counts) of word hashes; for a few lookups."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        if not self.words:
-            return ids, counts
-        shard = np.searchsorted(np.array([x[1] for x in self.words], np.uint64), hashes, "right") - 1
-        for s in np.unique(shard[shard >= 0]):
-            own = np.flatnonzero(shard == s)
-            uri, _, first, _ = self.words[s]
-            *sequence, many = _open(uri)
-            at, found = EliasFano.from_arrays(*sequence).successor(hashes[own])
-            ids[own[found]] = first + at[found]
-            counts[own[found]] = many[at[found]]
+        for uri, _, first, n in self.words:
+            at, many = _find_words(uri, hashes)
+            ids[at < n] = first + at[at < n]
+            counts[at < n] = many[at < n]
         return ids, counts
 
+    def shard_of(self, cols: list[np.ndarray]) -> np.ndarray:
+        return np.searchsorted(self.bounds, cols[0] * (self.vocabulary + 2) + cols[1], "right") - 1
+
     def children(self, level: int, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node or -1, discounted probability or 0, back-off weight of the parent) of pairs with known parents."""
-        shards = self.levels[level]
+        """(place in its shard or -1, discounted probability or 0, back-off weight) of ``words`` behind single words (level 2); for a few lookups."""
+        if level != 2:
+            raise ValueError("only contexts of one word")
         node, share, back = np.full(len(parents), -1, np.int64), np.zeros(len(parents)), np.ones(len(parents))
-        which = parents % len(shards)
-        order = np.argsort(which, kind="stable")
-        edges = np.searchsorted(which[order], np.arange(len(shards) + 1))
-        for s, (uri, first, size) in enumerate(shards):
-            own = order[edges[s] : edges[s + 1]]
-            if not len(own) or not size:
-                continue
-            arrays = _open(uri)
-            pointers, grams = EliasFano.from_arrays(*arrays[0:4]), EliasFano.from_arrays(*arrays[4:8])
-            codes, book, weights, weight_book = arrays[8:12]
-            local = parents[own] // len(shards)
-            own, local = own[local < pointers.n - 1], local[local < pointers.n - 1]
-            places, inverse = np.unique(local, return_inverse=True)
-            begin, end = (pointers.get(places + k).astype(np.int64)[inverse] for k in (0, 1))
-            full = end > begin
-            own, local, begin, end = own[full], local[full], begin[full], end[full]
-            back[own] = weight_book[weights[local]]
-            w = words[own]
-            seen = w >= 0
-            own, begin, end = own[seen], begin[seen], end[seen]
-            at, found = grams.successor(local[seen] * (self.vocabulary + 1) + w[seen])
-            found &= (at >= begin) & (at < end)
-            node[own[found]] = first + at[found]
-            share[own[found]] = book[codes[at[found]]]
+        which = self.shard_of([parents, words])
+        for s in np.unique(which):
+            own = np.flatnonzero(which == s)
+            if self.shards[s]:
+                found = Shard(self.shards[s], self).look([parents[own], words[own]])[0]
+                node[own], share[own], back[own] = found[0], np.where(found[0] >= 0, found[3][found[1]], 0), np.where(found[4], found[5][found[2]], 1)
+        for word, weight in self.dealt.items():
+            back[parents == word] = weight
         return node, share, back
 
 
+class Shard:
+    """A trie of the n-grams whose first two words lie in a range."""
+
+    def __init__(self, uri: str, model: Model):
+        arrays = iter(_open(uri))
+        sequence = lambda: EliasFano.from_arrays(*(next(arrays) for _ in range(4)))
+        self.model, self.first = model, sequence()
+        self.levels = []
+        while (head := next(arrays, None)) is not None:
+            pointers = EliasFano.from_arrays(head, *(next(arrays) for _ in range(3)))
+            self.levels.append((pointers, sequence(), *(next(arrays) for _ in range(4))))
+
+    def look(self, cols: list[np.ndarray]) -> list[tuple]:
+        """For each level from 2 on: (place or -1, code, code of the context's weight, code book, context known, book of weights)."""
+        out = []
+        place, known = self.first.successor(cols[0])
+        place = np.where(known, place, -1)
+        for words, (pointers, grams, codes, book, weights, weight_book) in zip(cols[1:], self.levels, strict=False):
+            node, code, weight, full = np.full(len(place), -1, np.int64), np.zeros(len(place), np.uint8), np.zeros(len(place), np.uint8), np.zeros(len(place), bool)
+            own = np.flatnonzero(place >= 0)
+            if len(own):
+                places, inverse = np.unique(place[own], return_inverse=True)
+                begin, end = (pointers.get(places + k).astype(np.int64)[inverse] for k in (0, 1))
+                some = end > begin
+                own, begin, end = own[some], begin[some], end[some]
+                full[own], weight[own] = True, weights[place[own]]
+                real = words[own] < self.model.vocabulary
+                own, begin, end = own[real], begin[real], end[real]
+                at, found = grams.successor(place[own] * self.model.vocabulary + words[own])
+                found &= (at >= begin) & (at < end)
+                node[own[found]] = at[found]
+                code[own[found]] = codes[at[found]]
+            out.append((node, code, weight, book, full, weight_book))
+            place = node
+        return out
+
+
+def _find_words(uri: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the range, or its size, count) of word hashes."""
+    arrays = _open(uri)
+    sequence, running = EliasFano.from_arrays(*arrays[:4]), EliasFano.from_arrays(*arrays[4:8])
+    at, found = sequence.successor(hashes)
+    own = np.flatnonzero(found)
+    counts = np.zeros(len(hashes), np.int64)
+    counts[own] = (running.get(at[own] + 1) - running.get(at[own])).astype(np.int64)
+    return np.where(found, at, sequence.n), counts
+
+
 def _tokens(column: pa.Array):
     """(vocabulary hashes with the end last, codes with an end before and after each text, first, lengths in tokens)."""
     words = split_words(column)
@@ -129,27 +253,6 @@ def _tokens(column: pa.Array):
     return hashes, codes, first, n + 1
 
 
-def _nodes(model: Model, ids: np.ndarray, first: np.ndarray, level: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level from 2 on: (level, places of tokens, their node or -1, share, back-off weight)."""
-    start = np.zeros(len(ids), bool)
-    start[first[:-1]] = True
-    places = np.flatnonzero(~start)
-    node = ids.copy()  # of level k - 1, ending at each place
-    for k in range(2, level + 1):
-        if k > 2:
-            places = places[~start[places - (k - 2)]] if len(places) else places
-        parents = node[places - 1]
-        known = places[parents >= 0]
-        pairs = (node[known - 1] * (model.vocabulary + 2)) + ids[known] + 1
-        _, firsts, inverse = np.unique(pairs, return_index=True, return_inverse=True)
-        asked = known[firsts]
-        got, share, back = model.children(k, node[asked - 1], ids[asked])
-        new = np.full(len(ids), -1, np.int64)
-        new[known] = got[inverse]
-        yield k, known, got[inverse], share[inverse], back[inverse]
-        node = new
-
-
 def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(8-bit codes, 256 levels): bins over the distinct values on the log scale, their geometric means.
 
@@ -166,166 +269,413 @@ def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.where(size > 0, np.exp(mean), 1.0)
 
 
-def _vocabulary(rows: DataFrame, folder: str) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+# --- slices ------------------------------------------------------------------------------------
+
+PARTS = "array<struct<r:int, keys:binary, counts:binary>>"
+
+
+def _slice_texts(rows: DataFrame, folder: str, ranges: int) -> DataFrame:
+    """Rows ``k`` (any type), ``t`` as slices: ``slice, path, ids`` (the k), ``parts`` (distinct word hashes and counts by range)."""
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "t", SLICE):
-            hashes, codes, first, n = _tokens(batch.column(0))
+            hashes, codes, first, n = _tokens(batch.column(1))
+            hashes, own = np.unique(hashes, return_inverse=True)
+            codes = own[codes]
             many = np.bincount(codes, minlength=len(hashes))
-            many[-1] -= len(n)  # the end before a text is no token
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(many)], names=["h", "c"])
+            many[0] -= len(n)  # the end (hash 0) before a text is no token
+            blobs = [np.frombuffer(x, np.uint8) for x in (_squeeze(n.astype("<u4")), _squeeze(codes.astype("<u4")))]
+            path = write_once(folder, "slice", lambda out, b=blobs: write_arrays(out, b))
+            edges = np.searchsorted(hashes, np.array([-(-(r << HASH_BITS) // ranges) for r in range(ranges)] + [1 << HASH_BITS], np.uint64))
+            parts = [{"r": r, "keys": _steps(hashes[a:z]), "counts": _squeeze(many[a:z].astype("<u4"))} for r, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if z > a]
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([path]), ids, pa.array([parts], pa.list_(pa.struct([("r", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])))], names=["slice", "path", "ids", "parts"])
+            number += 1
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    return rows.mapInArrow(cut, f"slice long, path string, ids array<{kind}>, parts {PARTS}")
+
+
+def _rows_by(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[object, Iterator[tuple]]]:
+    """Sorted rows in groups of equal ``key`` columns; a group is read as it comes."""
+    from itertools import groupby
+
+    rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True))
+    yield from groupby(rows, key=lambda row: row[key])
+
+
+def _read_slice(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each text, codes, first places of texts and the end)."""
+    n, codes = (_plain(x.tobytes(), "<u4").astype(np.int64) for x in open_arrays(path))
+    return n, codes, np.concatenate([[0], np.cumsum(n + 1)])
+
+
+def _grams(ids: np.ndarray, first: np.ndarray, order: int, nothing: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(places where n-grams begin, their words): all but the last of each text; ``nothing`` behind the end."""
+    begins = np.ones(len(ids), bool)
+    begins[first[1:] - 1] = False
+    places = np.flatnonzero(begins)
+    end = np.repeat(first[1:], np.diff(first) - 1)
+    cols = []
+    for k in range(order):
+        at = places + k
+        cols.append(np.where(at < end, ids[np.minimum(at, len(ids) - 1)], nothing))
+    return places, cols
+
+
+def _by_slice(slices_: DataFrame, answers: DataFrame, with_ids: bool) -> DataFrame:
+    """Slices, each with the answers ``slice, r, path, a, b`` to it behind it, in the order of r."""
+    ids = F.col("ids") if with_ids else F.lit(None).cast(slices_.schema["ids"].dataType)
+    own = slices_.select("slice", F.lit(-1).alias("r"), "path", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), ids.alias("ids"))
+    both = own.unionByName(answers.select("slice", F.col("r").cast("int").alias("r"), "path", "a", "b", F.lit(None).cast(slices_.schema["ids"].dataType).alias("ids")))
+    return both.repartition("slice").sortWithinPartitions("slice", "r")
 
-        got = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
-        if got:
-            h, c = (np.concatenate(x) for x in zip(*got, strict=True))
-            part = TaskContext.get().partitionId()
-            path = write_once(folder, f"words-{part:06d}", lambda out: write_arrays(out, [*EliasFano.of(h, 1 << HASH_BITS).arrays(), c]))
-            yield pa.RecordBatch.from_pydict({"path": [path], "least": [int(h[0])], "n": [len(h)], "tokens": [int(c.sum())]})
 
-    counts = rows.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    return stage(counts.repartitionByRange("h").sortWithinPartitions("h").mapInArrow(write, "path string, least long, n long, tokens long"), "lm-words")
+# --- training ----------------------------------------------------------------------------------
 
 
-def _level(rows: DataFrame, model: Model, level: int, shards: int, folder: str) -> DataFrame:
-    """Counts the pairs (parent, word) of a level and writes its shards."""
-    bits = max(1, (model.vocabulary + 1).bit_length())
+def _build_words(parts: DataFrame, folder: str, ranges: int, shard_tokens: int) -> DataFrame:
+    """The ranges of level 1 and what their words are called: rows with ``slice`` null are files, the others answers ``a`` (places)."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, rows in _rows_by(batches, 0):
+            asked, many = [], []
+            for _, number, keys, counts in rows:
+                asked.append((number, _sums(keys)))
+                many.append(_plain(counts, "<u4").astype(np.int64))
+            hashes, own = np.unique(np.concatenate([x for _, x in asked]), return_inverse=True)
+            total = np.bincount(own, np.concatenate(many), minlength=len(hashes)).astype(np.int64)
+            running = np.concatenate([[0], np.cumsum(total)])
+            arrays = [*EliasFano.of(hashes, 1 << HASH_BITS).arrays(), *EliasFano.of(running, int(running[-1]) + 1).arrays()]
+            path = write_once(folder, f"words-{r:06d}", lambda out, x=arrays: write_arrays(out, x))
+            # where shards may begin: the words behind which another quota of tokens is full; words beyond the quota by themselves
+            marks = np.unique(np.searchsorted(running, np.arange(1, int(running[-1]) // shard_tokens + 1) * shard_tokens))
+            hot = np.flatnonzero(total > shard_tokens)
+            yield _word_rows([(r, None, path, None, len(hashes), int(total.sum()), int(hashes[0]), marks[marks < len(hashes)].tolist(), hot.tolist(), total[hot].tolist())])
+            ends = np.cumsum([len(x) for _, x in asked])
+            yield _word_rows([(r, number, None, _squeeze(own[z - len(x) : z].astype("<u4")), 0, 0, 0, [], [], []) for (number, x), z in zip(asked, ends.tolist(), strict=True)])
+
+    def _word_rows(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+        names = ["r", "slice", "path", "a", "n", "tokens", "least", "marks", "hot", "hot_count"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    dealt = parts.repartition(ranges, "r").sortWithinPartitions("r", "slice")
+    return dealt.mapInArrow(build, "r int, slice long, path string, a binary, n long, tokens long, least long, marks array<long>, hot array<long>, hot_count array<long>")
+
+
+def _shard_bounds(model: Model, ranges: list) -> tuple[np.ndarray, dict[int, int]]:
+    """(least first two words of each shard, counts of the words that are dealt out) from the ranges' marks.
+
+    A word beyond the quota is cut at second words that share its n-grams evenly if these are as
+    frequent behind it as anywhere.
+    """
+    wide = model.vocabulary + 2
+    first = {r.r: f for r, (_, _, f, _) in zip(ranges, model.words, strict=True)}
+    starts = sorted({0, *(first[r.r] + m for r in ranges for m in r.marks)})
+    hot = {first[r.r] + h: c for r in ranges for h, c in zip(r.hot, r.hot_count, strict=True)}
+    bounds = {s * wide for s in starts}
+    quota = max(1, model.tokens // max(1, len(starts)))
+    for word, count in hot.items():
+        bounds |= {word * wide, (word + 1) * wide}
+        pieces = min(len(starts), -(-count // quota))
+        if pieces > 1:
+            bounds |= {word * wide + starts[len(starts) * k // pieces] for k in range(1, pieces)}
+    limits = np.array(sorted(b for b in bounds if b < model.vocabulary * wide), np.int64)
+    inner = limits[limits % wide > 0] // wide
+    return limits, {int(w): hot[int(w)] for w in np.unique(inner)}
+
+
+def _count_grams(rows: DataFrame, model: Model) -> DataFrame:
+    """Distinct n-grams of each slice with their counts, by shard."""
+    base = np.array([f for _, _, f, _ in model.words], np.int64)
+    place_of = {r: i for i, r in enumerate(model.ranges)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        for number, group in _rows_by(batches, 0):
+            codes = first = None
+            ids = []
+            for _, r, path, a, _, _ in group:
+                if r < 0:
+                    _, codes, first = _read_slice(path)
+                else:
+                    ids.append(base[place_of[r]] + _plain(a, "<u4").astype(np.int64))
+            _, cols = _grams(np.concatenate(ids)[codes], first, model.order, model.nothing)
+            cols, _, many = _unique(cols, model.bits)
+            shard = model.shard_of(cols)
+            edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+            out = [(int(shard[a]), number, _gram_blob([c[a:z] for c in cols]), _squeeze(many[a:z].astype("<u4"))) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "slice", "keys", "counts"])
+
+    return rows.mapInArrow(count, "shard int, slice long, keys binary, counts binary")
+
+
+class _Merger:
+    """Distinct rows with their counts, merged as pieces come: memory follows the distinct rows, not the pieces."""
+
+    def __init__(self, bits: int):
+        self.bits, self.cols, self.many = bits, None, None
+        self.waiting: list[tuple[list[np.ndarray], np.ndarray]] = []
+        self.size = 0
+
+    def add(self, cols: list[np.ndarray], many: np.ndarray) -> None:
+        self.waiting.append((cols, many))
+        self.size += len(many)
+        if self.size > max(MERGE, 0 if self.many is None else len(self.many)):
+            self.merge()
+
+    def merge(self) -> None:
+        pieces = ([] if self.many is None else [(self.cols, self.many)]) + self.waiting
+        cols = [np.concatenate([c[k] for c, _ in pieces]) for k in range(len(pieces[0][0]))]
+        many = np.concatenate([m for _, m in pieces])
+        self.waiting, self.size = [], 0
+        self.cols, own, _ = _unique(cols, self.bits)
+        self.many = np.bincount(own, many, minlength=len(self.cols[0])).astype(np.int64)
+
+
+def _write_shard(cols: list[np.ndarray], many: np.ndarray, model: Model, dealt: dict[int, int], folder: str, shard: int) -> tuple[str, dict[int, float]]:
+    """Writes a shard; returns its file and, for dealt-out first words, their discounted mass here."""
+    heads = np.flatnonzero(_heads(cols[:1]))
+    parents = cols[0][heads]
+    arrays = [*EliasFano.of(parents, model.vocabulary + 2).arrays()]
+    owner = np.cumsum(_heads(cols[:1])) - 1  # the node of level k - 1 of each row
+    mass: dict[int, float] = {}
+    for k in range(2, len(cols) + 1):
+        real = cols[k - 1] < model.vocabulary
+        rows = [c[real] for c in cols[:k]]
+        parent = owner[real]
+        new = _heads(rows) if len(parent) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        node = np.cumsum(new) - 1
+        count = np.bincount(node, many[real], minlength=len(at)).astype(np.int64)
+        parent = parent[at]
+        size = int(owner[-1]) + 1 if k == 2 else n_nodes
+        total = np.bincount(parent, count, minlength=size)
+        pointers = np.searchsorted(parent, np.arange(size + 1))
+        once, twice = int((count == 1).sum()), int((count == 2).sum())
+        discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.1
+        if k == 2:
+            for i in np.flatnonzero(np.isin(parents, list(dealt))).tolist():
+                total[i] = dealt[int(parents[i])]
+                mass[int(parents[i])] = discount * float(pointers[i + 1] - pointers[i])
+        codes, book = _book((count - discount) / total[parent])
+        weights, weight_book = _book(np.where(total > 0, discount * np.diff(pointers) / np.maximum(total, 1), 1.0))
+        arrays += [*EliasFano.of(pointers, len(at) + 1).arrays(), *EliasFano.of(parent * model.vocabulary + rows[-1][at], size * model.vocabulary).arrays(), codes, book, weights, weight_book]
+        n_nodes = len(at)
+        cols, many, owner = [c[real] for c in cols], many[real], node
+        if not n_nodes:
+            break
+    return write_once(folder, f"shard-{shard:06d}", lambda out: write_arrays(out, arrays)), mass
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, "t", SLICE):
-            hashes, codes, first, _ = _tokens(batch.column(0))
-            ids = model.lookup_words(hashes)[0][codes]
-            start = np.zeros(len(ids), bool)
-            start[first[:-1]] = True
-            places = np.flatnonzero(~start)
-            node = ids
-            for _, known, got, _, _ in _nodes(model, ids, first, level - 1):
-                node = np.full(len(ids), -1, np.int64)
-                node[known] = got
-            if level > 2:
-                places = places[node[places - 1] >= 0]
-                places = places[~start[places - 1]]
-            parent = node[places - 1]
-            local = parent // shards
-            width = int(local.max(initial=0)).bit_length() + bits
-            if width + shards.bit_length() > 63:
-                raise ValueError("too many contexts for one key; use more shards")
-            keys, many = np.unique(((parent % shards) << width) | (local << bits) | ids[places], return_counts=True)
-            shard = keys >> width
-            keys &= (1 << width) - 1
-            edges = np.searchsorted(shard, np.arange(shards + 1))
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for s in np.flatnonzero(np.diff(edges)):
-                a, z = edges[s], edges[s + 1]
-                steps = np.diff(keys[a:z], prepend=0).astype("<u8")
-                for x, y in zip(out, (int(s), int(z - a), squeeze(steps.view(np.uint8).reshape(-1, 8).T.tobytes()), squeeze(many[a:z].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["shard", "n", "keys", "counts"])
 
+def _build_shards(counted: DataFrame, model: Model, dealt: dict[int, int], folder: str) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, got = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is not None and row[0] != now:
-                    yield _write_shard(now, got, bits, model.vocabulary + 1, folder, level)
-                    got = []
-                now = row[0]
-                got.append(row[1:])
-        if now is not None:
-            yield _write_shard(now, got, bits, model.vocabulary + 1, folder, level)
-
-    parts = rows.mapInArrow(count, "shard long, n long, keys binary, counts binary")
-    parts = parts.repartition(shards, "shard").sortWithinPartitions("shard")
-    return stage(parts.mapInArrow(build, "shard long, path string, n long"), f"lm-level{level}")
-
-
-def _write_shard(shard: int, got: list[tuple], bits: int, words: int, folder: str, level: int) -> pa.RecordBatch:
-    import zstandard
+        for shard, rows in _rows_by(batches, 0):
+            merger = _Merger(model.bits)
+            for _, _, keys, counts in rows:
+                merger.add(_gram_cols(keys), _plain(counts, "<u4").astype(np.int64))
+            merger.merge()
+            path, mass = _write_shard(merger.cols, merger.many, model, dealt, folder, shard)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([list(mass)], pa.list_(pa.int64())), pa.array([list(mass.values())], pa.list_(pa.float64()))], names=["shard", "path", "word", "mass"])
 
-    unzip = zstandard.ZstdDecompressor().decompress
-    plain = lambda raw, width: np.ascontiguousarray(np.frombuffer(unzip(raw), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
-    keys = np.concatenate([np.cumsum(plain(k, 8).astype(np.int64)) for _, k, _ in got])
-    many = np.concatenate([plain(c, 4) for _, _, c in got]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, many = keys[order], many[order]
-    del order
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    keys, count = keys[heads], np.add.reduceat(many, heads)
-    del heads, many
-    local, word = keys >> bits, keys & ((1 << bits) - 1)
-    once, twice = int((count == 1).sum()), int((count == 2).sum())
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.1
-    size = int(local[-1]) + 1
-    pointers = np.searchsorted(local, np.arange(size + 1))
-    total = np.bincount(local, count, minlength=size)
-    codes, book = _book((count - discount) / total[local])
-    back = np.where(total > 0, discount * np.diff(pointers) / np.maximum(total, 1), 1.0)
-    weights, weight_book = _book(back)
-    arrays = [*EliasFano.of(pointers, len(keys) + 1).arrays(), *EliasFano.of(local * words + word, size * words).arrays(), codes, book, weights, weight_book]
-    path = write_once(folder, f"level{level}-{shard:06d}", lambda out: write_arrays(out, arrays))
-    return pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n": [len(keys)]})
+    parts = counted.repartition(len(model.bounds), "shard").sortWithinPartitions("shard", "slice")
+    return parts.mapInArrow(build, "shard int, path string, word array<long>, mass array<double>")
 
 
 def train(docs: DataFrame, order: int = 3, shard_tokens: int = 2 << 20, text_col: str = "text") -> Model:
     """Counts all n-grams of ``docs`` up to ``order`` and writes the trie to the shared folder.
 
-    ``shard_tokens``: training tokens for each shard of a level, which bounds a task's memory.
-    Only the list of files and the totals come to the driver.
+    ``shard_tokens``: training tokens for each shard, which bounds a task's memory.
+    Only the list of files, the shards' limits and the totals come to the driver.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(text_col).cast("string").alias("t"))
-    folder = new_folder(spark, "trie")
-    model = Model(order)
-    for r in _vocabulary(rows, folder).orderBy("least").collect():
+    scratch = Scratch(spark)
+    folder, ranges = new_folder(spark, "trie"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.lit(None).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    cut = scratch.stage(_slice_texts(rows, f"{folder}/train", ranges), "lm-slices")
+    asked = cut.select("slice", F.explode("parts").alias("p")).select("p.r", "slice", "p.keys", "p.counts")
+    words = scratch.stage(_build_words(asked, folder, ranges, shard_tokens), "lm-words")
+    model = Model(order, range_count=ranges)
+    files = words.filter("slice is null").select("r", "path", "n", "tokens", "least", "marks", "hot", "hot_count").orderBy("r").collect()
+    for r in files:
         model.words.append((r.path, r.least, model.vocabulary, r.n))
         model.vocabulary += r.n
         model.tokens += r.tokens
     if not model.tokens:
         return Model(1)
-    shards = max(1, -(-model.tokens // shard_tokens))
-    for level in range(2, order + 1):
-        found = {r.shard: (r.path, r.n) for r in _level(rows, model, level, shards, folder).collect()}
-        files, first = [], 0
-        for s in range(shards):
-            path, n = found.get(s, ("", 0))
-            files.append((path, first, n))
-            first += n
-        model.levels[level] = files
-        if not first:
-            model.order = level - 1
-            break
+    model.ranges = [r.r for r in files]
+    if order < 2:
+        return model
+    model.bounds, dealt = _shard_bounds(model, files)
+    answers = words.filter("slice is not null").select("slice", "r", F.lit(None).cast("string").alias("path"), "a", F.lit(None).cast("binary").alias("b"))
+    counted = _count_grams(_by_slice(cut, answers, False), model)
+    built = scratch.stage(_build_shards(counted, model, dealt, folder), "lm-shards").collect()
+    scratch.drop()
+    drop_folder(spark, f"{folder}/train")
+    model.shards = [""] * len(model.bounds)
+    for r in built:
+        model.shards[r.shard] = r.path
+        for word, mass in zip(r.word, r.mass, strict=True):
+            model.dealt[word] = model.dealt.get(word, 0.0) + mass / dealt[word]
     return model
 
 
+# --- scoring -----------------------------------------------------------------------------------
+
+
+def _answer_words(asked: DataFrame, model: Model, ranges: int) -> DataFrame:
+    """``slice, r, path, a`` (places, one beyond the last for unknown words) and ``b`` (counts)."""
+    paths = dict(zip(model.ranges, (w[0] for w in model.words), strict=True))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, rows in _rows_by(batches, 0):
+            for _, number, keys in rows:
+                hashes = _sums(keys)
+                at, many = _find_words(paths[r], hashes) if r in paths else (np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([r], pa.int32()), pa.nulls(1, pa.string()), pa.array([_squeeze(at.astype("<u4"))]), pa.array([_squeeze(many.astype("<u8"))])], names=["slice", "r", "path", "a", "b"])
+
+    dealt = asked.repartition(ranges, "r").sortWithinPartitions("r")
+    return dealt.mapInArrow(answer, "slice long, r int, path string, a binary, b binary")
+
+
+def _ask_grams(rows: DataFrame, model: Model, folder: str) -> DataFrame:
+    """Distinct n-grams of each slice by shard; ``path`` is a file with the numbers and counts of the slice's words."""
+    place = {r: i for i, r in enumerate(model.ranges)}
+    words = model.words
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, group in _rows_by(batches, 0):
+            codes = first = None
+            ids, counts = [], []
+            for _, r, path, a, b, _ in group:
+                if r < 0:
+                    _, codes, first = _read_slice(path)
+                    continue
+                at = _plain(a, "<u4").astype(np.int64)
+                if r in place:
+                    _, _, begin, n = words[place[r]]
+                    ids.append(np.where(at < n, begin + at, model.unknown))
+                else:
+                    ids.append(np.full(len(at), model.unknown))
+                counts.append(_plain(b, "<u8").astype(np.int64))
+            ids, counts = np.concatenate(ids), np.concatenate(counts)
+            blobs = [np.frombuffer(x, np.uint8) for x in (_squeeze(ids.astype("<u8")), _squeeze(counts.astype("<u8")))]
+            kept = write_once(folder, "ids", lambda out, x=blobs: write_arrays(out, x))
+            out = []
+            if model.order > 1:
+                _, cols = _grams(ids[codes], first, model.order, model.nothing)
+                cols, _, _ = _unique(cols, model.bits)
+                known = cols[0] < model.vocabulary
+                cols = [c[known] for c in cols]
+                shard = model.shard_of(cols)
+                edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
+                out = [(int(shard[a]), number, kept, _gram_blob([c[a:z] for c in cols])) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            out = out or [(0, number, kept, None)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["shard", "slice", "path", "keys"])
+
+    return rows.mapInArrow(ask, "shard int, slice long, path string, keys binary")
+
+
+def _answer_grams(asked: DataFrame, model: Model) -> DataFrame:
+    """``slice, r`` (the shard), ``path`` and ``a``: for each level what is known, codes and weights, and the books."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, rows in _rows_by(batches, 0):
+            shard = Shard(model.shards[s], model) if model.shards and model.shards[s] else None
+            for _, number, path, keys in rows:
+                blob = None
+                if keys is not None:
+                    cols = _gram_cols(keys)
+                    found = shard.look(cols) if shard else []
+                    parts = [np.array([len(cols[0]), len(found)], "<u4").tobytes()]
+                    for node, code, weight, book, full, weight_book in found:
+                        for x in (_squeeze((node >= 0).astype(np.uint8) + 2 * full.astype(np.uint8)), _squeeze(code), _squeeze(weight), book.astype("<f8").tobytes(), weight_book.astype("<f8").tobytes()):
+                            parts.append(len(x).to_bytes(4, "little") + x)
+                    blob = b"".join(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([s], pa.int32()), pa.array([path]), pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], names=["slice", "r", "path", "a", "b"])
+
+    dealt = asked.repartition(max(1, len(model.bounds)), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(answer, "slice long, r int, path string, a binary, b binary")
+
+
+def _read_answer(blob: bytes, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level from 2 on: (probability or 0, weight or 1, context known) of the n-grams asked for."""
+    n, levels = np.frombuffer(blob[:8], "<u4").tolist()
+    at, out = 8, []
+
+    def part() -> bytes:
+        nonlocal at
+        size = int.from_bytes(blob[at : at + 4], "little")
+        at += 4 + size
+        return blob[at - size : at]
+
+    for _ in range(levels):
+        flags, code, weight = _plain(part(), "u1"), _plain(part(), "u1"), _plain(part(), "u1")
+        book, weight_book = np.frombuffer(part(), "<f8"), np.frombuffer(part(), "<f8")
+        known = flags >= 2
+        out.append((np.where(flags & 1, book[code], 0.0), np.where(known, weight_book[weight], 1.0), known))
+    return out + [(np.zeros(n), np.ones(n), np.zeros(n, bool))] * (order - 1 - levels)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of every whole text (log10 probabilities)."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", SLICE):
-            hashes, codes, first, n = _tokens(batch.column(1))
-            word_ids, word_counts = model.lookup_words(hashes)
-            ids, many = word_ids[codes], word_counts[codes]
+    spark = docs.sparkSession
+    ship(spark)
+    folder, ranges = new_folder(spark, "lm-asked"), model.range_count
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+    kind = rows.schema["k"].dataType.simpleString()
+    cut = Scratch(spark).stage(_slice_texts(rows, folder, ranges), "lm-slices")
+    asked = cut.select("slice", F.explode("parts").alias("p")).select("p.r", "slice", "p.keys")
+    grams = _ask_grams(_by_slice(cut, _answer_words(asked, model, ranges), False), model, folder)
+    answered = _by_slice(cut, _answer_grams(grams, model), True)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _rows_by(batches, 0):
+            docs_, told, kept = None, [], None
+            for _, r, path, a, _, ids in group:
+                if r < 0:
+                    n, codes, first = _read_slice(path)
+                    docs_ = ids
+                else:
+                    kept = path
+                    if a is not None:
+                        told.append(_read_answer(a, model.order))
+            word, count = (_plain(x.tobytes(), "<u8").astype(np.int64) for x in open_arrays(kept))
+            many = count[codes]
             base = (many + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1))
             p = base.copy()
-            for _, known, _, share, back in _nodes(model, ids, first, model.order):
-                p[known] = share + back * p[known]
-            token = np.ones(len(ids), bool)
+            if told:
+                places, cols = _grams(word[codes], first, model.order, model.nothing)
+                cols, own, _ = _unique(cols, model.bits)
+                asked_for = np.flatnonzero(cols[0] < model.vocabulary)
+                for level in range(2, model.order + 1):
+                    share, back, known = np.zeros(len(cols[0])), np.ones(len(cols[0])), np.zeros(len(cols[0]), bool)
+                    share[asked_for], back[asked_for], known[asked_for] = (np.concatenate([t[level - 2][k] for t in told]) for k in range(3))
+                    if level == 2 and model.dealt:
+                        words, weights = np.array(sorted(model.dealt)), np.array([model.dealt[w] for w in sorted(model.dealt)])
+                        i = np.minimum(np.searchsorted(words, cols[0]), len(words) - 1)
+                        hot = words[i] == cols[0]
+                        back, known = np.where(hot, weights[i], back), known | hot
+                    use = known[own] & (cols[level - 1] != model.nothing)[own]
+                    at, g = places[use] + level - 1, own[use]
+                    p[at] = share[g] + back[g] * p[at]
+            token = np.ones(len(codes), bool)
             token[first[:-1]] = False
-            total = lambda x: np.add.reduceat(np.where(token, x, 0), first[:-1])
+            total = lambda x: np.add.reduceat(np.where(token, x, 0), first[:-1])  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(total(many > 0).astype(np.int64)), pa.array(total(np.log10(base))), pa.array(total(np.log10(p)))],
+                [pa.array(docs_, out_type), pa.array(n), pa.array(total(many > 0).astype(np.int64)), pa.array(total(np.log10(base))), pa.array(total(np.log10(p)))],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out_type = to_arrow_type(rows.schema["k"].dataType)
+    return answered.mapInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def held_out(id_col: str, folds: int = 5, fold: int = 1) -> Column:

@@ -126,6 +126,41 @@ def test_probabilities_sum_to_one(spark):
         assert (share + back * base).sum() + back[0] * unknown == pytest.approx(1, abs=0.02)
 
 
+def test_words_over_several_shards(spark):
+    """First words with very many n-grams are dealt out; every context still sums to one and scores stay close."""
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, " ".join(["the" if rng.random() < 0.4 else f"w{int(rng.integers(0, 300))}" for _ in range(60)])) for i in range(200)], "doc_id long, text string")
+    one, many = train(docs, order=3), train(docs, order=3, shard_tokens=400)
+    assert len(many.levels[2]) > 10 and len(many.dealt) >= 1 and not one.dealt
+    words = np.array(sorted(set(_hashes(["the", *(f"w{i}" for i in range(300))])) | {0}), np.uint64)
+    ids, counts = many.lookup_words(words)
+    words, ids, counts = words[ids >= 0], ids[ids >= 0], counts[ids >= 0]
+    assert counts.sum() == many.tokens == one.tokens
+    base = (counts + 0.5) / (many.tokens + 0.5 * (many.vocabulary + 1))
+    unknown = 0.5 / (many.tokens + 0.5 * (many.vocabulary + 1))
+    for parent in [*many.dealt, *ids[:40]]:
+        _, share, back = many.children(2, np.full(len(ids), parent), ids)
+        assert (share + back * base).sum() + back[0] * unknown == pytest.approx(1, abs=0.03)
+    a, b = ({r.doc_id: r.score / r.n_tokens for r in score(docs, m).collect()} for m in (one, many))
+    assert max(abs(a[k] - b[k]) for k in a) < 0.25
+
+
+def test_rows_beyond_63_bits():
+    """Distinct rows are the same whether their numbers fit one word or not."""
+    from strandlake.llm.trie_lm import _Merger, _unique
+
+    rng = np.random.default_rng(1)
+    cols = [rng.integers(0, 5, 500) for _ in range(3)]
+    cols[2] = rng.integers(0, 1 << 20, 500) % 7
+    for x, y in zip(_unique(cols, 21), _unique(cols, 22), strict=True):
+        assert all((a == b).all() for a, b in zip(x, y, strict=True)) if isinstance(x, list) else (x == y).all()
+    merger = _Merger(22)
+    for i in range(0, 500, 7):
+        merger.add([c[i : i + 7] for c in cols], np.full(len(cols[0][i : i + 7]), 2))
+        merger.merge()
+    assert (merger.many == 2 * _unique(cols, 21)[2]).all()
+
+
 def _hashes(words):
     import xxhash
 
