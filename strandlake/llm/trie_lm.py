@@ -47,9 +47,9 @@ from strandlake.llm.words import split_words
 END = 0
 HASH_BITS = 63
 #: Bytes of text in a slice.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: N-grams that a shard gathers before it merges them.
-MERGE = 1 << 21
+MERGE = 1 << 19
 
 _open_last: dict[str, list[np.ndarray]] = {}
 
@@ -486,7 +486,7 @@ def _build_shards(counted: DataFrame, model: Model, dealt: dict[int, int], folde
     return parts.mapInArrow(build, "shard int, path string, word array<long>, mass array<double>")
 
 
-def train(docs: DataFrame, order: int = 3, shard_tokens: int = 2 << 20, text_col: str = "text") -> Model:
+def train(docs: DataFrame, order: int = 3, shard_tokens: int = 1 << 20, text_col: str = "text") -> Model:
     """Counts all n-grams of ``docs`` up to ``order`` and writes the trie to the shared folder.
 
     ``shard_tokens``: training tokens for each shard, which bounds a task's memory.
