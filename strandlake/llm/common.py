@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import io
 import os
@@ -30,7 +31,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, of: DataFrame | None = None
     return F.broadcast(df) if is_small(df, rows, of=of) else df
 
 
-__all__ = ["Scratch", "drop_folder", "filesystem", "is_small", "new_folder", "shared_root", "ship", "slices", "small", "stage", "text_bytes", "text_hash", "text_offsets", "without_rows", "write_once"]
+__all__ = ["Scratch", "drop_folder", "filesystem", "is_small", "new_folder", "release", "shared_root", "ship", "slices", "small", "stage", "text_bytes", "text_hash", "text_offsets", "without_rows", "write_once"]
 
 
 class Scratch:
@@ -52,6 +53,12 @@ class Scratch:
         self.paths = []
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that shuffle files of plans that nothing refers to any more go now and not at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_hash(column):
     """64-bit hash of a text; null counts as empty.  With the identifier it names a row."""
     return F.xxhash64(F.coalesce(column.cast("string"), F.lit("")))

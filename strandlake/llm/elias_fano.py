@@ -48,9 +48,10 @@ class EliasFano:
             v = values & np.uint64((1 << bits) - 1)
             place = np.arange(n, dtype=np.int64) * bits
             word, off = place >> 6, (place & 63).astype(np.uint64)
-            np.bitwise_or.at(low, word, v << off)
-            over = off + np.uint64(bits) > 64
-            np.bitwise_or.at(low, word[over] + 1, v[over] >> (np.uint64(64) - off[over]))
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            low[word[starts]] = np.bitwise_or.reduceat(v << off, starts)
+            over = np.flatnonzero(off + np.uint64(bits) > 64)  # one value at most runs into each next word
+            low[word[over] + 1] |= v[over] >> (np.uint64(64) - off[over])
         return cls(n, bits, low, high, zeros)
 
     def arrays(self) -> list[np.ndarray]:
@@ -60,6 +61,12 @@ class EliasFano:
     def from_arrays(cls, head, low, high, zeros) -> "EliasFano":
         return cls(int(head[0]), int(head[1]), low, high, zeros)
 
+    def values(self) -> np.ndarray:
+        """The whole sequence as int64, for many successor searches at once."""
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))
+        i = np.arange(self.n, dtype=np.int64)
+        return ((ones - i) << self.bits) | self._lower(i).astype(np.int64)
+
     def _lower(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), np.uint64)

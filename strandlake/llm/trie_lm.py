@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Scratch, drop_folder, new_folder, ship, slices, write_once
+from strandlake.llm.common import Scratch, drop_folder, new_folder, release, ship, slices, write_once
 from strandlake.llm.elias_fano import EliasFano, open_arrays, write_arrays
 from strandlake.llm.words import split_words
 
@@ -49,7 +49,7 @@ HASH_BITS = 63
 #: Bytes of text in a slice.
 SLICE = 4 << 20
 #: N-grams that a shard gathers before it merges them.
-MERGE = 1 << 19
+MERGE = 1 << 20
 
 _open_last: dict[str, list[np.ndarray]] = {}
 
@@ -87,21 +87,27 @@ def _sums(raw: bytes) -> np.ndarray:
     return np.cumsum(_plain(raw, "<u8").astype(np.int64))
 
 
-def _unique(cols: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(distinct rows in ascending order, the number of each row's own, how often each occurs) of columns of numbers below 2**bits."""
+def _unique(cols: list[np.ndarray], bits: int, inverse: bool = True) -> tuple[list[np.ndarray], np.ndarray | None, np.ndarray]:
+    """(distinct rows in ascending order, the number of each row's own if asked for, how often each occurs) of columns of numbers below 2**bits."""
     if len(cols) * bits <= 63:
         key = np.zeros(len(cols[0]), np.int64)
         for c in cols:
             key = (key << bits) | c
-        key, inverse, many = np.unique(key, return_inverse=True, return_counts=True)
-        return [(key >> (bits * (len(cols) - 1 - k))) & ((1 << bits) - 1) for k in range(len(cols))], inverse, many
+        if inverse:
+            key, own, many = np.unique(key, return_inverse=True, return_counts=True)
+        else:
+            key.sort()
+            own, at = None, np.flatnonzero(_heads([key]))
+            many = np.diff(np.append(at, len(key)))
+            key = key[at]
+        return [(key >> (bits * (len(cols) - 1 - k))) & ((1 << bits) - 1) for k in range(len(cols))], own, many
     order = np.lexsort(cols[::-1])
     rows = [c[order] for c in cols]
     heads = _heads(rows)
-    inverse = np.empty(len(order), np.int64)
-    inverse[order] = np.cumsum(heads) - 1
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(heads) - 1
     at = np.flatnonzero(heads)
-    return [c[at] for c in rows], inverse, np.diff(np.append(at, len(order)))
+    return [c[at] for c in rows], own, np.diff(np.append(at, len(order)))
 
 
 def _heads(rows: list[np.ndarray]) -> np.ndarray:
@@ -186,50 +192,70 @@ class Model:
         for s in np.unique(which):
             own = np.flatnonzero(which == s)
             if self.shards[s]:
-                found = Shard(self.shards[s], self).look([parents[own], words[own]])[0]
-                node[own], share[own], back[own] = found[0], np.where(found[0] >= 0, found[3][found[1]], 0), np.where(found[4], found[5][found[2]], 1)
+                asked, at, _ = _unique([parents[own], words[own]], self.bits)
+                found, code, known, weight, book, weight_book = Shard(self.shards[s], self).look(asked)[0]
+                of = np.searchsorted(_prefixes(asked, 1), np.arange(len(asked[0])), "right") - 1
+                node[own], share[own], back[own] = found[at], np.where(found >= 0, book[code], 0)[at], np.where(known, weight_book[weight], 1)[of][at]
         for word, weight in self.dealt.items():
             back[parents == word] = weight
         return node, share, back
 
 
 class Shard:
-    """A trie of the n-grams whose first two words lie in a range."""
+    """A trie of the n-grams whose first two words lie in a range.
+
+    Questions come sorted and many at a time, so each sequence is decoded once and the
+    successors within the context's children are found for all of them together.
+    """
 
     def __init__(self, uri: str, model: Model):
         arrays = iter(_open(uri))
-        sequence = lambda: EliasFano.from_arrays(*(next(arrays) for _ in range(4)))
+        sequence = lambda: EliasFano.from_arrays(*(next(arrays) for _ in range(4))).values()
         self.model, self.first = model, sequence()
         self.levels = []
         while (head := next(arrays, None)) is not None:
-            pointers = EliasFano.from_arrays(head, *(next(arrays) for _ in range(3)))
-            self.levels.append((pointers, sequence(), *(next(arrays) for _ in range(4))))
+            pointers = EliasFano.from_arrays(head, *(next(arrays) for _ in range(3))).values()
+            self.levels.append((pointers, sequence(), *(np.asarray(next(arrays)) for _ in range(4))))
 
     def look(self, cols: list[np.ndarray]) -> list[tuple]:
-        """For each level from 2 on: (place or -1, code, code of the context's weight, code book, context known, book of weights)."""
-        out = []
-        place, known = self.first.successor(cols[0])
-        place = np.where(known, place, -1)
-        for words, (pointers, grams, codes, book, weights, weight_book) in zip(cols[1:], self.levels, strict=False):
-            node, code, weight, full = np.full(len(place), -1, np.int64), np.zeros(len(place), np.uint8), np.zeros(len(place), np.uint8), np.zeros(len(place), bool)
+        """Answers to sorted n-grams, for each level k from 2 on, over their distinct prefixes.
+
+        (place or -1 and code of each prefix of k words; context known and code of its weight of
+        each prefix of k - 1 words; the books of codes and weights)
+        """
+        out, size = [], self.model.vocabulary
+        heads = _prefixes(cols, 1)
+        words = cols[0][heads]
+        at = np.searchsorted(self.first, words)
+        place = np.where((at < len(self.first)) & (self.first[np.minimum(at, len(self.first) - 1)] == words), at, -1)
+        for k, (pointers, grams, codes, book, weights, weight_book) in enumerate(self.levels, 2):
+            if k > len(cols):
+                break
             own = np.flatnonzero(place >= 0)
-            if len(own):
-                places, inverse = np.unique(place[own], return_inverse=True)
-                begin, end = (pointers.get(places + k).astype(np.int64)[inverse] for k in (0, 1))
-                some = end > begin
-                own, begin, end = own[some], begin[some], end[some]
-                full[own], weight[own] = True, weights[place[own]]
-                real = words[own] < self.model.vocabulary
-                own, begin, end = own[real], begin[real], end[real]
-                at, found = grams.successor(place[own] * self.model.vocabulary + words[own])
-                found &= (at >= begin) & (at < end)
-                node[own[found]] = at[found]
-                code[own[found]] = codes[at[found]]
-            out.append((node, code, weight, book, full, weight_book))
-            place = node
+            known, weight = np.zeros(len(place), bool), np.zeros(len(place), np.uint8)
+            known[own] = pointers[place[own] + 1] > pointers[place[own]]
+            weight[known] = weights[place[known]]
+            new = _prefixes(cols, k)
+            parent = np.searchsorted(heads, new, "right") - 1
+            words = cols[k - 1][new]
+            ask = np.flatnonzero(known[parent] & (words < size))
+            key = place[parent[ask]] * size + words[ask]
+            at = np.searchsorted(grams, key)
+            there = np.minimum(at, len(grams) - 1)
+            found = grams[there] == key if len(grams) else np.zeros(len(key), bool)
+            node, code = np.full(len(new), -1, np.int64), np.zeros(len(new), np.uint8)
+            node[ask[found]] = there[found]
+            code[ask[found]] = codes[there[found]]
+            out.append((node, code, known, weight, book, weight_book))
+            heads, place = new, node
         return out
 
 
+def _prefixes(cols: list[np.ndarray], k: int) -> np.ndarray:
+    """Rows of sorted n-grams whose first k words differ from the row before."""
+    return np.flatnonzero(_heads(cols[:k])) if k < len(cols) else np.arange(len(cols[0]))
+
+
 def _find_words(uri: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the range, or its size, count) of word hashes."""
     arrays = _open(uri)
@@ -405,7 +431,7 @@ def _count_grams(rows: DataFrame, model: Model) -> DataFrame:
                 else:
                     ids.append(base[place_of[r]] + _plain(a, "<u4").astype(np.int64))
             _, cols = _grams(np.concatenate(ids)[codes], first, model.order, model.nothing)
-            cols, _, many = _unique(cols, model.bits)
+            cols, _, many = _unique(cols, model.bits, False)
             shard = model.shard_of(cols)
             edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
             out = [(int(shard[a]), number, _gram_blob([c[a:z] for c in cols]), _squeeze(many[a:z].astype("<u4"))) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
@@ -486,7 +512,7 @@ def _build_shards(counted: DataFrame, model: Model, dealt: dict[int, int], folde
     return parts.mapInArrow(build, "shard int, path string, word array<long>, mass array<double>")
 
 
-def train(docs: DataFrame, order: int = 3, shard_tokens: int = 1 << 20, text_col: str = "text") -> Model:
+def train(docs: DataFrame, order: int = 3, shard_tokens: int = 2 << 20, text_col: str = "text") -> Model:
     """Counts all n-grams of ``docs`` up to ``order`` and writes the trie to the shared folder.
 
     ``shard_tokens``: training tokens for each shard, which bounds a task's memory.
@@ -517,6 +543,8 @@ def train(docs: DataFrame, order: int = 3, shard_tokens: int = 1 << 20, text_col
     built = scratch.stage(_build_shards(counted, model, dealt, folder), "lm-shards").collect()
     scratch.drop()
     drop_folder(spark, f"{folder}/train")
+    del rows, cut, asked, words, answers, counted
+    release(spark)
     model.shards = [""] * len(model.bounds)
     for r in built:
         model.shards[r.shard] = r.path
@@ -569,7 +597,7 @@ def _ask_grams(rows: DataFrame, model: Model, folder: str) -> DataFrame:
             out = []
             if model.order > 1:
                 _, cols = _grams(ids[codes], first, model.order, model.nothing)
-                cols, _, _ = _unique(cols, model.bits)
+                cols, _, _ = _unique(cols, model.bits, False)
                 known = cols[0] < model.vocabulary
                 cols = [c[known] for c in cols]
                 shard = model.shard_of(cols)
@@ -582,7 +610,7 @@ def _ask_grams(rows: DataFrame, model: Model, folder: str) -> DataFrame:
 
 
 def _answer_grams(asked: DataFrame, model: Model) -> DataFrame:
-    """``slice, r`` (the shard), ``path`` and ``a``: for each level what is known, codes and weights, and the books."""
+    """``slice, r`` (the shard), ``path`` and ``a``: for each level what is known of the distinct prefixes, codes and weights, and the books."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, rows in _rows_by(batches, 0):
@@ -593,8 +621,8 @@ def _answer_grams(asked: DataFrame, model: Model) -> DataFrame:
                     cols = _gram_cols(keys)
                     found = shard.look(cols) if shard else []
                     parts = [np.array([len(cols[0]), len(found)], "<u4").tobytes()]
-                    for node, code, weight, book, full, weight_book in found:
-                        for x in (_squeeze((node >= 0).astype(np.uint8) + 2 * full.astype(np.uint8)), _squeeze(code), _squeeze(weight), book.astype("<f8").tobytes(), weight_book.astype("<f8").tobytes()):
+                    for node, code, known, weight, book, weight_book in found:
+                        for x in (_squeeze(np.packbits(node >= 0)), _squeeze(code[node >= 0]), _squeeze(np.packbits(known)), _squeeze(weight[known]), book.astype("<f8").tobytes(), weight_book.astype("<f8").tobytes()):
                             parts.append(len(x).to_bytes(4, "little") + x)
                     blob = b"".join(parts)
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([s], pa.int32()), pa.array([path]), pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], names=["slice", "r", "path", "a", "b"])
@@ -603,8 +631,8 @@ def _answer_grams(asked: DataFrame, model: Model) -> DataFrame:
     return dealt.mapInArrow(answer, "slice long, r int, path string, a binary, b binary")
 
 
-def _read_answer(blob: bytes, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level from 2 on: (probability or 0, weight or 1, context known) of the n-grams asked for."""
+def _read_answer(blob: bytes, cols: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level from 2 on: (probability or 0, weight or 1, context known) of the sorted n-grams ``cols`` that were asked for."""
     n, levels = np.frombuffer(blob[:8], "<u4").tolist()
     at, out = 8, []
 
@@ -614,12 +642,19 @@ def _read_answer(blob: bytes, order: int) -> list[tuple[np.ndarray, np.ndarray,
         at += 4 + size
         return blob[at - size : at]
 
-    for _ in range(levels):
-        flags, code, weight = _plain(part(), "u1"), _plain(part(), "u1"), _plain(part(), "u1")
-        book, weight_book = np.frombuffer(part(), "<f8"), np.frombuffer(part(), "<f8")
-        known = flags >= 2
-        out.append((np.where(flags & 1, book[code], 0.0), np.where(known, weight_book[weight], 1.0), known))
-    return out + [(np.zeros(n), np.ones(n), np.zeros(n, bool))] * (order - 1 - levels)
+    def spread(heads: np.ndarray, flags: bytes, codes: bytes, book: bytes, other: float) -> tuple[np.ndarray, np.ndarray]:
+        there = np.unpackbits(_plain(flags, "u1"), count=len(heads)).astype(bool)
+        value = np.full(len(heads), other)
+        value[there] = np.frombuffer(book, "<f8")[_plain(codes, "u1")]
+        size = np.diff(np.append(heads, n))
+        return np.repeat(value, size), np.repeat(there, size)
+
+    for k in range(2, levels + 2):
+        flags, codes, known, weights, book, weight_book = (part() for _ in range(6))
+        share, _ = spread(_prefixes(cols, k), flags, codes, book, 0.0)
+        back, there = spread(_prefixes(cols, k - 1), known, weights, weight_book, 1.0)
+        out.append((share, back, there))
+    return out + [(np.zeros(n), np.ones(n), np.zeros(n, bool))] * (len(cols) - 1 - levels)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -644,7 +679,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 else:
                     kept = path
                     if a is not None:
-                        told.append(_read_answer(a, model.order))
+                        told.append(a)
             word, count = (_plain(x.tobytes(), "<u8").astype(np.int64) for x in open_arrays(kept))
             many = count[codes]
             base = (many + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1))
@@ -653,9 +688,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 places, cols = _grams(word[codes], first, model.order, model.nothing)
                 cols, own, _ = _unique(cols, model.bits)
                 asked_for = np.flatnonzero(cols[0] < model.vocabulary)
+                parts, at = [], 0
+                for blob in told:
+                    size = int.from_bytes(blob[:4], "little")
+                    parts.append(_read_answer(blob, [c[asked_for[at : at + size]] for c in cols]))
+                    at += size
                 for level in range(2, model.order + 1):
                     share, back, known = np.zeros(len(cols[0])), np.ones(len(cols[0])), np.zeros(len(cols[0]), bool)
-                    share[asked_for], back[asked_for], known[asked_for] = (np.concatenate([t[level - 2][k] for t in told]) for k in range(3))
+                    share[asked_for], back[asked_for], known[asked_for] = (np.concatenate([t[level - 2][k] for t in parts]) for k in range(3))
                     if level == 2 and model.dealt:
                         words, weights = np.array(sorted(model.dealt)), np.array([model.dealt[w] for w in sorted(model.dealt)])
                         i = np.minimum(np.searchsorted(words, cols[0]), len(words) - 1)
