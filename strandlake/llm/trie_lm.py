@@ -448,19 +448,42 @@ class _Merger:
         self.waiting: list[tuple[list[np.ndarray], np.ndarray]] = []
         self.size = 0
 
+    def _packed(self, cols: list[np.ndarray]) -> list[np.ndarray]:
+        """As one column of 63-bit numbers where they fit."""
+        if len(cols) * self.bits > 63:
+            return cols
+        key = cols[0].copy()
+        for c in cols[1:]:
+            key <<= self.bits
+            key |= c
+        return [key]
+
     def add(self, cols: list[np.ndarray], many: np.ndarray) -> None:
-        self.waiting.append((cols, many))
+        self.width = len(cols)
+        self.waiting.append((self._packed(cols), many))
         self.size += len(many)
         if self.size > max(MERGE, 0 if self.many is None else len(self.many)):
-            self.merge()
+            self._merge()
 
-    def merge(self) -> None:
+    def _merge(self) -> None:
         pieces = ([] if self.many is None else [(self.cols, self.many)]) + self.waiting
+        self.cols, self.many, self.waiting, self.size = None, None, [], 0
         cols = [np.concatenate([c[k] for c, _ in pieces]) for k in range(len(pieces[0][0]))]
         many = np.concatenate([m for _, m in pieces])
-        self.waiting, self.size = [], 0
-        self.cols, own, _ = _unique(cols, self.bits)
-        self.many = np.bincount(own, many, minlength=len(self.cols[0])).astype(np.int64)
+        del pieces
+        order = np.argsort(cols[0], kind="stable") if len(cols) == 1 else np.lexsort(cols[::-1])
+        cols, many = [c[order] for c in cols], many[order]
+        del order
+        at = np.flatnonzero(_heads(cols))
+        self.cols, self.many = [c[at] for c in cols], np.add.reduceat(many, at) if len(at) else many
+
+    def merge(self) -> None:
+        """Merges what is left; ``cols`` and ``many`` then hold the rows."""
+        if self.waiting:
+            self._merge()
+        if len(self.cols) == 1 and self.width > 1:
+            key, mask = self.cols[0], (1 << self.bits) - 1
+            self.cols = [(key >> (self.bits * (self.width - 1 - k))) & mask for k in range(self.width)]
 
 
 def _write_shard(cols: list[np.ndarray], many: np.ndarray, model: Model, dealt: dict[int, int], folder: str, shard: int) -> tuple[str, dict[int, float]]:
@@ -470,16 +493,16 @@ def _write_shard(cols: list[np.ndarray], many: np.ndarray, model: Model, dealt:
     arrays = [*EliasFano.of(parents, model.vocabulary + 2).arrays()]
     owner = np.cumsum(_heads(cols[:1])) - 1  # the node of level k - 1 of each row
     mass: dict[int, float] = {}
+    size = len(parents)
     for k in range(2, len(cols) + 1):
         real = cols[k - 1] < model.vocabulary
-        rows = [c[real] for c in cols[:k]]
-        parent = owner[real]
-        new = _heads(rows) if len(parent) else np.zeros(0, bool)
+        if not real.all():
+            cols, many, owner = [c[real] for c in cols], many[real], owner[real]
+        new = _heads(cols[:k]) if k < len(cols) else np.ones(len(owner), bool)  # whole rows are distinct
         at = np.flatnonzero(new)
         node = np.cumsum(new) - 1
-        count = np.bincount(node, many[real], minlength=len(at)).astype(np.int64)
-        parent = parent[at]
-        size = int(owner[-1]) + 1 if k == 2 else n_nodes
+        count = np.add.reduceat(many, at) if len(at) else many[:0]
+        parent = owner[at]
         total = np.bincount(parent, count, minlength=size)
         pointers = np.searchsorted(parent, np.arange(size + 1))
         once, twice = int((count == 1).sum()), int((count == 2).sum())
@@ -490,10 +513,10 @@ def _write_shard(cols: list[np.ndarray], many: np.ndarray, model: Model, dealt:
                 mass[int(parents[i])] = discount * float(pointers[i + 1] - pointers[i])
         codes, book = _book((count - discount) / total[parent])
         weights, weight_book = _book(np.where(total > 0, discount * np.diff(pointers) / np.maximum(total, 1), 1.0))
-        arrays += [*EliasFano.of(pointers, len(at) + 1).arrays(), *EliasFano.of(parent * model.vocabulary + rows[-1][at], size * model.vocabulary).arrays(), codes, book, weights, weight_book]
-        n_nodes = len(at)
-        cols, many, owner = [c[real] for c in cols], many[real], node
-        if not n_nodes:
+        arrays += [*EliasFano.of(pointers, len(at) + 1).arrays(), *EliasFano.of(parent * model.vocabulary + cols[k - 1][at], size * model.vocabulary).arrays(), codes, book, weights, weight_book]
+        del count, parent, total, pointers, new
+        owner, size = node, len(at)
+        if not size:
             break
     return write_once(folder, f"shard-{shard:06d}", lambda out: write_arrays(out, arrays)), mass
 
@@ -505,14 +528,16 @@ def _build_shards(counted: DataFrame, model: Model, dealt: dict[int, int], folde
             for _, _, keys, counts in rows:
                 merger.add(_gram_cols(keys), _plain(counts, "<u4").astype(np.int64))
             merger.merge()
-            path, mass = _write_shard(merger.cols, merger.many, model, dealt, folder, shard)
+            cols, many = merger.cols, merger.many
+            del merger
+            path, mass = _write_shard(cols, many, model, dealt, folder, shard)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([list(mass)], pa.list_(pa.int64())), pa.array([list(mass.values())], pa.list_(pa.float64()))], names=["shard", "path", "word", "mass"])
 
     parts = counted.repartition(len(model.bounds), "shard").sortWithinPartitions("shard", "slice")
     return parts.mapInArrow(build, "shard int, path string, word array<long>, mass array<double>")
 
 
-def train(docs: DataFrame, order: int = 3, shard_tokens: int = 2 << 20, text_col: str = "text") -> Model:
+def train(docs: DataFrame, order: int = 3, shard_tokens: int = 3 << 19, text_col: str = "text") -> Model:
     """Counts all n-grams of ``docs`` up to ``order`` and writes the trie to the shared folder.
 
     ``shard_tokens``: training tokens for each shard, which bounds a task's memory.

@@ -154,11 +154,14 @@ def test_rows_beyond_63_bits():
     cols[2] = rng.integers(0, 1 << 20, 500) % 7
     for x, y in zip(_unique(cols, 21), _unique(cols, 22), strict=True):
         assert all((a == b).all() for a, b in zip(x, y, strict=True)) if isinstance(x, list) else (x == y).all()
-    merger = _Merger(22)
-    for i in range(0, 500, 7):
-        merger.add([c[i : i + 7] for c in cols], np.full(len(cols[0][i : i + 7]), 2))
+    for bits in (21, 22):
+        merger = _Merger(bits)
+        for i in range(0, 500, 7):
+            merger.add([c[i : i + 7] for c in cols], np.full(len(cols[0][i : i + 7]), 2))
+            if i % 3 == 0:
+                merger._merge()
         merger.merge()
-    assert (merger.many == 2 * _unique(cols, 21)[2]).all()
+        assert (merger.many == 2 * _unique(cols, 21)[2]).all() and all((a == b).all() for a, b in zip(merger.cols, _unique(cols, 21)[0], strict=True))
 
 
 def _hashes(words):
