@@ -47,7 +47,7 @@ from strandlake.llm.words import split_words
 END = 0
 HASH_BITS = 63
 #: Bytes of text in a slice.
-SLICE = 4 << 20
+SLICE = 6 << 20
 #: N-grams that a shard gathers before it merges them.
 MERGE = 1 << 20
 
@@ -298,17 +298,26 @@ def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- slices ------------------------------------------------------------------------------------
 
-PARTS = "array<struct<r:int, keys:binary, counts:binary>>"
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([],) * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
 def _slice_texts(rows: DataFrame, folder: str, ranges: int) -> DataFrame:
-    """Rows ``k`` (any type), ``t`` as slices: ``slice, path, ids`` (the k), ``parts`` (distinct word hashes and counts by range)."""
-    kind = rows.schema["k"].dataType.simpleString()
+    """Rows ``k`` (any type), ``t`` as slices: distinct word hashes and counts by range, and for each slice a row ``meta`` with its file and the k.
+
+    ``r, meta, slice, path, ids, keys, counts``
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = rows.schema["k"].dataType
+    arrow = pa.list_(to_arrow_type(kind))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
+        limits = np.array([-(-(r << HASH_BITS) // ranges) for r in range(ranges)] + [1 << HASH_BITS], np.uint64)
         for batch in slices(batches, "t", SLICE):
             hashes, codes, first, n = _tokens(batch.column(1))
             hashes, own = np.unique(hashes, return_inverse=True)
@@ -317,13 +326,13 @@ def _slice_texts(rows: DataFrame, folder: str, ranges: int) -> DataFrame:
             many[0] -= len(n)  # the end (hash 0) before a text is no token
             blobs = [np.frombuffer(x, np.uint8) for x in (_squeeze(n.astype("<u4")), _squeeze(codes.astype("<u4")))]
             path = write_once(folder, "slice", lambda out, b=blobs: write_arrays(out, b))
-            edges = np.searchsorted(hashes, np.array([-(-(r << HASH_BITS) // ranges) for r in range(ranges)] + [1 << HASH_BITS], np.uint64))
-            parts = [{"r": r, "keys": _steps(hashes[a:z]), "counts": _squeeze(many[a:z].astype("<u4"))} for r, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if z > a]
-            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([path]), ids, pa.array([parts], pa.list_(pa.struct([("r", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])))], names=["slice", "path", "ids", "parts"])
+            edges = np.searchsorted(hashes, limits).tolist()
+            out = [(r, False, number, None, None, _steps(hashes[a:z]), _squeeze(many[a:z].astype("<u4"))) for r, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
+            out.append((number % ranges, True, number, path, batch.column(0).to_pylist(), None, None))
+            yield _batch(out, r=pa.int32(), meta=pa.bool_(), slice=pa.int64(), path=pa.string(), ids=arrow, keys=pa.binary(), counts=pa.binary())
             number += 1
 
-    return rows.mapInArrow(cut, f"slice long, path string, ids array<{kind}>, parts {PARTS}")
+    return rows.mapInArrow(cut, f"r int, meta boolean, slice long, path string, ids array<{kind.simpleString()}>, keys binary, counts binary")
 
 
 def _rows_by(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[object, Iterator[tuple]]]:
@@ -353,26 +362,25 @@ def _grams(ids: np.ndarray, first: np.ndarray, order: int, nothing: int) -> tupl
     return places, cols
 
 
-def _by_slice(slices_: DataFrame, answers: DataFrame, with_ids: bool) -> DataFrame:
-    """Slices, each with the answers ``slice, r, path, a, b`` to it behind it, in the order of r."""
-    ids = F.col("ids") if with_ids else F.lit(None).cast(slices_.schema["ids"].dataType)
-    own = slices_.select("slice", F.lit(-1).alias("r"), "path", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), ids.alias("ids"))
-    both = own.unionByName(answers.select("slice", F.col("r").cast("int").alias("r"), "path", "a", "b", F.lit(None).cast(slices_.schema["ids"].dataType).alias("ids")))
-    return both.repartition("slice").sortWithinPartitions("slice", "r")
-
-
 # --- training ----------------------------------------------------------------------------------
 
 
 def _build_words(parts: DataFrame, folder: str, ranges: int, shard_tokens: int) -> DataFrame:
-    """The ranges of level 1 and what their words are called: rows with ``slice`` null are files, the others answers ``a`` (places)."""
+    """The ranges of level 1 (``kind`` 0), what their words are called in each slice (1: ``a`` has the places) and the slices' files (2)."""
+    names = dict(kind=pa.int32(), r=pa.int32(), slice=pa.int64(), path=pa.string(), a=pa.binary(), n=pa.int64(), tokens=pa.int64(), least=pa.int64(), **dict.fromkeys(("marks", "hot", "hot_count"), pa.list_(pa.int64())))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, rows in _rows_by(batches, 0):
-            asked, many = [], []
-            for _, number, keys, counts in rows:
-                asked.append((number, _sums(keys)))
-                many.append(_plain(counts, "<u4").astype(np.int64))
+            asked, many, passed = [], [], []
+            for _, meta, number, path, keys, counts in rows:
+                if meta:
+                    passed.append((2, r, number, path, None, 0, 0, 0, [], [], []))
+                else:
+                    asked.append((number, _sums(keys)))
+                    many.append(_plain(counts, "<u4").astype(np.int64))
+            yield _batch(passed, **names)
+            if not asked:
+                continue
             hashes, own = np.unique(np.concatenate([x for _, x in asked]), return_inverse=True)
             total = np.bincount(own, np.concatenate(many), minlength=len(hashes)).astype(np.int64)
             running = np.concatenate([[0], np.cumsum(total)])
@@ -381,17 +389,12 @@ def _build_words(parts: DataFrame, folder: str, ranges: int, shard_tokens: int)
             # where shards may begin: the words behind which another quota of tokens is full; words beyond the quota by themselves
             marks = np.unique(np.searchsorted(running, np.arange(1, int(running[-1]) // shard_tokens + 1) * shard_tokens))
             hot = np.flatnonzero(total > shard_tokens)
-            yield _word_rows([(r, None, path, None, len(hashes), int(total.sum()), int(hashes[0]), marks[marks < len(hashes)].tolist(), hot.tolist(), total[hot].tolist())])
+            yield _batch([(0, r, None, path, None, len(hashes), int(total.sum()), int(hashes[0]), marks[marks < len(hashes)].tolist(), hot.tolist(), total[hot].tolist())], **names)
             ends = np.cumsum([len(x) for _, x in asked])
-            yield _word_rows([(r, number, None, _squeeze(own[z - len(x) : z].astype("<u4")), 0, 0, 0, [], [], []) for (number, x), z in zip(asked, ends.tolist(), strict=True)])
-
-    def _word_rows(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
-        names = ["r", "slice", "path", "a", "n", "tokens", "least", "marks", "hot", "hot_count"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield _batch([(1, r, number, None, _steps(own[z - len(x) : z]), 0, 0, 0, [], [], []) for (number, x), z in zip(asked, ends.tolist(), strict=True)], **names)
 
-    dealt = parts.repartition(ranges, "r").sortWithinPartitions("r", "slice")
-    return dealt.mapInArrow(build, "r int, slice long, path string, a binary, n long, tokens long, least long, marks array<long>, hot array<long>, hot_count array<long>")
+    dealt = parts.select("r", "meta", "slice", "path", "keys", "counts").repartition(ranges, "r").sortWithinPartitions("r", "slice")
+    return dealt.mapInArrow(build, "kind int, r int, slice long, path string, a binary, n long, tokens long, least long, marks array<long>, hot array<long>, hot_count array<long>")
 
 
 def _shard_bounds(model: Model, ranges: list) -> tuple[np.ndarray, dict[int, int]]:
@@ -425,11 +428,11 @@ def _count_grams(rows: DataFrame, model: Model) -> DataFrame:
         for number, group in _rows_by(batches, 0):
             codes = first = None
             ids = []
-            for _, r, path, a, _, _ in group:
+            for _, r, path, a in group:
                 if r < 0:
                     _, codes, first = _read_slice(path)
                 else:
-                    ids.append(base[place_of[r]] + _plain(a, "<u4").astype(np.int64))
+                    ids.append(base[place_of[r]] + _sums(a))
             _, cols = _grams(np.concatenate(ids)[codes], first, model.order, model.nothing)
             cols, _, many = _unique(cols, model.bits, False)
             shard = model.shard_of(cols)
@@ -471,7 +474,7 @@ class _Merger:
         cols = [np.concatenate([c[k] for c, _ in pieces]) for k in range(len(pieces[0][0]))]
         many = np.concatenate([m for _, m in pieces])
         del pieces
-        order = np.argsort(cols[0], kind="stable") if len(cols) == 1 else np.lexsort(cols[::-1])
+        order = np.argsort(cols[0]) if len(cols) == 1 else np.lexsort(cols[::-1])
         cols, many = [c[order] for c in cols], many[order]
         del order
         at = np.flatnonzero(_heads(cols))
@@ -548,11 +551,9 @@ def train(docs: DataFrame, order: int = 3, shard_tokens: int = 3 << 19, text_col
     scratch = Scratch(spark)
     folder, ranges = new_folder(spark, "trie"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.lit(None).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    cut = scratch.stage(_slice_texts(rows, f"{folder}/train", ranges), "lm-slices")
-    asked = cut.select("slice", F.explode("parts").alias("p")).select("p.r", "slice", "p.keys", "p.counts")
-    words = scratch.stage(_build_words(asked, folder, ranges, shard_tokens), "lm-words")
+    words = scratch.stage(_build_words(_slice_texts(rows, f"{folder}/train", ranges), folder, ranges, shard_tokens), "lm-words")
     model = Model(order, range_count=ranges)
-    files = words.filter("slice is null").select("r", "path", "n", "tokens", "least", "marks", "hot", "hot_count").orderBy("r").collect()
+    files = words.filter("kind = 0").select("r", "path", "n", "tokens", "least", "marks", "hot", "hot_count").orderBy("r").collect()
     for r in files:
         model.words.append((r.path, r.least, model.vocabulary, r.n))
         model.vocabulary += r.n
@@ -563,12 +564,12 @@ def train(docs: DataFrame, order: int = 3, shard_tokens: int = 3 << 19, text_col
     if order < 2:
         return model
     model.bounds, dealt = _shard_bounds(model, files)
-    answers = words.filter("slice is not null").select("slice", "r", F.lit(None).cast("string").alias("path"), "a", F.lit(None).cast("binary").alias("b"))
-    counted = _count_grams(_by_slice(cut, answers, False), model)
+    by_slice = words.filter("kind > 0").select("slice", F.when(F.col("kind") == 2, -1).otherwise(F.col("r")).alias("r"), "path", "a")
+    counted = _count_grams(by_slice.repartition("slice").sortWithinPartitions("slice", "r"), model)
     built = scratch.stage(_build_shards(counted, model, dealt, folder), "lm-shards").collect()
     scratch.drop()
     drop_folder(spark, f"{folder}/train")
-    del rows, cut, asked, words, answers, counted
+    del rows, words, by_slice, counted
     release(spark)
     model.shards = [""] * len(model.bounds)
     for r in built:
@@ -582,78 +583,100 @@ def train(docs: DataFrame, order: int = 3, shard_tokens: int = 3 << 19, text_col
 
 
 def _answer_words(asked: DataFrame, model: Model, ranges: int) -> DataFrame:
-    """``slice, r, path, a`` (places, one beyond the last for unknown words) and ``b`` (counts)."""
+    """``slice, r, path, a, b, ids``: places (one beyond the last for unknown words) and counts; the slices' own rows pass with r = -1."""
     paths = dict(zip(model.ranges, (w[0] for w in model.words), strict=True))
+    listed = asked.schema["ids"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = dict(slice=pa.int64(), r=pa.int32(), path=pa.string(), a=pa.binary(), b=pa.binary(), ids=to_arrow_type(listed))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, rows in _rows_by(batches, 0):
-            for _, number, keys in rows:
+            for _, meta, number, path, ids, keys in rows:
+                if meta:
+                    yield _batch([(number, -1, path, None, None, ids)], **names)
+                    continue
                 hashes = _sums(keys)
                 at, many = _find_words(paths[r], hashes) if r in paths else (np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([r], pa.int32()), pa.nulls(1, pa.string()), pa.array([_squeeze(at.astype("<u4"))]), pa.array([_squeeze(many.astype("<u8"))])], names=["slice", "r", "path", "a", "b"])
+                yield _batch([(number, r, None, _squeeze(at.astype("<u4")) if r in paths else None, _squeeze(many.astype("<u8")), None)], **names)
 
-    dealt = asked.repartition(ranges, "r").sortWithinPartitions("r")
-    return dealt.mapInArrow(answer, "slice long, r int, path string, a binary, b binary")
+    dealt = asked.select("r", "meta", "slice", "path", "ids", "keys").repartition(ranges, "r").sortWithinPartitions("r")
+    return dealt.mapInArrow(answer, f"slice long, r int, path string, a binary, b binary, ids {listed.simpleString()}")
 
 
 def _ask_grams(rows: DataFrame, model: Model, folder: str) -> DataFrame:
-    """Distinct n-grams of each slice by shard; ``path`` is a file with the numbers and counts of the slice's words."""
-    place = {r: i for i, r in enumerate(model.ranges)}
-    words = model.words
+    """Distinct n-grams of each slice by shard, and for each slice a row ``meta`` with its file, the file of its words' numbers and counts, and its ids.
+
+    ``shard, meta, slice, path, words, ids, keys``
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    place, words, shards = {r: i for i, r in enumerate(model.ranges)}, model.words, max(1, len(model.bounds))
+    listed = rows.schema["ids"].dataType
+    names = dict(shard=pa.int32(), meta=pa.bool_(), slice=pa.int64(), path=pa.string(), words=pa.string(), ids=to_arrow_type(listed), keys=pa.binary())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, group in _rows_by(batches, 0):
-            codes = first = None
             ids, counts = [], []
-            for _, r, path, a, b, _ in group:
+            for _, r, path, a, b, own in group:
                 if r < 0:
-                    _, codes, first = _read_slice(path)
+                    here, keep = path, own
                     continue
-                at = _plain(a, "<u4").astype(np.int64)
+                many = _plain(b, "<u8").astype(np.int64)
                 if r in place:
+                    at = _plain(a, "<u4").astype(np.int64)
                     _, _, begin, n = words[place[r]]
                     ids.append(np.where(at < n, begin + at, model.unknown))
                 else:
-                    ids.append(np.full(len(at), model.unknown))
-                counts.append(_plain(b, "<u8").astype(np.int64))
+                    ids.append(np.full(len(many), model.unknown))
+                counts.append(many)
             ids, counts = np.concatenate(ids), np.concatenate(counts)
-            blobs = [np.frombuffer(x, np.uint8) for x in (_squeeze(ids.astype("<u8")), _squeeze(counts.astype("<u8")))]
+            blobs = [np.frombuffer(x, np.uint8) for x in (_squeeze(np.diff(ids, prepend=0).astype("<i8")), _squeeze(counts.astype("<u8")))]
             kept = write_once(folder, "ids", lambda out, x=blobs: write_arrays(out, x))
-            out = []
+            out = [(number % shards, True, number, here, kept, keep, None)]
             if model.order > 1:
+                _, codes, first = _read_slice(here)
                 _, cols = _grams(ids[codes], first, model.order, model.nothing)
                 cols, _, _ = _unique(cols, model.bits, False)
-                known = cols[0] < model.vocabulary
-                cols = [c[known] for c in cols]
-                shard = model.shard_of(cols)
-                edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
-                out = [(int(shard[a]), number, kept, _gram_blob([c[a:z] for c in cols])) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            out = out or [(0, number, kept, None)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["shard", "slice", "path", "keys"])
+                known = np.searchsorted(cols[0], model.vocabulary)
+                cols = [c[:known] for c in cols]
+                if known:
+                    shard = model.shard_of(cols)
+                    edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)).tolist()
+                    out += [(int(shard[a]), False, number, None, None, None, _gram_blob([c[a:z] for c in cols])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            yield _batch(out, **names)
 
-    return rows.mapInArrow(ask, "shard int, slice long, path string, keys binary")
+    return rows.mapInArrow(ask, f"shard int, meta boolean, slice long, path string, words string, ids {listed.simpleString()}, keys binary")
 
 
 def _answer_grams(asked: DataFrame, model: Model) -> DataFrame:
-    """``slice, r`` (the shard), ``path`` and ``a``: for each level what is known of the distinct prefixes, codes and weights, and the books."""
+    """``slice, r, path, words, ids, a``: for each level what is known of the distinct prefixes, codes and weights, and the books; the slices' own rows pass with r = -1."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    listed = asked.schema["ids"].dataType
+    names = dict(slice=pa.int64(), r=pa.int32(), path=pa.string(), words=pa.string(), ids=to_arrow_type(listed), a=pa.binary())
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, rows in _rows_by(batches, 0):
-            shard = Shard(model.shards[s], model) if model.shards and model.shards[s] else None
-            for _, number, path, keys in rows:
-                blob = None
-                if keys is not None:
-                    cols = _gram_cols(keys)
-                    found = shard.look(cols) if shard else []
-                    parts = [np.array([len(cols[0]), len(found)], "<u4").tobytes()]
-                    for node, code, known, weight, book, weight_book in found:
-                        for x in (_squeeze(np.packbits(node >= 0)), _squeeze(code[node >= 0]), _squeeze(np.packbits(known)), _squeeze(weight[known]), book.astype("<f8").tobytes(), weight_book.astype("<f8").tobytes()):
-                            parts.append(len(x).to_bytes(4, "little") + x)
-                    blob = b"".join(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([s], pa.int32()), pa.array([path]), pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], names=["slice", "r", "path", "a", "b"])
-
-    dealt = asked.repartition(max(1, len(model.bounds)), "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(answer, "slice long, r int, path string, a binary, b binary")
+            shard = None
+            for _, meta, number, path, words, ids, keys in rows:
+                if meta:
+                    yield _batch([(number, -1, path, words, ids, None)], **names)
+                    continue
+                if shard is None and model.shards and model.shards[s]:
+                    shard = Shard(model.shards[s], model)
+                cols = _gram_cols(keys)
+                found = shard.look(cols) if shard else []
+                parts = [np.array([len(cols[0]), len(found)], "<u4").tobytes()]
+                for node, code, known, weight, book, weight_book in found:
+                    codes, weights = code[node >= 0], weight[known]
+                    books = [b[: int(c.max(initial=0)) + 1].astype("<f4").tobytes() for b, c in ((book, codes), (weight_book, weights))]
+                    for x in (_squeeze(np.packbits(node >= 0)), _squeeze(codes), books[0], _squeeze(np.packbits(known)), _squeeze(weights), books[1]):
+                        parts.append(len(x).to_bytes(4, "little") + x)
+                yield _batch([(number, s, None, None, None, b"".join(parts))], **names)
+
+    dealt = asked.repartition(max(1, len(model.bounds)), "shard").sortWithinPartitions("shard", "meta")
+    return dealt.mapInArrow(answer, f"slice long, r int, path string, words string, ids {listed.simpleString()}, a binary")
 
 
 def _read_answer(blob: bytes, cols: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -670,12 +693,12 @@ def _read_answer(blob: bytes, cols: list[np.ndarray]) -> list[tuple[np.ndarray,
     def spread(heads: np.ndarray, flags: bytes, codes: bytes, book: bytes, other: float) -> tuple[np.ndarray, np.ndarray]:
         there = np.unpackbits(_plain(flags, "u1"), count=len(heads)).astype(bool)
         value = np.full(len(heads), other)
-        value[there] = np.frombuffer(book, "<f8")[_plain(codes, "u1")]
+        value[there] = np.frombuffer(book, "<f4")[_plain(codes, "u1")]
         size = np.diff(np.append(heads, n))
         return np.repeat(value, size), np.repeat(there, size)
 
     for k in range(2, levels + 2):
-        flags, codes, known, weights, book, weight_book = (part() for _ in range(6))
+        flags, codes, book, known, weights, weight_book = (part() for _ in range(6))
         share, _ = spread(_prefixes(cols, k), flags, codes, book, 0.0)
         back, there = spread(_prefixes(cols, k - 1), known, weights, weight_book, 1.0)
         out.append((share, back, there))
@@ -689,23 +712,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     folder, ranges = new_folder(spark, "lm-asked"), model.range_count
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    cut = Scratch(spark).stage(_slice_texts(rows, folder, ranges), "lm-slices")
-    asked = cut.select("slice", F.explode("parts").alias("p")).select("p.r", "slice", "p.keys")
-    grams = _ask_grams(_by_slice(cut, _answer_words(asked, model, ranges), False), model, folder)
-    answered = _by_slice(cut, _answer_grams(grams, model), True)
+    words = _answer_words(_slice_texts(rows, folder, ranges), model, ranges)
+    grams = _ask_grams(words.repartition("slice").sortWithinPartitions("slice", "r"), model, folder)
+    answered = _answer_grams(grams, model).repartition("slice").sortWithinPartitions("slice", "r")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _rows_by(batches, 0):
-            docs_, told, kept = None, [], None
-            for _, r, path, a, _, ids in group:
+            told = []
+            for _, r, path, words, ids, a in group:
                 if r < 0:
                     n, codes, first = _read_slice(path)
                     docs_ = ids
+                    step, count = (_plain(x.tobytes(), kind_).astype(np.int64) for x, kind_ in zip(open_arrays(words), ("<i8", "<u8"), strict=True))
+                    word = np.cumsum(step)
                 else:
-                    kept = path
-                    if a is not None:
-                        told.append(a)
-            word, count = (_plain(x.tobytes(), "<u8").astype(np.int64) for x in open_arrays(kept))
+                    told.append(a)
             many = count[codes]
             base = (many + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1))
             p = base.copy()
