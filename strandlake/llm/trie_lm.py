@@ -565,7 +565,7 @@ def train(docs: DataFrame, order: int = 3, shard_tokens: int = 3 << 19, text_col
         return model
     model.bounds, dealt = _shard_bounds(model, files)
     by_slice = words.filter("kind > 0").select("slice", F.when(F.col("kind") == 2, -1).otherwise(F.col("r")).alias("r"), "path", "a")
-    counted = _count_grams(by_slice.repartition("slice").sortWithinPartitions("slice", "r"), model)
+    counted = _count_grams(by_slice.repartition(ranges, "slice").sortWithinPartitions("slice", "r"), model)
     built = scratch.stage(_build_shards(counted, model, dealt, folder), "lm-shards").collect()
     scratch.drop()
     drop_folder(spark, f"{folder}/train")
@@ -679,8 +679,8 @@ def _answer_grams(asked: DataFrame, model: Model) -> DataFrame:
     return dealt.mapInArrow(answer, f"slice long, r int, path string, words string, ids {listed.simpleString()}, a binary")
 
 
-def _read_answer(blob: bytes, cols: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level from 2 on: (probability or 0, weight or 1, context known) of the sorted n-grams ``cols`` that were asked for."""
+def _read_answer(blob: bytes, cols: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level from 2 on: (probability or 0, weight or 1 behind an unknown context) of the sorted n-grams ``cols`` that were asked for."""
     n, levels = np.frombuffer(blob[:8], "<u4").tolist()
     at, out = 8, []
 
@@ -690,19 +690,17 @@ def _read_answer(blob: bytes, cols: list[np.ndarray]) -> list[tuple[np.ndarray,
         at += 4 + size
         return blob[at - size : at]
 
-    def spread(heads: np.ndarray, flags: bytes, codes: bytes, book: bytes, other: float) -> tuple[np.ndarray, np.ndarray]:
+    def spread(k: int, flags: bytes, codes: bytes, book: bytes, other: float) -> np.ndarray:
+        heads = _prefixes(cols, k)
         there = np.unpackbits(_plain(flags, "u1"), count=len(heads)).astype(bool)
         value = np.full(len(heads), other)
         value[there] = np.frombuffer(book, "<f4")[_plain(codes, "u1")]
-        size = np.diff(np.append(heads, n))
-        return np.repeat(value, size), np.repeat(there, size)
+        return value if len(heads) == n else np.repeat(value, np.diff(np.append(heads, n)))
 
     for k in range(2, levels + 2):
         flags, codes, book, known, weights, weight_book = (part() for _ in range(6))
-        share, _ = spread(_prefixes(cols, k), flags, codes, book, 0.0)
-        back, there = spread(_prefixes(cols, k - 1), known, weights, weight_book, 1.0)
-        out.append((share, back, there))
-    return out + [(np.zeros(n), np.ones(n), np.zeros(n, bool))] * (len(cols) - 1 - levels)
+        out.append((spread(k, flags, codes, book, 0.0), spread(k - 1, known, weights, weight_book, 1.0)))
+    return out + [(np.zeros(n), np.ones(n))] * (len(cols) - 1 - levels)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -713,8 +711,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     words = _answer_words(_slice_texts(rows, folder, ranges), model, ranges)
-    grams = _ask_grams(words.repartition("slice").sortWithinPartitions("slice", "r"), model, folder)
-    answered = _answer_grams(grams, model).repartition("slice").sortWithinPartitions("slice", "r")
+    grams = _ask_grams(words.repartition(ranges, "slice").sortWithinPartitions("slice", "r"), model, folder)
+    answered = _answer_grams(grams, model).repartition(ranges, "slice").sortWithinPartitions("slice", "r")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _rows_by(batches, 0):
@@ -733,22 +731,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             if told:
                 places, cols = _grams(word[codes], first, model.order, model.nothing)
                 cols, own, _ = _unique(cols, model.bits)
-                asked_for = np.flatnonzero(cols[0] < model.vocabulary)
+                n_asked = int(np.searchsorted(cols[0], model.vocabulary))
                 parts, at = [], 0
                 for blob in told:
                     size = int.from_bytes(blob[:4], "little")
-                    parts.append(_read_answer(blob, [c[asked_for[at : at + size]] for c in cols]))
+                    parts.append(_read_answer(blob, [c[at : at + size] for c in cols]))
                     at += size
+                rest = len(cols[0]) - n_asked  # n-grams behind an unknown word: nothing is known
                 for level in range(2, model.order + 1):
-                    share, back, known = np.zeros(len(cols[0])), np.ones(len(cols[0])), np.zeros(len(cols[0]), bool)
-                    share[asked_for], back[asked_for], known[asked_for] = (np.concatenate([t[level - 2][k] for t in parts]) for k in range(3))
+                    share = np.concatenate([*(t[level - 2][0] for t in parts), np.zeros(rest)])
+                    back = np.concatenate([*(t[level - 2][1] for t in parts), np.ones(rest)])
                     if level == 2 and model.dealt:
                         words, weights = np.array(sorted(model.dealt)), np.array([model.dealt[w] for w in sorted(model.dealt)])
                         i = np.minimum(np.searchsorted(words, cols[0]), len(words) - 1)
-                        hot = words[i] == cols[0]
-                        back, known = np.where(hot, weights[i], back), known | hot
-                    use = known[own] & (cols[level - 1] != model.nothing)[own]
-                    at, g = places[use] + level - 1, own[use]
+                        back = np.where(words[i] == cols[0], weights[i], back)
+                    at, g = places + (level - 1), own
+                    if level > 2:  # an unknown context has no share and the weight 1
+                        use = np.flatnonzero(cols[level - 1][own] != model.nothing)
+                        at, g = at[use], g[use]
                     p[at] = share[g] + back[g] * p[at]
             token = np.ones(len(codes), bool)
             token[first[:-1]] = False

@@ -165,9 +165,27 @@ def test_rows_beyond_63_bits():
 
 
 def _hashes(words):
-    import xxhash
+    import pyarrow as pa
 
-    return [xxhash.xxh3_64_intdigest(w.encode()) >> 1 for w in words]
+    from strandlake.llm.words import hash_words
+
+    return [int(h) >> 1 for h in hash_words(pa.array([w.encode() for w in words], pa.binary()))]
+
+
+def test_hashes_tell_words_apart():
+    """Prefixes, trailing zero bytes, halves swapped and long words have different hashes, wherever they stand."""
+    import pyarrow as pa
+
+    from strandlake.llm.words import hash_words
+
+    rng = np.random.default_rng(0)
+    words = sorted({b"", b"a", b"a\0", b"a\0\0", b"ab" * 8, b"ab" * 8 + b"\0", b"abcdefgh12345678", b"12345678abcdefgh", *(bytes(rng.integers(0, 3, int(n)).astype(np.uint8)) for n in rng.integers(0, 40, 30_000))})
+    h = hash_words(pa.array(words, pa.binary()))
+    assert len(set(h.tolist())) == len(words)
+    order = rng.permutation(len(words))
+    assert (hash_words(pa.array([words[i] for i in order], pa.binary())) == h[order]).all()
+    assert (hash_words(pa.array(words, pa.binary()).slice(100, 50)) == h[100:150]).all()
+    assert abs(np.unpackbits(h.view(np.uint8)).mean() - 0.5) < 0.01
 
 
 def test_model_without_training_rows(spark, tricky, empty, rows):
