@@ -119,18 +119,76 @@ def _heads(rows: list[np.ndarray]) -> np.ndarray:
     return heads
 
 
-def _gram_blob(cols: list[np.ndarray]) -> bytes:
-    parts = [_steps(cols[0]), *(_squeeze(c.astype("<u4")) for c in cols[1:])]
-    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+class Grams:
+    """Ascending n-grams of word numbers below 2**bits: one 63-bit number each where they fit, else columns."""
 
+    def __init__(self, bits: int, width: int, rows: list[np.ndarray]):
+        self.bits, self.width, self.rows = bits, width, rows
 
-def _gram_cols(blob: bytes) -> list[np.ndarray]:
-    parts, at = [], 0
-    while at < len(blob):
-        size = int.from_bytes(blob[at : at + 4], "little")
-        parts.append(blob[at + 4 : at + 4 + size])
-        at += 4 + size
-    return [_sums(parts[0]), *(_plain(x, "<u4").astype(np.int64) for x in parts[1:])]
+    def __len__(self) -> int:
+        return len(self.rows[0])
+
+    @staticmethod
+    def pack(cols: list[np.ndarray], bits: int) -> list[np.ndarray]:
+        if len(cols) * bits > 63:
+            return cols
+        key = cols[0].astype(np.int64)
+        for c in cols[1:]:
+            key <<= bits
+            key |= c
+        return [key]
+
+    @classmethod
+    def distinct(cls, cols: list[np.ndarray], bits: int, inverse: bool = False) -> tuple["Grams", np.ndarray | None, np.ndarray]:
+        """(distinct rows, the number of each row's own if asked for, how often each occurs)."""
+        rows = cls.pack(cols, bits)
+        if len(rows) > 1:
+            cols, own, many = _unique(rows, bits, inverse)
+            return cls(bits, len(cols), cols), own, many
+        own = None
+        if inverse:
+            key, own, many = np.unique(rows[0], return_inverse=True, return_counts=True)
+        else:
+            key = rows[0]
+            key.sort()
+            at = np.flatnonzero(_heads([key]))
+            many = np.diff(np.append(at, len(key)))
+            key = key[at]
+        return cls(bits, len(cols), [key]), own, many
+
+    def first(self, k: int) -> list[np.ndarray]:
+        """The first k words, as columns that ascend together."""
+        return [self.rows[0] >> (self.bits * (self.width - k))] if len(self.rows) == 1 else self.rows[:k]
+
+    def word(self, k: int) -> np.ndarray:
+        return (self.rows[0] >> (self.bits * (self.width - 1 - k))) & ((1 << self.bits) - 1) if len(self.rows) == 1 < self.width else self.rows[k]
+
+    def heads(self, k: int) -> np.ndarray:
+        """Rows whose first k words differ from the row before (rows are distinct)."""
+        return np.arange(len(self)) if k == self.width else np.flatnonzero(_heads(self.first(k)))
+
+    def edges(self, bounds: np.ndarray, wide: int) -> list[int]:
+        """Where the first two words reach each bound, and the end."""
+        if len(self.rows) == 1:
+            limits = ((bounds // wide << self.bits) + bounds % wide) << (self.bits * (self.width - 2))
+            return [*np.searchsorted(self.rows[0], limits).tolist(), len(self)]
+        return [*np.searchsorted(self.rows[0] * wide + self.rows[1], bounds).tolist(), len(self)]
+
+    def cut(self, a: int, z: int) -> "Grams":
+        return Grams(self.bits, self.width, [c[a:z] for c in self.rows])
+
+    def blob(self) -> bytes:
+        parts = [_steps(self.rows[0]), *(_squeeze(c.astype("<u4")) for c in self.rows[1:])]
+        return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+    @classmethod
+    def of(cls, blob: bytes, bits: int, width: int) -> "Grams":
+        parts, at = [], 0
+        while at < len(blob):
+            size = int.from_bytes(blob[at : at + 4], "little")
+            parts.append(blob[at + 4 : at + 4 + size])
+            at += 4 + size
+        return cls(bits, width, [_sums(parts[0]), *(_plain(x, "<u4").astype(np.int64) for x in parts[1:])])
 
 
 @dataclass
@@ -192,9 +250,9 @@ class Model:
         for s in np.unique(which):
             own = np.flatnonzero(which == s)
             if self.shards[s]:
-                asked, at, _ = _unique([parents[own], words[own]], self.bits)
+                asked, at, _ = Grams.distinct([parents[own], words[own]], self.bits, True)
                 found, code, known, weight, book, weight_book = Shard(self.shards[s], self).look(asked)[0]
-                of = np.searchsorted(_prefixes(asked, 1), np.arange(len(asked[0])), "right") - 1
+                of = np.searchsorted(asked.heads(1), np.arange(len(asked)), "right") - 1
                 node[own], share[own], back[own] = found[at], np.where(found >= 0, book[code], 0)[at], np.where(known, weight_book[weight], 1)[of][at]
         for word, weight in self.dealt.items():
             back[parents == word] = weight
@@ -217,27 +275,29 @@ class Shard:
             pointers = EliasFano.from_arrays(head, *(next(arrays) for _ in range(3))).values()
             self.levels.append((pointers, sequence(), *(np.asarray(next(arrays)) for _ in range(4))))
 
-    def look(self, cols: list[np.ndarray]) -> list[tuple]:
+    def look(self, asked: Grams) -> list[tuple]:
         """Answers to sorted n-grams, for each level k from 2 on, over their distinct prefixes.
 
         (place or -1 and code of each prefix of k words; context known and code of its weight of
         each prefix of k - 1 words; the books of codes and weights)
         """
         out, size = [], self.model.vocabulary
-        heads = _prefixes(cols, 1)
-        words = cols[0][heads]
+        heads = asked.heads(1)
+        words = asked.word(0)[heads]
         at = np.searchsorted(self.first, words)
         place = np.where((at < len(self.first)) & (self.first[np.minimum(at, len(self.first) - 1)] == words), at, -1)
         for k, (pointers, grams, codes, book, weights, weight_book) in enumerate(self.levels, 2):
-            if k > len(cols):
+            if k > asked.width:
                 break
             own = np.flatnonzero(place >= 0)
             known, weight = np.zeros(len(place), bool), np.zeros(len(place), np.uint8)
             known[own] = pointers[place[own] + 1] > pointers[place[own]]
             weight[known] = weights[place[known]]
-            new = _prefixes(cols, k)
-            parent = np.searchsorted(heads, new, "right") - 1
-            words = cols[k - 1][new]
+            new = asked.heads(k)
+            many = np.diff(np.append(np.searchsorted(new, heads), len(new)))  # prefixes of k words under each of k - 1
+            parent = np.repeat(np.arange(len(heads)), many)
+            words = asked.word(k - 1)
+            words = words if len(new) == len(words) else words[new]
             ask = np.flatnonzero(known[parent] & (words < size))
             key = place[parent[ask]] * size + words[ask]
             at = np.searchsorted(grams, key)
@@ -251,11 +311,6 @@ class Shard:
         return out
 
 
-def _prefixes(cols: list[np.ndarray], k: int) -> np.ndarray:
-    """Rows of sorted n-grams whose first k words differ from the row before."""
-    return np.flatnonzero(_heads(cols[:k])) if k < len(cols) else np.arange(len(cols[0]))
-
-
 def _find_words(uri: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the range, or its size, count) of word hashes."""
     arrays = _open(uri)
@@ -350,16 +405,20 @@ def _read_slice(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _grams(ids: np.ndarray, first: np.ndarray, order: int, nothing: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(places where n-grams begin, their words): all but the last of each text; ``nothing`` behind the end."""
+    """(places where n-grams begin, their words): all but the last of each text; ``nothing`` behind the end.
+
+    The end (the number at place 0) stands second or later only where a text ends.
+    """
     begins = np.ones(len(ids), bool)
     begins[first[1:] - 1] = False
-    places = np.flatnonzero(begins)
-    end = np.repeat(first[1:], np.diff(first) - 1)
-    cols = []
-    for k in range(order):
-        at = places + k
-        cols.append(np.where(at < end, ids[np.minimum(at, len(ids) - 1)], nothing))
-    return places, cols
+    cols = [ids]
+    for k in range(1, order):
+        shifted = np.full(len(ids), nothing, np.int64)
+        shifted[: max(0, len(ids) - k)] = ids[k:]
+        if k > 1:
+            shifted[(cols[-1] == ids[0]) | (cols[-1] == nothing)] = nothing
+        cols.append(shifted)
+    return np.flatnonzero(begins), [c[begins] for c in cols]
 
 
 # --- training ----------------------------------------------------------------------------------
@@ -393,7 +452,7 @@ def _build_words(parts: DataFrame, folder: str, ranges: int, shard_tokens: int)
             ends = np.cumsum([len(x) for _, x in asked])
             yield _batch([(1, r, number, None, _steps(own[z - len(x) : z]), 0, 0, 0, [], [], []) for (number, x), z in zip(asked, ends.tolist(), strict=True)], **names)
 
-    dealt = parts.select("r", "meta", "slice", "path", "keys", "counts").repartition(ranges, "r").sortWithinPartitions("r", "slice")
+    dealt = parts.select("r", "meta", "slice", "path", "keys", "counts").repartitionById(ranges, F.col("r")).sortWithinPartitions("r", "slice")
     return dealt.mapInArrow(build, "kind int, r int, slice long, path string, a binary, n long, tokens long, least long, marks array<long>, hot array<long>, hot_count array<long>")
 
 
@@ -434,10 +493,9 @@ def _count_grams(rows: DataFrame, model: Model) -> DataFrame:
                 else:
                     ids.append(base[place_of[r]] + _sums(a))
             _, cols = _grams(np.concatenate(ids)[codes], first, model.order, model.nothing)
-            cols, _, many = _unique(cols, model.bits, False)
-            shard = model.shard_of(cols)
-            edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-            out = [(int(shard[a]), number, _gram_blob([c[a:z] for c in cols]), _squeeze(many[a:z].astype("<u4"))) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            grams, _, many = Grams.distinct(cols, model.bits)
+            edges = grams.edges(model.bounds, model.vocabulary + 2)
+            out = [(s, number, grams.cut(a, z).blob(), _squeeze(many[a:z].astype("<u4"))) for s, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "slice", "keys", "counts"])
 
     return rows.mapInArrow(count, "shard int, slice long, keys binary, counts binary")
@@ -451,19 +509,9 @@ class _Merger:
         self.waiting: list[tuple[list[np.ndarray], np.ndarray]] = []
         self.size = 0
 
-    def _packed(self, cols: list[np.ndarray]) -> list[np.ndarray]:
-        """As one column of 63-bit numbers where they fit."""
-        if len(cols) * self.bits > 63:
-            return cols
-        key = cols[0].copy()
-        for c in cols[1:]:
-            key <<= self.bits
-            key |= c
-        return [key]
-
-    def add(self, cols: list[np.ndarray], many: np.ndarray) -> None:
-        self.width = len(cols)
-        self.waiting.append((self._packed(cols), many))
+    def add(self, grams: Grams, many: np.ndarray) -> None:
+        self.width = grams.width
+        self.waiting.append((grams.rows, many))
         self.size += len(many)
         if self.size > max(MERGE, 0 if self.many is None else len(self.many)):
             self._merge()
@@ -484,9 +532,8 @@ class _Merger:
         """Merges what is left; ``cols`` and ``many`` then hold the rows."""
         if self.waiting:
             self._merge()
-        if len(self.cols) == 1 and self.width > 1:
-            key, mask = self.cols[0], (1 << self.bits) - 1
-            self.cols = [(key >> (self.bits * (self.width - 1 - k))) & mask for k in range(self.width)]
+        grams = Grams(self.bits, self.width, self.cols)
+        self.cols = [grams.word(k) for k in range(self.width)]
 
 
 def _write_shard(cols: list[np.ndarray], many: np.ndarray, model: Model, dealt: dict[int, int], folder: str, shard: int) -> tuple[str, dict[int, float]]:
@@ -529,14 +576,14 @@ def _build_shards(counted: DataFrame, model: Model, dealt: dict[int, int], folde
         for shard, rows in _rows_by(batches, 0):
             merger = _Merger(model.bits)
             for _, _, keys, counts in rows:
-                merger.add(_gram_cols(keys), _plain(counts, "<u4").astype(np.int64))
+                merger.add(Grams.of(keys, model.bits, model.order), _plain(counts, "<u4").astype(np.int64))
             merger.merge()
             cols, many = merger.cols, merger.many
             del merger
             path, mass = _write_shard(cols, many, model, dealt, folder, shard)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([list(mass)], pa.list_(pa.int64())), pa.array([list(mass.values())], pa.list_(pa.float64()))], names=["shard", "path", "word", "mass"])
 
-    parts = counted.repartition(len(model.bounds), "shard").sortWithinPartitions("shard", "slice")
+    parts = counted.repartitionById(len(model.bounds), F.col("shard")).sortWithinPartitions("shard", "slice")
     return parts.mapInArrow(build, "shard int, path string, word array<long>, mass array<double>")
 
 
@@ -600,7 +647,7 @@ def _answer_words(asked: DataFrame, model: Model, ranges: int) -> DataFrame:
                 at, many = _find_words(paths[r], hashes) if r in paths else (np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64))
                 yield _batch([(number, r, None, _squeeze(at.astype("<u4")) if r in paths else None, _squeeze(many.astype("<u8")), None)], **names)
 
-    dealt = asked.select("r", "meta", "slice", "path", "ids", "keys").repartition(ranges, "r").sortWithinPartitions("r")
+    dealt = asked.select("r", "meta", "slice", "path", "ids", "keys").repartitionById(ranges, F.col("r")).sortWithinPartitions("r")
     return dealt.mapInArrow(answer, f"slice long, r int, path string, a binary, b binary, ids {listed.simpleString()}")
 
 
@@ -637,13 +684,9 @@ def _ask_grams(rows: DataFrame, model: Model, folder: str) -> DataFrame:
             if model.order > 1:
                 _, codes, first = _read_slice(here)
                 _, cols = _grams(ids[codes], first, model.order, model.nothing)
-                cols, _, _ = _unique(cols, model.bits, False)
-                known = np.searchsorted(cols[0], model.vocabulary)
-                cols = [c[:known] for c in cols]
-                if known:
-                    shard = model.shard_of(cols)
-                    edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)).tolist()
-                    out += [(int(shard[a]), False, number, None, None, None, _gram_blob([c[a:z] for c in cols])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+                grams, _, _ = Grams.distinct(cols, model.bits)
+                edges = grams.edges(np.append(model.bounds, model.vocabulary * (model.vocabulary + 2)), model.vocabulary + 2)[:-1]  # n-grams behind an unknown word are not asked for
+                out += [(s, False, number, None, None, None, grams.cut(a, z).blob()) for s, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
             yield _batch(out, **names)
 
     return rows.mapInArrow(ask, f"shard int, meta boolean, slice long, path string, words string, ids {listed.simpleString()}, keys binary")
@@ -665,9 +708,9 @@ def _answer_grams(asked: DataFrame, model: Model) -> DataFrame:
                     continue
                 if shard is None and model.shards and model.shards[s]:
                     shard = Shard(model.shards[s], model)
-                cols = _gram_cols(keys)
-                found = shard.look(cols) if shard else []
-                parts = [np.array([len(cols[0]), len(found)], "<u4").tobytes()]
+                asked_here = Grams.of(keys, model.bits, model.order)
+                found = shard.look(asked_here) if shard else []
+                parts = [np.array([len(asked_here), len(found)], "<u4").tobytes()]
                 for node, code, known, weight, book, weight_book in found:
                     codes, weights = code[node >= 0], weight[known]
                     books = [b[: int(c.max(initial=0)) + 1].astype("<f4").tobytes() for b, c in ((book, codes), (weight_book, weights))]
@@ -675,12 +718,12 @@ def _answer_grams(asked: DataFrame, model: Model) -> DataFrame:
                         parts.append(len(x).to_bytes(4, "little") + x)
                 yield _batch([(number, s, None, None, None, b"".join(parts))], **names)
 
-    dealt = asked.repartition(max(1, len(model.bounds)), "shard").sortWithinPartitions("shard", "meta")
+    dealt = asked.repartitionById(max(1, len(model.bounds)), F.col("shard")).sortWithinPartitions("shard", "meta")
     return dealt.mapInArrow(answer, f"slice long, r int, path string, words string, ids {listed.simpleString()}, a binary")
 
 
-def _read_answer(blob: bytes, cols: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level from 2 on: (probability or 0, weight or 1 behind an unknown context) of the sorted n-grams ``cols`` that were asked for."""
+def _read_answer(blob: bytes, grams: Grams) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level from 2 on: (probability or 0, weight or 1 behind an unknown context) of the n-grams that were asked for."""
     n, levels = np.frombuffer(blob[:8], "<u4").tolist()
     at, out = 8, []
 
@@ -691,7 +734,7 @@ def _read_answer(blob: bytes, cols: list[np.ndarray]) -> list[tuple[np.ndarray,
         return blob[at - size : at]
 
     def spread(k: int, flags: bytes, codes: bytes, book: bytes, other: float) -> np.ndarray:
-        heads = _prefixes(cols, k)
+        heads = grams.heads(k)
         there = np.unpackbits(_plain(flags, "u1"), count=len(heads)).astype(bool)
         value = np.full(len(heads), other)
         value[there] = np.frombuffer(book, "<f4")[_plain(codes, "u1")]
@@ -700,7 +743,7 @@ def _read_answer(blob: bytes, cols: list[np.ndarray]) -> list[tuple[np.ndarray,
     for k in range(2, levels + 2):
         flags, codes, book, known, weights, weight_book = (part() for _ in range(6))
         out.append((spread(k, flags, codes, book, 0.0), spread(k - 1, known, weights, weight_book, 1.0)))
-    return out + [(np.zeros(n), np.ones(n))] * (len(cols) - 1 - levels)
+    return out + [(np.zeros(n), np.ones(n))] * (grams.width - 1 - levels)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -730,24 +773,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             p = base.copy()
             if told:
                 places, cols = _grams(word[codes], first, model.order, model.nothing)
-                cols, own, _ = _unique(cols, model.bits)
-                n_asked = int(np.searchsorted(cols[0], model.vocabulary))
+                grams, own, _ = Grams.distinct(cols, model.bits, True)
                 parts, at = [], 0
                 for blob in told:
                     size = int.from_bytes(blob[:4], "little")
-                    parts.append(_read_answer(blob, [c[at : at + size] for c in cols]))
+                    parts.append(_read_answer(blob, grams.cut(at, at + size)))
                     at += size
-                rest = len(cols[0]) - n_asked  # n-grams behind an unknown word: nothing is known
+                rest = len(grams) - at  # n-grams behind an unknown word: nothing is known
                 for level in range(2, model.order + 1):
                     share = np.concatenate([*(t[level - 2][0] for t in parts), np.zeros(rest)])
                     back = np.concatenate([*(t[level - 2][1] for t in parts), np.ones(rest)])
                     if level == 2 and model.dealt:
                         words, weights = np.array(sorted(model.dealt)), np.array([model.dealt[w] for w in sorted(model.dealt)])
-                        i = np.minimum(np.searchsorted(words, cols[0]), len(words) - 1)
-                        back = np.where(words[i] == cols[0], weights[i], back)
+                        begin = grams.word(0)
+                        i = np.minimum(np.searchsorted(words, begin), len(words) - 1)
+                        back = np.where(words[i] == begin, weights[i], back)
                     at, g = places + (level - 1), own
                     if level > 2:  # an unknown context has no share and the weight 1
-                        use = np.flatnonzero(cols[level - 1][own] != model.nothing)
+                        use = np.flatnonzero(cols[level - 1] != model.nothing)
                         at, g = at[use], g[use]
                     p[at] = share[g] + back[g] * p[at]
             token = np.ones(len(codes), bool)

@@ -147,17 +147,25 @@ def test_words_over_several_shards(spark):
 
 def test_rows_beyond_63_bits():
     """Distinct rows are the same whether their numbers fit one word or not."""
-    from strandlake.llm.trie_lm import _Merger, _unique
+    from strandlake.llm.trie_lm import Grams, _Merger, _unique
 
     rng = np.random.default_rng(1)
     cols = [rng.integers(0, 5, 500) for _ in range(3)]
     cols[2] = rng.integers(0, 1 << 20, 500) % 7
     for x, y in zip(_unique(cols, 21), _unique(cols, 22), strict=True):
         assert all((a == b).all() for a, b in zip(x, y, strict=True)) if isinstance(x, list) else (x == y).all()
+    (a, i, m), (b, j, n) = (Grams.distinct(cols, bits, True) for bits in (21, 22))
+    assert len(a.rows) == 1 and len(b.rows) == 3 and (i == j).all() and (m == n).all()
+    bounds = np.array([0, 3, 9, 14, 22, 40])
+    assert a.edges(bounds, 7) == b.edges(bounds, 7)
+    for x in (a, b, Grams.of(a.blob(), 21, 3), Grams.of(b.blob(), 22, 3)):
+        assert all((x.word(k)[i] == cols[k]).all() for k in range(3))
+        assert all((x.heads(k) == a.heads(k)).all() for k in (1, 2, 3))
     for bits in (21, 22):
         merger = _Merger(bits)
         for i in range(0, 500, 7):
-            merger.add([c[i : i + 7] for c in cols], np.full(len(cols[0][i : i + 7]), 2))
+            some, _, many = Grams.distinct([c[i : i + 7] for c in cols], bits)
+            merger.add(some, 2 * many)
             if i % 3 == 0:
                 merger._merge()
         merger.merge()
