@@ -87,20 +87,8 @@ def _sums(raw: bytes) -> np.ndarray:
     return np.cumsum(_plain(raw, "<u8").astype(np.int64))
 
 
-def _unique(cols: list[np.ndarray], bits: int, inverse: bool = True) -> tuple[list[np.ndarray], np.ndarray | None, np.ndarray]:
-    """(distinct rows in ascending order, the number of each row's own if asked for, how often each occurs) of columns of numbers below 2**bits."""
-    if len(cols) * bits <= 63:
-        key = np.zeros(len(cols[0]), np.int64)
-        for c in cols:
-            key = (key << bits) | c
-        if inverse:
-            key, own, many = np.unique(key, return_inverse=True, return_counts=True)
-        else:
-            key.sort()
-            own, at = None, np.flatnonzero(_heads([key]))
-            many = np.diff(np.append(at, len(key)))
-            key = key[at]
-        return [(key >> (bits * (len(cols) - 1 - k))) & ((1 << bits) - 1) for k in range(len(cols))], own, many
+def _unique(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(distinct rows in ascending order, the number of each row's own, how often each occurs) of columns of any numbers."""
     order = np.lexsort(cols[::-1])
     rows = [c[order] for c in cols]
     heads = _heads(rows)
@@ -119,76 +107,81 @@ def _heads(rows: list[np.ndarray]) -> np.ndarray:
     return heads
 
 
+@dataclass(frozen=True)
+class Shape:
+    """How n-grams are held: words below 2**bits, the first one ``base`` plus a number below 2**lead; as one 63-bit number each where they fit."""
+
+    width: int
+    bits: int
+    lead: int
+    base: int = 0
+
+    @property
+    def packed(self) -> bool:
+        return self.lead + (self.width - 1) * self.bits <= 63
+
+
 class Grams:
-    """Ascending n-grams of word numbers below 2**bits: one 63-bit number each where they fit, else columns."""
+    """Ascending n-grams of word numbers."""
 
-    def __init__(self, bits: int, width: int, rows: list[np.ndarray]):
-        self.bits, self.width, self.rows = bits, width, rows
+    def __init__(self, shape: Shape, rows: list[np.ndarray]):
+        self.shape, self.rows = shape, rows
 
     def __len__(self) -> int:
         return len(self.rows[0])
 
-    @staticmethod
-    def pack(cols: list[np.ndarray], bits: int) -> list[np.ndarray]:
-        if len(cols) * bits > 63:
-            return cols
-        key = cols[0].astype(np.int64)
+    @classmethod
+    def of(cls, cols: list[np.ndarray], shape: Shape) -> "Grams":
+        if not shape.packed:
+            return cls(shape, cols)
+        key = cols[0] - shape.base
         for c in cols[1:]:
-            key <<= bits
+            key <<= shape.bits
             key |= c
-        return [key]
-
-    @classmethod
-    def distinct(cls, cols: list[np.ndarray], bits: int, inverse: bool = False) -> tuple["Grams", np.ndarray | None, np.ndarray]:
-        """(distinct rows, the number of each row's own if asked for, how often each occurs)."""
-        rows = cls.pack(cols, bits)
-        if len(rows) > 1:
-            cols, own, many = _unique(rows, bits, inverse)
-            return cls(bits, len(cols), cols), own, many
-        own = None
-        if inverse:
-            key, own, many = np.unique(rows[0], return_inverse=True, return_counts=True)
+        return cls(shape, [key])
+
+    def distinct(self, inverse: bool = False) -> tuple["Grams", np.ndarray | None, np.ndarray]:
+        """(distinct rows in order, the number of each row's own if asked for, how often each occurs)."""
+        if not self.shape.packed:
+            cols, own, many = _unique(self.rows)
+        elif inverse:
+            key, own, many = np.unique(self.rows[0], return_inverse=True, return_counts=True)
+            cols = [key]
         else:
-            key = rows[0]
-            key.sort()
+            key, own = np.sort(self.rows[0]), None
             at = np.flatnonzero(_heads([key]))
-            many = np.diff(np.append(at, len(key)))
-            key = key[at]
-        return cls(bits, len(cols), [key]), own, many
+            cols, many = [key[at]], np.diff(np.append(at, len(key)))
+        return Grams(self.shape, cols), own, many
 
     def first(self, k: int) -> list[np.ndarray]:
         """The first k words, as columns that ascend together."""
-        return [self.rows[0] >> (self.bits * (self.width - k))] if len(self.rows) == 1 else self.rows[:k]
+        return [self.rows[0] >> (self.shape.bits * (self.shape.width - k))] if self.shape.packed else self.rows[:k]
 
     def word(self, k: int) -> np.ndarray:
-        return (self.rows[0] >> (self.bits * (self.width - 1 - k))) & ((1 << self.bits) - 1) if len(self.rows) == 1 < self.width else self.rows[k]
+        if not self.shape.packed:
+            return self.rows[k]
+        x = self.rows[0] >> (self.shape.bits * (self.shape.width - 1 - k))
+        return x & ((1 << self.shape.bits) - 1) if k else x + self.shape.base
 
     def heads(self, k: int) -> np.ndarray:
         """Rows whose first k words differ from the row before (rows are distinct)."""
-        return np.arange(len(self)) if k == self.width else np.flatnonzero(_heads(self.first(k)))
-
-    def edges(self, bounds: np.ndarray, wide: int) -> list[int]:
-        """Where the first two words reach each bound, and the end."""
-        if len(self.rows) == 1:
-            limits = ((bounds // wide << self.bits) + bounds % wide) << (self.bits * (self.width - 2))
-            return [*np.searchsorted(self.rows[0], limits).tolist(), len(self)]
-        return [*np.searchsorted(self.rows[0] * wide + self.rows[1], bounds).tolist(), len(self)]
+        return np.arange(len(self)) if k == self.shape.width else np.flatnonzero(_heads(self.first(k)))
 
     def cut(self, a: int, z: int) -> "Grams":
-        return Grams(self.bits, self.width, [c[a:z] for c in self.rows])
+        return Grams(self.shape, [c[a:z] for c in self.rows])
 
     def blob(self) -> bytes:
         parts = [_steps(self.rows[0]), *(_squeeze(c.astype("<u4")) for c in self.rows[1:])]
         return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
 
     @classmethod
-    def of(cls, blob: bytes, bits: int, width: int) -> "Grams":
+    def read(cls, blob: bytes, shape: Shape) -> "Grams":
         parts, at = [], 0
         while at < len(blob):
             size = int.from_bytes(blob[at : at + 4], "little")
             parts.append(blob[at + 4 : at + 4 + size])
             at += 4 + size
-        return cls(bits, width, [_sums(parts[0]), *(_plain(x, "<u4").astype(np.int64) for x in parts[1:])])
+        return cls(shape, [_sums(parts[0]), *(_plain(x, "<u4").astype(np.int64) for x in parts[1:])])
 
 
 @dataclass
@@ -225,9 +218,12 @@ class Model:
         """The number that stands behind the end of a text; the greatest."""
         return self.vocabulary + 1
 
-    @property
-    def bits(self) -> int:
-        return (self.vocabulary + 1).bit_length()
+    def shape(self, shard: int) -> Shape:
+        """How a shard's n-grams are held: their first words lie close together."""
+        wide = self.vocabulary + 2
+        base = int(self.bounds[shard]) // wide
+        last = (int(self.bounds[shard + 1]) - 1) // wide if shard + 1 < len(self.bounds) else self.vocabulary
+        return Shape(self.order, (self.vocabulary + 1).bit_length(), max(1, (last - base).bit_length()), base)
 
     def lookup_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids or -1, counts) of word hashes; for a few lookups."""
@@ -250,7 +246,8 @@ class Model:
         for s in np.unique(which):
             own = np.flatnonzero(which == s)
             if self.shards[s]:
-                asked, at, _ = Grams.distinct([parents[own], words[own]], self.bits, True)
+                bits = (self.vocabulary + 1).bit_length()
+                asked, at, _ = Grams.of([parents[own], words[own]], Shape(2, bits, bits)).distinct(True)
                 found, code, known, weight, book, weight_book = Shard(self.shards[s], self).look(asked)[0]
                 of = np.searchsorted(asked.heads(1), np.arange(len(asked)), "right") - 1
                 node[own], share[own], back[own] = found[at], np.where(found >= 0, book[code], 0)[at], np.where(known, weight_book[weight], 1)[of][at]
@@ -287,7 +284,7 @@ class Shard:
         at = np.searchsorted(self.first, words)
         place = np.where((at < len(self.first)) & (self.first[np.minimum(at, len(self.first) - 1)] == words), at, -1)
         for k, (pointers, grams, codes, book, weights, weight_book) in enumerate(self.levels, 2):
-            if k > asked.width:
+            if k > asked.shape.width:
                 break
             own = np.flatnonzero(place >= 0)
             known, weight = np.zeros(len(place), bool), np.zeros(len(place), np.uint8)
@@ -404,21 +401,40 @@ def _read_slice(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n, codes, np.concatenate([[0], np.cumsum(n + 1)])
 
 
-def _grams(ids: np.ndarray, first: np.ndarray, order: int, nothing: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(places where n-grams begin, their words): all but the last of each text; ``nothing`` behind the end.
+def _grams(codes: np.ndarray, numbers: np.ndarray, first: np.ndarray, model: Model, inverse: bool = False):
+    """The n-grams of a slice, from its word codes and the model's numbers of its words (ascending but for unknown ones).
 
-    The end (the number at place 0) stands second or later only where a text ends.
+    (places where they begin - all but the last of each text -, their last words in the slice's own numbers,
+    distinct n-grams in the slice's own numbers, number of each place's own, counts, the model's number of each own number)
+
+    The slice's own numbers are small, so its n-grams fit one number each; they ascend as the
+    model's numbers do.  Behind the end stands ``nothing``; the end (code 0) stands second or later only where a text ends.
     """
+    known = numbers < model.vocabulary
+    size = int(known.sum())
+    own = np.where(known, np.cumsum(known) - 1, size)
+    ids = own[codes]
     begins = np.ones(len(ids), bool)
     begins[first[1:] - 1] = False
-    cols = [ids]
-    for k in range(1, order):
-        shifted = np.full(len(ids), nothing, np.int64)
+    cols, over = [ids], np.zeros(len(ids), bool)
+    for k in range(1, model.order):
+        shifted = np.full(len(ids), size + 1, np.int64)
         shifted[: max(0, len(ids) - k)] = ids[k:]
-        if k > 1:
-            shifted[(cols[-1] == ids[0]) | (cols[-1] == nothing)] = nothing
+        shifted[over] = size + 1
         cols.append(shifted)
-    return np.flatnonzero(begins), [c[begins] for c in cols]
+        over[: max(0, len(ids) - k)] |= codes[k:] == 0
+    cols = [c[begins] for c in cols]
+    bits = (size + 1).bit_length()
+    grams, which, many = Grams.of(cols, Shape(model.order, bits, bits)).distinct(inverse)
+    return np.flatnonzero(begins), cols, grams, which, many, np.append(numbers[known], [model.unknown, model.nothing])
+
+
+def _dealt_out(grams: Grams, numbers: np.ndarray, model: Model) -> list[tuple[int, int, int, bytes]]:
+    """(shard, first, end, blob) of a slice's distinct n-grams with a known first word, in the model's numbers."""
+    cols = [numbers[grams.word(k)] for k in range(model.order)]
+    wide = model.vocabulary + 2
+    edges = np.searchsorted(cols[0] * wide + cols[1], np.append(model.bounds, model.vocabulary * wide)).tolist()
+    return [(s, a, z, Grams.of([c[a:z] for c in cols], model.shape(s)).blob()) for s, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
 
 
 # --- training ----------------------------------------------------------------------------------
@@ -492,48 +508,46 @@ def _count_grams(rows: DataFrame, model: Model) -> DataFrame:
                     _, codes, first = _read_slice(path)
                 else:
                     ids.append(base[place_of[r]] + _sums(a))
-            _, cols = _grams(np.concatenate(ids)[codes], first, model.order, model.nothing)
-            grams, _, many = Grams.distinct(cols, model.bits)
-            edges = grams.edges(model.bounds, model.vocabulary + 2)
-            out = [(s, number, grams.cut(a, z).blob(), _squeeze(many[a:z].astype("<u4"))) for s, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
+            _, _, grams, _, many, numbers = _grams(codes, np.concatenate(ids), first, model)
+            out = [(s, number, blob, _squeeze(many[a:z].astype("<u4"))) for s, a, z, blob in _dealt_out(grams, numbers, model)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "slice", "keys", "counts"])
 
     return rows.mapInArrow(count, "shard int, slice long, keys binary, counts binary")
 
 
 class _Merger:
-    """Distinct rows with their counts, merged as pieces come: memory follows the distinct rows, not the pieces."""
+    """Distinct n-grams with their counts, merged as pieces come: memory follows the distinct rows, not the pieces."""
 
-    def __init__(self, bits: int):
-        self.bits, self.cols, self.many = bits, None, None
+    def __init__(self, shape: Shape):
+        self.shape, self.rows, self.many = shape, None, None
         self.waiting: list[tuple[list[np.ndarray], np.ndarray]] = []
         self.size = 0
 
     def add(self, grams: Grams, many: np.ndarray) -> None:
-        self.width = grams.width
         self.waiting.append((grams.rows, many))
         self.size += len(many)
         if self.size > max(MERGE, 0 if self.many is None else len(self.many)):
-            self._merge()
+            self.merge()
 
-    def _merge(self) -> None:
-        pieces = ([] if self.many is None else [(self.cols, self.many)]) + self.waiting
-        self.cols, self.many, self.waiting, self.size = None, None, [], 0
-        cols = [np.concatenate([c[k] for c, _ in pieces]) for k in range(len(pieces[0][0]))]
+    def merge(self) -> None:
+        pieces = ([] if self.many is None else [(self.rows, self.many)]) + self.waiting
+        self.rows, self.many, self.waiting, self.size = None, None, [], 0
+        rows = [np.concatenate([c[k] for c, _ in pieces]) for k in range(len(pieces[0][0]))]
         many = np.concatenate([m for _, m in pieces])
         del pieces
-        order = np.argsort(cols[0]) if len(cols) == 1 else np.lexsort(cols[::-1])
-        cols, many = [c[order] for c in cols], many[order]
+        order = np.argsort(rows[0]) if len(rows) == 1 else np.lexsort(rows[::-1])
+        rows, many = [c[order] for c in rows], many[order]
         del order
-        at = np.flatnonzero(_heads(cols))
-        self.cols, self.many = [c[at] for c in cols], np.add.reduceat(many, at) if len(at) else many
+        at = np.flatnonzero(_heads(rows))
+        self.rows, self.many = [c[at] for c in rows], np.add.reduceat(many, at) if len(at) else many
 
-    def merge(self) -> None:
-        """Merges what is left; ``cols`` and ``many`` then hold the rows."""
+    def result(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The columns of words, and the counts."""
         if self.waiting:
-            self._merge()
-        grams = Grams(self.bits, self.width, self.cols)
-        self.cols = [grams.word(k) for k in range(self.width)]
+            self.merge()
+        grams, many = Grams(self.shape, self.rows), self.many
+        self.rows = self.many = None
+        return [grams.word(k) for k in range(self.shape.width)], many
 
 
 def _write_shard(cols: list[np.ndarray], many: np.ndarray, model: Model, dealt: dict[int, int], folder: str, shard: int) -> tuple[str, dict[int, float]]:
@@ -574,11 +588,10 @@ def _write_shard(cols: list[np.ndarray], many: np.ndarray, model: Model, dealt:
 def _build_shards(counted: DataFrame, model: Model, dealt: dict[int, int], folder: str) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _rows_by(batches, 0):
-            merger = _Merger(model.bits)
+            merger = _Merger(model.shape(shard))
             for _, _, keys, counts in rows:
-                merger.add(Grams.of(keys, model.bits, model.order), _plain(counts, "<u4").astype(np.int64))
-            merger.merge()
-            cols, many = merger.cols, merger.many
+                merger.add(Grams.read(keys, merger.shape), _plain(counts, "<u4").astype(np.int64))
+            cols, many = merger.result()
             del merger
             path, mass = _write_shard(cols, many, model, dealt, folder, shard)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([list(mass)], pa.list_(pa.int64())), pa.array([list(mass.values())], pa.list_(pa.float64()))], names=["shard", "path", "word", "mass"])
@@ -683,10 +696,8 @@ def _ask_grams(rows: DataFrame, model: Model, folder: str) -> DataFrame:
             out = [(number % shards, True, number, here, kept, keep, None)]
             if model.order > 1:
                 _, codes, first = _read_slice(here)
-                _, cols = _grams(ids[codes], first, model.order, model.nothing)
-                grams, _, _ = Grams.distinct(cols, model.bits)
-                edges = grams.edges(np.append(model.bounds, model.vocabulary * (model.vocabulary + 2)), model.vocabulary + 2)[:-1]  # n-grams behind an unknown word are not asked for
-                out += [(s, False, number, None, None, None, grams.cut(a, z).blob()) for s, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
+                _, _, grams, _, _, numbers = _grams(codes, ids, first, model)
+                out += [(s, False, number, None, None, None, blob) for s, _, _, blob in _dealt_out(grams, numbers, model)]
             yield _batch(out, **names)
 
     return rows.mapInArrow(ask, f"shard int, meta boolean, slice long, path string, words string, ids {listed.simpleString()}, keys binary")
@@ -708,7 +719,7 @@ def _answer_grams(asked: DataFrame, model: Model) -> DataFrame:
                     continue
                 if shard is None and model.shards and model.shards[s]:
                     shard = Shard(model.shards[s], model)
-                asked_here = Grams.of(keys, model.bits, model.order)
+                asked_here = Grams.read(keys, model.shape(s))
                 found = shard.look(asked_here) if shard else []
                 parts = [np.array([len(asked_here), len(found)], "<u4").tobytes()]
                 for node, code, known, weight, book, weight_book in found:
@@ -743,7 +754,7 @@ def _read_answer(blob: bytes, grams: Grams) -> list[tuple[np.ndarray, np.ndarray
     for k in range(2, levels + 2):
         flags, codes, book, known, weights, weight_book = (part() for _ in range(6))
         out.append((spread(k, flags, codes, book, 0.0), spread(k - 1, known, weights, weight_book, 1.0)))
-    return out + [(np.zeros(n), np.ones(n))] * (grams.width - 1 - levels)
+    return out + [(np.zeros(n), np.ones(n))] * (grams.shape.width - 1 - levels)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -772,8 +783,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             base = (many + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1))
             p = base.copy()
             if told:
-                places, cols = _grams(word[codes], first, model.order, model.nothing)
-                grams, own, _ = Grams.distinct(cols, model.bits, True)
+                places, cols, grams, own, _, numbers = _grams(codes, word, first, model, True)
                 parts, at = [], 0
                 for blob in told:
                     size = int.from_bytes(blob[:4], "little")
@@ -785,12 +795,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     back = np.concatenate([*(t[level - 2][1] for t in parts), np.ones(rest)])
                     if level == 2 and model.dealt:
                         words, weights = np.array(sorted(model.dealt)), np.array([model.dealt[w] for w in sorted(model.dealt)])
-                        begin = grams.word(0)
+                        begin = numbers[grams.word(0)]
                         i = np.minimum(np.searchsorted(words, begin), len(words) - 1)
                         back = np.where(words[i] == begin, weights[i], back)
                     at, g = places + (level - 1), own
                     if level > 2:  # an unknown context has no share and the weight 1
-                        use = np.flatnonzero(cols[level - 1] != model.nothing)
+                        use = np.flatnonzero(cols[level - 1] != len(numbers) - 1)
                         at, g = at[use], g[use]
                     p[at] = share[g] + back[g] * p[at]
             token = np.ones(len(codes), bool)

@@ -147,29 +147,25 @@ def test_words_over_several_shards(spark):
 
 def test_rows_beyond_63_bits():
     """Distinct rows are the same whether their numbers fit one word or not."""
-    from strandlake.llm.trie_lm import Grams, _Merger, _unique
+    from strandlake.llm.trie_lm import Grams, Shape, _Merger
 
     rng = np.random.default_rng(1)
-    cols = [rng.integers(0, 5, 500) for _ in range(3)]
-    cols[2] = rng.integers(0, 1 << 20, 500) % 7
-    for x, y in zip(_unique(cols, 21), _unique(cols, 22), strict=True):
-        assert all((a == b).all() for a, b in zip(x, y, strict=True)) if isinstance(x, list) else (x == y).all()
-    (a, i, m), (b, j, n) = (Grams.distinct(cols, bits, True) for bits in (21, 22))
+    cols = [rng.integers(0, 5, 500) + 70, rng.integers(0, 5, 500), rng.integers(0, 1 << 20, 500) % 7]
+    one, many = Shape(3, 21, 21, 70), Shape(3, 22, 22)
+    (a, i, m), (b, j, n) = (Grams.of(cols, shape).distinct(True) for shape in (one, many))
     assert len(a.rows) == 1 and len(b.rows) == 3 and (i == j).all() and (m == n).all()
-    bounds = np.array([0, 3, 9, 14, 22, 40])
-    assert a.edges(bounds, 7) == b.edges(bounds, 7)
-    for x in (a, b, Grams.of(a.blob(), 21, 3), Grams.of(b.blob(), 22, 3)):
+    for x in (a, b, Grams.read(a.blob(), one), Grams.read(b.blob(), many)):
         assert all((x.word(k)[i] == cols[k]).all() for k in range(3))
         assert all((x.heads(k) == a.heads(k)).all() for k in (1, 2, 3))
-    for bits in (21, 22):
-        merger = _Merger(bits)
+    for shape in (one, many):
+        merger = _Merger(shape)
         for i in range(0, 500, 7):
-            some, _, many = Grams.distinct([c[i : i + 7] for c in cols], bits)
-            merger.add(some, 2 * many)
+            some, _, count = Grams.of([c[i : i + 7] for c in cols], shape).distinct()
+            merger.add(some, 2 * count)
             if i % 3 == 0:
-                merger._merge()
-        merger.merge()
-        assert (merger.many == 2 * _unique(cols, 21)[2]).all() and all((a == b).all() for a, b in zip(merger.cols, _unique(cols, 21)[0], strict=True))
+                merger.merge()
+        rows, count = merger.result()
+        assert (count == 2 * m).all() and all((x == a.word(k)).all() for k, x in enumerate(rows))
 
 
 def _hashes(words):
@@ -278,3 +274,19 @@ def test_toxicity_without_labels(spark, tricky, empty):
     assert score_toxicity(empty, lexicon).collect() == []
     missing = spark.createDataFrame([(1, None), (2, 1)], "doc_id long, toxic int")
     assert learn_lexicon(tricky, missing).weights == {}
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_other_orders(spark, order):
+    """Scores of other orders equal the dictionaries' too."""
+    rng = np.random.default_rng(order)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 30, int(rng.integers(0, 40))))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n, want = brute_scores(rows, lambda k: False, order)
+    model = train(docs, order=order)
+    assert model.tokens == n
+    by = {k: (a, b, c, d) for k, a, b, c, d in want}
+    for r in score(docs, model).collect():
+        tokens_, known, base, full = by[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (tokens_, known) and r.base_score == pytest.approx(base, rel=1e-9)
+        assert r.score == pytest.approx(full, abs=0.08 * tokens_)
