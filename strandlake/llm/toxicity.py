@@ -6,7 +6,8 @@ and word beginnings - is learned from labelled rows: patterns that are significa
 in toxic rows (log-likelihood ratio of the exact counts), weighted by their log odds against the
 others; neither candidates nor lexicon nor exceptions are capped.  Phrases of a pattern with the word
 before it that labelled rows show to be harmless become exceptions; matches inside them do
-not count.  The matched weight, plain and normalised by length, goes through a logistic curve.
+not count.  The matched weight and the number of matches, both normalised by length, and the mean weight of a
+match go through a logistic curve.
 
 All counts cover every labelled row handed in.  Only the curve (a handful of numbers) is
 fitted on a bounded sample: the ``sample_rows`` rows with the least hashes of their identifiers.
@@ -120,10 +121,11 @@ class Lexicon:
         return [h for h in hits if not any(a <= h[0] and h[1] <= z for a, z, _ in spared)]
 
     def features(self, automaton, folded: str) -> tuple[float, float, float]:
-        """Total weight, weight for 100 words, greatest weight; the first two on a log scale."""
+        """Weight and matches for 100 words, on a log scale, and the mean weight of a match: nothing grows with the length alone."""
         hits = self.matches(automaton, folded)
+        words = folded.count(" ") + 20
         total = sum(h[2] for h in hits)
-        return math.log1p(total), math.log1p(100 * total / (folded.count(" ") + 20)), max((h[2] for h in hits), default=0.0)
+        return math.log1p(100 * total / words), math.log1p(100 * len(hits) / words), total / len(hits) if hits else 0.0
 
     def score(self, x: tuple[float, float, float]) -> float:
         if not self.weights:

@@ -290,3 +290,64 @@ def test_other_orders(spark, order):
         tokens_, known, base, full = by[r.doc_id]
         assert (r.n_tokens, r.n_known) == (tokens_, known) and r.base_score == pytest.approx(base, rel=1e-9)
         assert r.score == pytest.approx(full, abs=0.08 * tokens_)
+
+
+def brute_lexicon(docs, labels, min_rows=3, min_weight=2.0, level=1e-5):
+    """Patterns, weights and exceptions from plain dictionaries and string search, without an automaton."""
+    from strandlake.llm.outliers import chi2_quantile
+    from strandlake.llm.toxicity import patterns_of
+
+    rows = [(labels[k], fold(t)) for k, t in docs if labels.get(k) in (0, 1)]
+    n = [sum(y == v for y, _ in rows) for v in (0, 1)]
+    seen = [Counter(), Counter()]
+    for y, t in rows:
+        seen[y].update(patterns_of(t))
+    found = {}
+    for p, c1 in seen[1].items():
+        c0 = seen[0][p]
+        w = math.log((c1 + 0.5) / (n[1] + 1)) - math.log((c0 + 0.5) / (n[0] + 1))
+        cells = [(c0, (c0 + c1) * n[0]), (c1, (c0 + c1) * n[1]), (n[0] - c0, (sum(n) - c0 - c1) * n[0]), (n[1] - c1, (sum(n) - c0 - c1) * n[1])]
+        ratio = 2 * sum(a * math.log(a * sum(n) / e) for a, e in cells if a)
+        if c1 >= min_rows and w >= min_weight and ratio >= chi2_quantile(1 - level, 1):
+            found[p] = (w, c1)
+    weights = {}
+    for p, (w, c1) in sorted(found.items(), key=lambda x: (-x[1][0] * math.sqrt(x[1][1]), x[0])):
+        if not any(p != q and p.startswith(q) for q in weights):
+            weights[p] = w
+    phrases = [Counter(), Counter()]
+    for y, t in rows:
+        own = set()
+        for p in weights:
+            at = t.find(p)
+            while at >= 0:
+                before = t.rfind(" ", 0, at)
+                if before >= 0:
+                    own.add(t[before : t.index(" ", at + 1) + 1])
+                at = t.find(p, at + 1)
+        phrases[y].update(own)
+    spared = sorted(p for p, c0 in phrases[0].items() if c0 >= min_rows and (phrases[1][p] + 0.5) / (n[1] + 1) < (c0 + 0.5) / (n[0] + 1))
+    return weights, spared
+
+
+def brute_matches(weights, spared, t):
+    """Weights of all occurrences that lie in no occurrence of an exception."""
+    places = lambda p: [i for i in range(len(t) - len(p) + 1) if t.startswith(p, i)]
+    free = [(a, a + len(p)) for p in spared for a in places(p)]
+    return [w for p, w in weights.items() for a in places(p) if not any(x <= a and a + len(p) <= z for x, z in free)]
+
+
+def test_lexicon_and_scores_by_brute_force(spark):
+    docs, labels = _labelled(spark, 900)
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    lexicon = learn_lexicon(docs, labels)
+    weights, spared = brute_lexicon(texts, known)
+    assert lexicon.weights == pytest.approx(weights) and sorted(lexicon.exceptions) == spared and weights and spared
+    got = {r.doc_id: r for r in score_toxicity(docs, lexicon).collect()}
+    for k, text in texts:
+        t = fold(text)
+        hits = brute_matches(weights, spared, t)
+        n = t.count(" ") + 20
+        x = (math.log1p(100 * sum(hits) / n), math.log1p(100 * len(hits) / n), sum(hits) / len(hits) if hits else 0.0)
+        z = lexicon.curve[0] + sum(a * b for a, b in zip(lexicon.curve[1:], x, strict=True))
+        assert got[k].n_matches == len(hits) and got[k].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
