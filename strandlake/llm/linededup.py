@@ -25,6 +25,8 @@ other's line of the same number; ties and repeated rows are treated alike; other
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +43,30 @@ def split_lines(docs: DataFrame, equal_chars: int = 1, id_col: str = "doc_id", t
     return rows.filter((F.length("line") >= equal_chars) & F.col("line").rlike(r"\S"))
 
 
-def _open_quarters(line: Column, n: Column) -> Column:
-    """Array of (key, role, head, tail): the line without one quarter, for its own and the shorter length.
+def _quarter(m: Column, k: int) -> Column:
+    """Where quarter k of m code points begins."""
+    return (m * k / 4).cast("int")
+
+
+def _with_quarter_keys(lines: DataFrame) -> DataFrame:
+    """``line, h1, h2, key, role, t``: each line without quarter t, for its own and the shorter length.
 
     ``role`` 0: a partner of the same length or longer by one is sought; 1: shorter by one.
+    The quarters are hashed once each - behind an open quarter of the shorter length a
+    place later - and a key combines the hashes of three.
     """
-    def part(m: Column, role: int, t: int) -> Column:
-        q = lambda k: (m * k / 4).cast("int")
-        head, tail = q(t), m - q(t + 1)
-        key = F.xxhash64(F.lit(t), m, F.substring(line, F.lit(1), head), F.substring(line, n - tail + 1, tail))
-        return F.struct(key.alias("key"), F.lit(role).alias("role"), head.alias("head"), tail.alias("tail"))
+    n = F.length("line")
+
+    def hashed(m: Column, k: int, shift: int) -> Column:
+        return F.xxhash64(F.substring("line", _quarter(m, k) + 1 + shift, _quarter(m, k + 1) - _quarter(m, k)))
 
-    return F.array(*[part(n - role, role, t) for role in (0, 1) for t in range(4)])
+    own = [hashed(n, k, 0).alias(f"own{k}") for k in range(4)]
+    before = [hashed(n - 1, k, 0).alias(f"before{k}") for k in range(3)]
+    behind = [hashed(n - 1, k, 1).alias(f"behind{k}") for k in (1, 2, 3)]
+    parts = lines.select("line", *_hashes(F.col("line")), n.alias("n"), *own, *before, *behind)
+    names = {0: lambda t, k: f"own{k}", 1: lambda t, k: f"before{k}" if k < t else f"behind{k}"}
+    keys = [F.struct(F.xxhash64(F.lit(t), F.col("n") - role, *[F.col(names[role](t, k)) for k in range(4) if k != t]).alias("key"), F.lit(role).alias("role"), F.lit(t).alias("t")) for role in (0, 1) for t in range(4)]
+    return parts.select("line", "h1", "h2", F.explode(F.array(*keys)).alias("k")).select("line", "h1", "h2", "k.key", "k.role", "k.t")
 
 
 #: Sides of a key and the side of the partner: both halves of a substitution; a longer line without a letter and a whole shorter one.
@@ -61,11 +75,14 @@ _PARTNER = "CASE side WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END"
 
 def _one_edit(lines: DataFrame, firsts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(texts ``h1, h2, line``, keys ``h1, h2, first, side, partner, v1, v2``) of the lines that meet another in all but a quarter."""
-    with_keys = lines.select("line", *_hashes(F.col("line")), F.explode(_open_quarters(F.col("line"), F.length("line"))).alias("k"))
-    met = with_keys.select("h1", F.col("k.key").alias("key")).groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
+    with_keys = _with_quarter_keys(lines)
+    met = with_keys.select("h1", "key").groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
     met = scratch.stage(met, "lines-met")
-    asked = with_keys.select("h1", "h2", "line", "k.key", "k.role", "k.head", "k.tail").join(small(met), "key", "left_semi")
-    asked = scratch.stage(asked.groupBy("key", "h1", "h2", "role", "head", "tail").agg(F.first("line").alias("line")), "lines-asked")
+    asked = with_keys.join(small(met), "key", "left_semi").groupBy("key", "h1", "h2", "role", "t").agg(F.first("line").alias("line"))
+    m = F.length("line") - F.col("role")
+    head = reduce(lambda rest, t: F.when(F.col("t") == t, _quarter(m, t)).otherwise(rest), range(3), _quarter(m, 3))
+    tail = reduce(lambda rest, t: F.when(F.col("t") == t, m - _quarter(m, t + 1)).otherwise(rest), range(3), F.lit(0))
+    asked = scratch.stage(asked.select("key", "h1", "h2", "role", head.alias("head"), tail.alias("tail"), "line"), "lines-asked")
     here = asked.join(small(firsts.select("h1", "h2", "first"), of=firsts), ["h1", "h2"])
     here = here.withColumn("mid", F.expr("substring(line, head + 1, length(line) - head - tail)"))
     two = lambda *c: [F.xxhash64(*c).alias("v1"), F.xxhash64(F.lit(1), *c).alias("v2")]
