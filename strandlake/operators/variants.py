@@ -133,14 +133,16 @@ def parse_source_rows(df: DataFrame, species: list[str], assemblies: list[str],
         rows = rows.filter(any_of([F.contains(tx.normal_text(F.col("assembly")), tx.normal_text(F.lit(a))) for a in assemblies]))
     rows = rows.withColumn("chrom", F.trim(F.regexp_replace("chrom", "^(?:chr|Chr|CHR)", ""))).filter(~F.lower("chrom").isin("", "nan", "none", "?"))
     snp, indel = tx.hgvs_substitution(F.col("genomic")), tx.hgvs_indel(F.col("genomic"))
-    rows = rows.withColumns({"__s": snp, "__any": tx.is_any_indel(F.col("genomic")), "__i": indel})
+    # generators keep long expressions from being copied into every use of them
+    rows = rows.select("*", F.explode(F.array(snp)).alias("__s"), tx.is_any_indel(F.col("genomic")).alias("__any"))
+    rows = rows.select("*", F.explode(F.array(indel)).alias("__i"))
     anchored = F.struct(F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("alt"))
     if contigs is not None:
         # the letters from the place before the event to its end: there the event begins at place 2
         rows = rows.withColumns({"__from": F.col("__i.start") - 2, "__to": F.least(F.col("__i.end"), F.col("__i.start") + longest + 1)})
         rows = fetch_spans(rows, contigs, chunk, "chrom", "__from", "__to")
         near = F.struct(F.lit(2).cast("long").alias("start"), (F.col("__i.end") - F.col("__from")).alias("end"), F.col("__i.kind").alias("kind"), F.col("__i.letters").alias("letters"), F.col("__i.ranged").alias("ranged"))
-        rows = rows.withColumn("__a", tx.anchored_indel(near, F.col("letters"), longest))
+        rows = rows.select("*", F.explode(F.array(tx.anchored_indel(near, F.col("letters"), longest))).alias("__a"))
         anchored = F.struct((F.col("__a.pos") + F.col("__from")).alias("pos"), F.col("__a.ref").alias("ref"), F.col("__a.alt").alias("alt"))
     every = F.concat_ws(" | ", "genomic", "coding", "allele")
     loose = r"(?i)\b([ACGT])>([ACGT])\b"
@@ -150,7 +152,6 @@ def parse_source_rows(df: DataFrame, species: list[str], assemblies: list[str],
     known = lambda c: F.when(F.col(c) == "", F.lit("Unknown")).otherwise(F.col(c))
     described = (F.length("description") > 15) & ~F.lower("description").isin("nan", "none")
     rationale = F.when(described, F.col("description")).otherwise(F.concat(F.lit("["), known("gene"), F.lit("] "), known("phenotype"), F.lit(" — "), known("effect")))
-    # a generator keeps the long expression from being copied into every use of it
     out = rows.select("*", F.explode(F.array(found)).alias("__v")).filter((F.col("__v.pos") > 0) & tx.valid_allele(F.col("__v.ref")) & tx.valid_allele(F.col("__v.alt")))
     kind = F.when((F.length("__v.ref") == 1) & (F.length("__v.alt") == 1), "snp").otherwise("indel")
     fields = [rationale.alias("rationale"), known("gene").alias("gene"), known("phenotype").alias("phenotype"), known("effect").alias("effect"), F.col("source_id"), kind.alias("variant_type")]

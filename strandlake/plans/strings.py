@@ -175,8 +175,10 @@ def hgvs_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = F.concat(F.lit("NC_1:g."), s, F.lit("_"), (F.col("o_orderkey") % 900 + 3).cast("string"))
     kind = F.col("o_orderkey") % 6
     hgvs = F.when(kind == 0, F.concat(span, F.lit("del"))).when(kind == 1, F.concat(span, F.lit("dup"))).when(kind == 2, F.concat(point, F.lit("insGG"))).when(kind == 3, F.concat(span, F.lit("delinsTT"))).when(kind == 4, F.concat(point, F.lit("insN[226]"))).otherwise(F.concat(span, F.lit("delAAAAAAAAA")))
-    v = tx.anchored_indel(tx.hgvs_indel(hgvs), F.lit("ACGT" * 500), 8)
-    return table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v")).select("o_orderkey", "v.pos", "v.ref", "v.alt")
+    # generators keep each long expression from being copied into every use of it
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(hgvs)).alias("hgvs"))
+    rows = rows.select("o_orderkey", F.explode(F.array(tx.hgvs_indel(F.col("hgvs")))).alias("i"))
+    return rows.select("o_orderkey", F.explode(F.array(tx.anchored_indel(F.col("i"), F.lit("ACGT" * 500), 8))).alias("v")).select("o_orderkey", "v.pos", "v.ref", "v.alt")
 
 
 @query("SELECT c_custkey, 'chr' || c_custkey AS with_prefix, c_custkey::VARCHAR AS bare, CASE WHEN c_nationkey % 2 = 0 THEN 'Pathogenic' ELSE 'Benign' END AS label FROM customer")
