@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -53,23 +55,31 @@ def score_rows(df: DataFrame, text: str, species: str, make_scorer, out: str = "
     return named.join(scored, ["__h1", "__h2"], "left").withColumn(out, F.when(F.col(text).isNotNull(), F.col(out))).drop("__h1", "__h2")
 
 
-def judge_rows(df: DataFrame, key: str, prompt: str, make_client, retries: int = 3) -> DataFrame:
-    """``key, reply, attempts, error``: one call a row with retries; the client is made once a task."""
+def judge_rows(df: DataFrame, key: str, prompt: str, make_client, retries: int = 3, wait: float = 0.0, threads: int = 1) -> DataFrame:
+    """``key, reply, attempts, error``: one call a row with retries; the client is made once a task.
+
+    ``wait``: seconds before the second attempt, doubled before each further one; ``threads``
+    calls of a task run side by side (the client must allow it).
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
-        for pdf in batches:
-            rows = []
-            for k, p in zip(pdf[key], pdf[prompt], strict=True):
-                reply = error = None
-                for attempt in range(1, retries + 1):
-                    try:
-                        reply, error = client(p), None
-                        break
-                    except Exception as e:  # noqa: BLE001  the client's failures are data
-                        error = str(e)
-                rows.append((k, reply, attempt, error))
-            yield pd.DataFrame(rows, columns=[key, "reply", "attempts", "error"])
+
+        def ask(pair: tuple) -> tuple:
+            k, p = pair
+            error = None
+            for attempt in range(1, retries + 1):
+                try:
+                    return k, client(p), attempt, None
+                except Exception as e:  # noqa: BLE001  the client's failures are data
+                    error = str(e)
+                if wait and attempt < retries:
+                    time.sleep(wait * 2 ** (attempt - 1))
+            return k, None, retries, error
+
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                yield pd.DataFrame(list(pool.map(ask, zip(pdf[key], pdf[prompt], strict=True))), columns=[key, "reply", "attempts", "error"])
 
     return df.select(key, prompt).mapInPandas(run, f"{key} {kind}, reply string, attempts int, error string")

@@ -17,9 +17,10 @@ def write_request_lines(df: DataFrame, path: str, key: str, prompt: str, model:
     df.select(F.to_json(F.struct(F.col(key).cast("string").alias("custom_id"), body.alias("params")))).write.text(path)
 
 
-def write_csv_cells(df: DataFrame, path: str) -> None:
-    """CSV in which lists, maps and structs are written as text."""
-    df.select(*[csv_cell(F.col(c), t).alias(c) for c, t in df.dtypes]).write.csv(path, header=True)
+def write_csv_cells(df: DataFrame, path: str, byte_order_mark: bool = False) -> None:
+    """CSV in which lists, maps and structs are written as text; with a byte order mark before the header of each file if asked for."""
+    mark = "\ufeff" if byte_order_mark else ""
+    df.select(*[csv_cell(F.col(c), t).alias(c if i else mark + c) for i, (c, t) in enumerate(df.dtypes)]).write.csv(path, header=True)
 
 
 def write_json(df: DataFrame, path: str) -> None:

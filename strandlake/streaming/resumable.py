@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.storage import drop_folder, new_folder
+
 
 class ManifestMismatch(ValueError):
     """The folder holds parts of another input or of other settings."""
@@ -37,18 +39,27 @@ def resumable_write(df: DataFrame, folder: str, key: str, parts: int, settings:
     """Applies ``transform`` to the rows of each unfinished part and writes it; returns how many parts ran.
 
     A row's part is a hash of its key, so it is the same in every run.  A part is finished
-    when Spark's commit marker is there; others are overwritten.
+    when Spark's commit marker is there; others are overwritten.  The input is read once and
+    dealt out to the unfinished parts in the shared folder.
     """
     spark = df.sparkSession
     guard_manifest(spark, folder, settings | {"parts": parts, "key": key})
-    ran = 0
-    for i in range(parts):
-        marker, fs = _file(spark, f"{folder}/part={i}/_SUCCESS")
-        if fs.exists(marker):
-            continue
-        transform(df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i)).write.mode("overwrite").parquet(f"{folder}/part={i}")
-        ran += 1
-    return ran
+
+    def there(path: str) -> bool:
+        place, files = _file(spark, path)
+        return files.exists(place)
+
+    todo = [i for i in range(parts) if not there(f"{folder}/part={i}/_SUCCESS")]
+    if not todo:
+        return 0
+    dealt = new_folder(spark, "parts")
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    df.withColumn("__part", part).filter(F.col("__part").isin(todo)).write.partitionBy("__part").parquet(dealt)
+    for i in todo:
+        rows = spark.read.schema(df.schema).parquet(f"{dealt}/__part={i}") if there(f"{dealt}/__part={i}") else spark.createDataFrame([], df.schema)
+        transform(rows).write.mode("overwrite").parquet(f"{folder}/part={i}")
+    drop_folder(spark, dealt)
+    return len(todo)
 
 
 def process_available(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], files_per_batch: int = 100) -> int:

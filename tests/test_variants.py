@@ -186,3 +186,34 @@ def test_review_and_evidence(spark):
     s = spark.createDataFrame([([("BED", "exon", -0.25, 0.5), ("BW", "heart", 0.06, 0.1)],), ([],)], "r array<struct<source: string, name: string, value: double, ref: double>>")
     got = [r.x for r in s.select(vr.evidence(F.col("r")).alias("x")).collect()]
     assert got == ["BED exon: strong loss (0.500 to 0.250)\nBW heart: subtle gain (0.100 to 0.160)", "weak outputs: a low-confidence summary only"]
+
+
+def test_judges_wait_and_run_side_by_side(spark):
+    import time
+
+    from strandlake.operators.scoring import judge_rows
+
+    def client():
+        seen = {}
+
+        def call(prompt):
+            seen[prompt] = seen.get(prompt, 0) + 1
+            time.sleep(0.02)
+            if seen[prompt] < 3:
+                raise RuntimeError(f"busy {seen[prompt]}")
+            return prompt.upper()
+
+        return call
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "i int, p string").coalesce(1)
+    got = {r.i: (r.reply, r.attempts, r.error) for r in judge_rows(df, "i", "p", client, retries=3, wait=0.01, threads=5).collect()}
+    assert got == {i: (f"P{i}", 3, None) for i in range(20)}
+    assert {(r.reply, r.attempts, r.error) for r in judge_rows(df, "i", "p", client, retries=2).collect()} == {(None, 2, "busy 2")}
+
+
+def test_csv_with_a_byte_order_mark(spark, tmp_path):
+    from strandlake.sources.sinks import write_csv_cells
+
+    write_csv_cells(spark.createDataFrame([(1, ["b", "a"])], "i int, x array<string>").coalesce(1), str(tmp_path / "o"), byte_order_mark=True)
+    (file,) = (tmp_path / "o").glob("*.csv")
+    assert file.read_bytes().startswith(b"\xef\xbb\xbfi,x") and "a;b" in file.read_text()
