@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.storage import ship
+
 
 class Scorer(Protocol):
     """Made once a task; ``score`` takes and returns a batch."""
@@ -39,6 +41,7 @@ def score_rows(df: DataFrame, text: str, species: str, make_scorer, out: str = "
     A null input has null scores.  Keys of the join are 128-bit hashes, not the inputs.
     """
     keys = [F.xxhash64(F.col(species), F.col(text)).alias("__h1"), F.xxhash64(F.lit(1), F.col(species), F.col(text)).alias("__h2")]
+    ship(df.sparkSession)
     named = df.select("*", *keys)
     jobs = named.filter(F.col(text).isNotNull()).select("__h1", "__h2", F.col(text).alias("x"), F.col(species).cast("string").alias("s")).dropDuplicates(["__h1", "__h2"])
 
@@ -61,6 +64,7 @@ def judge_rows(df: DataFrame, key: str, prompt: str, make_client, retries: int =
     ``wait``: seconds before the second attempt, doubled before each further one; ``threads``
     calls of a task run side by side (the client must allow it).
     """
+    ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

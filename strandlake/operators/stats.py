@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.common import clean, small
 from strandlake.operators.running import exact_quantiles, running_sums
+from strandlake.storage import ship
 
 
 def class_moments(df: DataFrame, keys: list[str], value: str, positive: Column) -> DataFrame:
@@ -40,6 +41,8 @@ def with_p_values(df: DataFrame, t: str = "t", freedom: str = "df", tests: int |
     """Two-sided p of Student's t; with ``tests`` also ``significant`` at 0.05 / tests."""
     from strandlake.functions.special import t_two_sided
 
+    ship(df.sparkSession)
+
     @F.pandas_udf("double")
     def p(t: pd.Series, f: pd.Series) -> pd.Series:
         pairs = pd.DataFrame({"t": t, "f": f}).drop_duplicates()
@@ -208,12 +211,15 @@ def shared_label(df: DataFrame, keys: list[str], label: str, both: str = "Both")
 def bootstrap_mean(df: DataFrame, unit: str, value: str, rounds: int = 200, seed: int = 42) -> DataFrame:
     """``low, high``: 95 % limits of the mean by a Poisson bootstrap over units.
 
-    Each unit draws its weight for every round from a hash, so nothing is resampled or
-    gathered; units are summed first.
+    Each unit draws its weight for every round from the MD5 of ``seed:unit:round // 4`` (a
+    quarter of the digest a round), so nothing is resampled or gathered and any engine draws
+    the same; units are summed first.
     """
     units = df.filter(F.col(value).isNotNull()).groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    draw = units.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(unit), F.col("b")), F.lit(1 << 30)) / float(1 << 30)
+    fours = units.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 4))))
+    fours = fours.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(unit).cast("string"), F.col("g").cast("string"))))
+    draw = fours.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(4)]))).withColumn("b", 4 * F.col("g") + F.col("j")).filter(F.col("b") < rounds)
+    u = F.conv(F.substring("h", 8 * F.col("j") + 1, F.lit(8)), 16, 10).cast("double") / float(1 << 32)
     steps, total, term = [], 0.0, math.exp(-1)
     for k in range(12):
         total += term
@@ -247,6 +253,8 @@ def mean_interval(moments: DataFrame, share: float = 0.95) -> DataFrame:
     """Adds ``low1, high1, low0, high0``: Student intervals of both means of ``class_moments`` (a few rows; null below two values)."""
     from strandlake.functions.special import t_quantile
 
+    ship(moments.sparkSession)
+
     @F.pandas_udf("double")
     def reach(n: pd.Series) -> pd.Series:
         known = {f: t_quantile(0.5 + share / 2, f) for f in set((n[n > 1] - 1).tolist())}

@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.storage import ship
+
 
 class _Tables(HTMLParser):
     """Rows of all tables of a page, as lists of cell texts."""
@@ -42,6 +44,7 @@ class _Tables(HTMLParser):
 
 def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     """``key, table_no, row_no, cells`` of every table row of every page."""
+    ship(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
 
     def read(batches: Iterator) -> Iterator:

@@ -1,16 +1,41 @@
-"""The shared folder of a session, and tables staged there to cut lineage."""
+"""The shared folder of a session, tables staged there to cut lineage, and code sent to the executors."""
 
 from __future__ import annotations
 
 import atexit
+import hashlib
+import io
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that Python tasks can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f"{top.name}/{p.relative_to(top).as_posix()}"), p.read_bytes())
+    data = buffer.getvalue()
+    folder = tempfile.mkdtemp(prefix="strandlake-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    name = os.path.join(folder, f"{top.name}_{hashlib.sha1(data).hexdigest()[:10]}.zip")
+    Path(name).write_bytes(data)
+    spark.sparkContext.addPyFile(name)
+    _shipped.add(app)
 
 
 def shared_root(spark: SparkSession) -> str:

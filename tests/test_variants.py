@@ -217,3 +217,25 @@ def test_csv_with_a_byte_order_mark(spark, tmp_path):
     write_csv_cells(spark.createDataFrame([(1, ["b", "a"])], "i int, x array<string>").coalesce(1), str(tmp_path / "o"), byte_order_mark=True)
     (file,) = (tmp_path / "o").glob("*.csv")
     assert file.read_bytes().startswith(b"\xef\xbb\xbfi,x") and "a;b" in file.read_text()
+
+
+def test_python_tasks_find_the_package_without_help():
+    """A session of any folder, with no search path set: the workers get the package from the driver."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+s = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for q in ("model_scorer", "element_p_values", "html_table_scan"):
+    print(q, e.queries()[q](s, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd="/tmp", env=env, capture_output=True, text=True, timeout=300)
+    found = dict(x.split() for x in out.stdout.split("\n") if len(x.split()) == 2)
+    assert set(found) == {"model_scorer", "element_p_values", "html_table_scan"} and all(int(n) > 0 for n in found.values()), out.stderr[-2000:]
