@@ -1,30 +1,20 @@
-"""Broadcasts, staged tables, code shipping and file access for the operators."""
+"""Broadcasts, scratch tables and file access for the operators."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import hashlib
-import io
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.storage import drop_folder, is_small, new_folder, shared_root, stage
+from strandlake.storage import drop_folder, is_small, new_folder, shared_root, ship, stage
 
 #: Largest number of rows of a narrow table that may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 250_000
 
-_shipped: set[str] = set()
-
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it (or the staged table ``of`` that it projects) is small in rows and bytes."""
@@ -70,25 +60,6 @@ def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_
     return docs.join(names, F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(F.col(text_col)) == F.col("__hash")), "left_anti")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that Python tasks can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.writestr(zipfile.ZipInfo(f"{top.name}/{p.relative_to(top).as_posix()}"), p.read_bytes())
-    data = buffer.getvalue()
-    folder = tempfile.mkdtemp(prefix="strandlake-code-")
-    atexit.register(shutil.rmtree, folder, True)
-    name = os.path.join(folder, f"{top.name}_{hashlib.sha1(data).hexdigest()[:10]}.zip")
-    Path(name).write_bytes(data)
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
-
-
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI of the shared folder."""
     from pyarrow import fs
