@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -44,8 +45,16 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, so that shuffle files of plans that nothing refers to any more go now and not at some later time."""
+    """Has the driver collect its garbage, so that shuffle files of plans that nothing refers to any more go now and not at some later time.
+
+    The gateway passes Python's dropped references on to the JVM once a second: they are waited for (3 s at most).
+    """
     gc.collect()
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    until = time.monotonic() + 3
+    while waiting and time.monotonic() < until:
+        time.sleep(0.05)
+    time.sleep(0.2)  # the last one may be on its way
     spark.sparkContext._jvm.System.gc()
 
 

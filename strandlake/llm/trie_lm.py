@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Scratch, drop_folder, new_folder, release, ship, slices, write_once
+from strandlake.llm.common import Scratch, drop_folder, new_folder, release, ship, slices, stage, write_once
 from strandlake.llm.elias_fano import EliasFano, open_arrays, write_arrays
 from strandlake.llm.words import split_words
 
@@ -664,23 +664,20 @@ def _answer_words(asked: DataFrame, model: Model, ranges: int) -> DataFrame:
     return dealt.mapInArrow(answer, f"slice long, r int, path string, a binary, b binary, ids {listed.simpleString()}")
 
 
-def _ask_grams(rows: DataFrame, model: Model, folder: str) -> DataFrame:
-    """Distinct n-grams of each slice by shard, and for each slice a row ``meta`` with its file, the file of its words' numbers and counts, and its ids.
-
-    ``shard, meta, slice, path, words, ids, keys``
-    """
+def _keep_numbers(rows: DataFrame, model: Model, folder: str) -> DataFrame:
+    """``slice, path, words, ids``: for each slice its file, the file of its words' numbers and counts, and its ids."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    place, words, shards = {r: i for i, r in enumerate(model.ranges)}, model.words, max(1, len(model.bounds))
+    place, words = {r: i for i, r in enumerate(model.ranges)}, model.words
     listed = rows.schema["ids"].dataType
-    names = dict(shard=pa.int32(), meta=pa.bool_(), slice=pa.int64(), path=pa.string(), words=pa.string(), ids=to_arrow_type(listed), keys=pa.binary())
+    names = dict(slice=pa.int64(), path=pa.string(), words=pa.string(), ids=to_arrow_type(listed))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, group in _rows_by(batches, 0):
             ids, counts = [], []
             for _, r, path, a, b, own in group:
                 if r < 0:
-                    here, keep = path, own
+                    here, listed_ids = path, own
                     continue
                 many = _plain(b, "<u8").astype(np.int64)
                 if r in place:
@@ -692,11 +689,35 @@ def _ask_grams(rows: DataFrame, model: Model, folder: str) -> DataFrame:
                 counts.append(many)
             ids, counts = np.concatenate(ids), np.concatenate(counts)
             blobs = [np.frombuffer(x, np.uint8) for x in (_squeeze(np.diff(ids, prepend=0).astype("<i8")), _squeeze(counts.astype("<u8")))]
-            kept = write_once(folder, "ids", lambda out, x=blobs: write_arrays(out, x))
-            out = [(number % shards, True, number, here, kept, keep, None)]
+            yield _batch([(number, here, write_once(folder, "ids", lambda out, x=blobs: write_arrays(out, x)), listed_ids)], **names)
+
+    return rows.mapInArrow(keep, f"slice long, path string, words string, ids {listed.simpleString()}")
+
+
+def _read_numbers(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(the model's numbers, counts) of a slice's words."""
+    step, count = (_plain(x.tobytes(), kind).astype(np.int64) for x, kind in zip(open_arrays(path), ("<i8", "<u8"), strict=True))
+    return np.cumsum(step), count
+
+
+def _ask_grams(rows: DataFrame, model: Model) -> DataFrame:
+    """Distinct n-grams of each slice by shard, and for each slice a row ``meta`` with its files and ids.
+
+    ``shard, meta, slice, path, words, ids, keys``
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    shards = max(1, len(model.bounds))
+    listed = rows.schema["ids"].dataType
+    names = dict(shard=pa.int32(), meta=pa.bool_(), slice=pa.int64(), path=pa.string(), words=pa.string(), ids=to_arrow_type(listed), keys=pa.binary())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, group in _rows_by(batches, 0):
+            _, path, words, own = next(group)
+            out = [(number % shards, True, number, path, words, own, None)]
             if model.order > 1:
-                _, codes, first = _read_slice(here)
-                _, _, grams, _, _, numbers = _grams(codes, ids, first, model)
+                _, codes, first = _read_slice(path)
+                _, _, grams, _, _, numbers = _grams(codes, _read_numbers(words)[0], first, model)
                 out += [(s, False, number, None, None, None, blob) for s, _, _, blob in _dealt_out(grams, numbers, model)]
             yield _batch(out, **names)
 
@@ -758,14 +779,24 @@ def _read_answer(blob: bytes, grams: Grams) -> list[tuple[np.ndarray, np.ndarray
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` of every whole text (log10 probabilities)."""
+    """``doc_id, n_tokens, n_known, base_score, score`` of every whole text (log10 probabilities).
+
+    Words are looked up at once; the n-grams when the result is read.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     ship(spark)
     folder, ranges = new_folder(spark, "lm-asked"), model.range_count
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
+    out_type = to_arrow_type(rows.schema["k"].dataType)
+    # the numbers of the words lie in files then: the shuffles that found them can go before the n-grams are asked for
     words = _answer_words(_slice_texts(rows, folder, ranges), model, ranges)
-    grams = _ask_grams(words.repartition(ranges, "slice").sortWithinPartitions("slice", "r"), model, folder)
+    known = stage(_keep_numbers(words.repartition(ranges, "slice").sortWithinPartitions("slice", "r"), model, folder), "lm-known")
+    del rows, words
+    release(spark)
+    grams = _ask_grams(known.repartition(ranges, "slice").sortWithinPartitions("slice"), model)
     answered = _answer_grams(grams, model).repartition(ranges, "slice").sortWithinPartitions("slice", "r")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -775,8 +806,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 if r < 0:
                     n, codes, first = _read_slice(path)
                     docs_ = ids
-                    step, count = (_plain(x.tobytes(), kind_).astype(np.int64) for x, kind_ in zip(open_arrays(words), ("<i8", "<u8"), strict=True))
-                    word = np.cumsum(step)
+                    word, count = _read_numbers(words)
                 else:
                     told.append(a)
             many = count[codes]
@@ -811,9 +841,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out_type = to_arrow_type(rows.schema["k"].dataType)
     return answered.mapInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
