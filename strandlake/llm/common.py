@@ -22,7 +22,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, of: DataFrame | None = None
     return F.broadcast(df) if is_small(df, rows, of=of) else df
 
 
-__all__ = ["Scratch", "drop_folder", "filesystem", "is_small", "new_folder", "release", "shared_root", "ship", "slices", "small", "stage", "text_bytes", "text_hash", "text_offsets", "without_rows", "write_once"]
+__all__ = ["Scratch", "drop_folder", "filesystem", "is_small", "new_folder", "release", "shared_root", "ship", "slices", "small", "stage", "stage_and_free", "text_bytes", "text_hash", "text_offsets", "without_rows", "write_once"]
 
 
 class Scratch:
@@ -58,6 +58,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def stage_and_free(df: DataFrame, name: str) -> DataFrame:
+    """``stage``, after which the shuffle files of the write go at once (Spark's own setting; without it they go with ``release``).
+
+    Only that write may have used them: the plan of ``df`` must not run again.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stage(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def text_hash(column):
     """64-bit hash of a text; null counts as empty.  With the identifier it names a row."""
     return F.xxhash64(F.coalesce(column.cast("string"), F.lit("")))

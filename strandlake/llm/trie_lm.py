@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Scratch, drop_folder, new_folder, release, ship, slices, stage, write_once
+from strandlake.llm.common import Scratch, drop_folder, new_folder, release, ship, slices, stage_and_free, write_once
 from strandlake.llm.elias_fano import EliasFano, open_arrays, write_arrays
 from strandlake.llm.words import split_words
 
@@ -793,9 +793,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     out_type = to_arrow_type(rows.schema["k"].dataType)
     # the numbers of the words lie in files then: the shuffles that found them can go before the n-grams are asked for
     words = _answer_words(_slice_texts(rows, folder, ranges), model, ranges)
-    known = stage(_keep_numbers(words.repartition(ranges, "slice").sortWithinPartitions("slice", "r"), model, folder), "lm-known")
-    del rows, words
-    release(spark)
+    known = stage_and_free(_keep_numbers(words.repartition(ranges, "slice").sortWithinPartitions("slice", "r"), model, folder), "lm-known")
     grams = _ask_grams(known.repartition(ranges, "slice").sortWithinPartitions("slice"), model)
     answered = _answer_grams(grams, model).repartition(ranges, "slice").sortWithinPartitions("slice", "r")
 
